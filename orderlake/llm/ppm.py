@@ -20,6 +20,7 @@ Repeated rows are scored each; a null id belongs to the training fold.
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -35,7 +36,7 @@ from .textcode import ASCII_LOWER, TOKEN_BYTES, Tokens, buffer_of, tokenize
 END = 257
 BITS = 9
 #: Words seen in at least a share 1/HEAVY of the training tokens, and so at most HEAVY of them, are sent to all workers.
-HEAVY = 1 << 21
+HEAVY = 1 << 20
 
 
 def symbols(column: pa.Array) -> tuple[np.ndarray, np.ndarray, Tokens]:
@@ -232,8 +233,8 @@ def count_corpus(train: DataFrame, order: int) -> DataFrame:
     return durable(parts.groupBy("kind", "key").agg(F.sum("n").alias("n")), "ppm-counts")
 
 
-def train_model(counts: DataFrame, order: int, max_contexts: int) -> PpmModel:
-    """Keeps contexts that are followed by at least ``total / max_contexts`` symbols."""
+def train_model(counts: DataFrame, order: int, max_contexts: int) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(context, symbol, count) by length, of contexts that at least ``total / max_contexts`` symbols follow."""
     texts = counts.where("kind = 0")
     total = texts.agg(F.sum("n")).first()[0] or 0
     every = texts.select("key", "n", F.explode(F.sequence(F.lit(0), F.lit(order))).alias("k"))
@@ -247,18 +248,28 @@ def train_model(counts: DataFrame, order: int, max_contexts: int) -> PpmModel:
     pairs = every.groupBy("k", "ctx", "sym").agg(F.sum("n").alias("n"))
     keep = every.groupBy("k", "ctx").agg(F.sum("n").alias("all")).where((F.col("all") >= least) | (F.col("k") == 0)).select("k", "ctx")
     # at most (order + 1) * max_contexts contexts, of at most 257 symbols
-    rows = pairs.join(keep, ["k", "ctx"], "left_semi").toPandas()
-    levels = {}
-    for k, own in rows.groupby("k"):
-        levels[int(k)] = (own["ctx"].to_numpy(np.int64), own["sym"].to_numpy(np.int64), own["n"].to_numpy(np.float64))
-    return build(order, levels)
+    rows = pairs.join(keep, ["k", "ctx"], "left_semi").toArrow()
+    k, ctx, sym, n = (rows[c].to_numpy() for c in ("k", "ctx", "sym", "n"))
+    return {i: (ctx[k == i], sym[k == i].astype(np.int16), n[k == i].astype(np.float32)) for i in range(order + 1)}
+
+
+_BUILT: dict[object, PpmModel] = {}
+
+
+def built(key: object, order: int, levels: dict) -> PpmModel:
+    """The model of a broadcast, built once in each Python worker."""
+    if key not in _BUILT:
+        _BUILT.clear()
+        _BUILT[key] = build(order, levels)
+    return _BUILT[key]
 
 
 def _score(spread, seen: tuple[int, float]):
     ends, denominator = seen
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, keys, logs = spread.value
+        key, order, levels, keys, logs = spread.value
+        model = built(key, order, levels)
         row = TaskContext.get().partitionId() << 40
         for batch in batches:
             for part in slices(batch, "text"):
@@ -271,8 +282,8 @@ def _score(spread, seen: tuple[int, float]):
                 n_known = np.bincount(tokens.doc[known], minlength=n_docs)
                 # the others: (document, hash) with counts
                 doc, rare = tokens.doc[~known], h[~known]
-                order = np.lexsort((rare, doc))
-                doc, rare = doc[order], rare[order]
+                sort = np.lexsort((rare, doc))
+                doc, rare = doc[sort], rare[sort]
                 cut = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (rare[1:] != rare[:-1])])) if len(doc) else np.zeros(0, np.int64)
                 times = np.diff(np.concatenate([cut, [len(doc)]])).astype(np.int32)
                 at = np.zeros(n_docs + 1, np.int32)
@@ -296,7 +307,7 @@ def _score(spread, seen: tuple[int, float]):
     return run
 
 
-def lm_score(docs: DataFrame, order: int = 6, max_contexts: int = 1 << 17, parts: int = 7, held: int = 2) -> DataFrame:
+def lm_score(docs: DataFrame, order: int = 5, max_contexts: int = 1 << 18, parts: int = 7, held: int = 2) -> DataFrame:
     """Scores every text by a model of the texts whose fold of ``parts`` is not ``held``.
 
     doc_id, held_out, n_tokens, n_known, train_tokens, base_score (add-one word
@@ -310,11 +321,11 @@ def lm_score(docs: DataFrame, order: int = 6, max_contexts: int = 1 << 17, parts
     ends = counts.where("kind = 2").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     n, v = n + ends, v + (ends > 0)
     denominator = float(n + 1 * (v + 1))
-    model = train_model(counts, order, max_contexts)
+    levels = train_model(counts, order, max_contexts)
     least = max(1, math.ceil(n / HEAVY))
-    heavy = words.where(F.col("n") >= least).select("key", "n").toPandas().sort_values("key")
-    logs = np.log10((heavy["n"].to_numpy(np.float64) + 1) / denominator)
-    spread = spark.sparkContext.broadcast((model, heavy["key"].to_numpy(np.int64), logs))
+    heavy = words.where(F.col("n") >= least).select("key", "n").toArrow().sort_by("key")
+    logs = np.log10((heavy["n"].to_numpy().astype(np.float64) + 1) / denominator)
+    spread = spark.sparkContext.broadcast((uuid.uuid4().hex, order, levels, heavy["key"].to_numpy(), logs))
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"row long, doc_id {kind}, held_out boolean, n_tokens long, known long, heavy double, score double, rare array<long>, times array<int>"
     scored = durable(rows.mapInArrow(_score(spread, (ends, denominator)), schema), "ppm-scored")
