@@ -140,7 +140,7 @@ def train(rows: DataFrame, max_train: int, max_words: int, max_grams: int, longe
     return LanguageModel(langs, total, table(counts, "word", max_words, 2), table(grams, "gram", max_grams, 3), total, gram_totals, longest)
 
 
-def identify(docs: DataFrame, parts: int = 4, held: int = 2, max_train: int = 8000, max_words: int = 60_000, max_grams: int = 60_000, longest: int = 5) -> DataFrame:
+def identify(docs: DataFrame, parts: int = 4, held: int = 2, max_train: int = 4000, max_words: int = 60_000, max_grams: int = 60_000, longest: int = 5) -> DataFrame:
     """doc_id, held_out, lang_pred, score of every row; learns from rows whose fold is not ``held``."""
     spark = docs.sparkSession
     rows = docs.select("doc_id", (fold("doc_id", parts) == held).alias("held_out"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))

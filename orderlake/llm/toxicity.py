@@ -65,7 +65,7 @@ class Machine:
         return 1 / (1 + np.exp(-np.clip(self.margin(doc[ok], place[ok], len(column)), -30, 30)))
 
 
-def fit(doc: np.ndarray, bucket: np.ndarray, label: np.ndarray, max_terms: int, rank: int = 4, epochs: int = 60, rate: float = 0.05, decay: float = 2e-3, seed: int = 3) -> Machine:
+def fit(doc: np.ndarray, bucket: np.ndarray, label: np.ndarray, max_terms: int, rank: int = 4, epochs: int = 80, rate: float = 0.05, decay: float = 2e-3, seed: int = 3) -> Machine:
     n, y = len(label), label.astype(float)
     share = min(max(y.mean() if n else 0.0, 1e-3), 1 - 1e-3)
     bias = float(np.log(share / (1 - share)))
@@ -132,7 +132,7 @@ def train(rows: DataFrame, max_train: int, max_terms: int) -> Machine:
     return fit(np.repeat(np.arange(len(size)), size), bucket, got["y"].to_numpy(), max_terms)
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, parts: int = 5, held: int = 0, max_train: int = 8000, max_terms: int = 4096) -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, parts: int = 5, held: int = 0, max_train: int = 12_000, max_terms: int = 4096) -> DataFrame:
     """doc_id, held_out, score, predicted of every row; learns labels of rows whose fold is not ``held``."""
     out = fold("doc_id", parts) == held
     model = train(labelled(docs.where(~out), labels, "toxic"), max_train, max_terms)
