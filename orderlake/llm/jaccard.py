@@ -29,6 +29,8 @@ from .textcode import _BYTE_CODE, _BYTE_CODE2, Tokens, mix64, shingle_hashes, wo
 
 #: Limits of a block: documents and shingles.
 BLOCK_DOCS, BLOCK_SHINGLES = 1024, 1 << 20
+#: Up to so many ids (some 16 bytes each) are broadcast to pick texts without a shuffle of texts; more are joined by one.
+BROADCAST_IDS = 1 << 22
 
 
 def choose_bands(threshold: float, recall: float, most: int = 128) -> tuple[int, int]:
@@ -248,6 +250,7 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", threshold: float =
     needed = durable(member.mapInArrow(_needed(bands), columns), "jaccard-candidates")
     wanted = durable(classes.join(needed.select("rep").distinct(), "rep", "left_semi").select("k1", "k2", "rep", F.col("first.id").alias("id")), "jaccard-wanted")
     ids = wanted.select(F.col("id").alias("wanted_id")).distinct()
+    ids = F.broadcast(ids) if wanted.count() <= BROADCAST_IDS else ids
     sets = texts.join(ids, F.col("id").eqNullSafe(F.col("wanted_id")), "left_semi").select("text").mapInArrow(_shingle_sets(width), "k1 long, k2 long, n long, set binary")
     sets = durable(sets.join(wanted.select("k1", "k2", "rep"), ["k1", "k2"]).select("rep", "n", "set").dropDuplicates(["rep"]), "jaccard-sets")
     units = needed.join(sets, "rep").select(*names, "n", "set").repartition("unit").sortWithinPartitions("unit", "block", "rep")
