@@ -22,5 +22,8 @@ def ship(spark: SparkSession) -> SparkSession:
             for file in sorted(root.rglob("*.py")):
                 z.write(file, file.relative_to(root.parent))
         spark.sparkContext.addPyFile(path)
+        # very long texts must not make a batch outgrow a Python worker
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
         _SHIPPED.add(app)
     return spark
