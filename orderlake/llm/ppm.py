@@ -83,7 +83,7 @@ class _Counter:
         keys, n = np.unique(keys, return_counts=True)
         self.parts.append((keys, n))
         self.held += len(keys)
-        if self.held > 3_000_000 and len(self.parts) > 1:
+        if self.held > 1_500_000 and len(self.parts) > 1:
             self.merge()
 
     def merge(self) -> tuple[np.ndarray, np.ndarray]:
@@ -117,7 +117,7 @@ def _counts(order: int):
                 words.add(tokens.hashes().view(np.int64))
                 docs += part.num_rows
                 for kind, counter in ((0, texts), (1, words)):
-                    if counter.held > 5_000_000:
+                    if counter.held > 2_000_000:
                         yield from flush(kind, counter)
         yield from flush(0, texts)
         yield from flush(1, words)
@@ -136,7 +136,7 @@ class PpmModel:
     next: np.ndarray
     logp: np.ndarray
 
-    def score(self, seq: np.ndarray, first: np.ndarray, stretch: int = 1024) -> np.ndarray:
+    def score(self, seq: np.ndarray, first: np.ndarray, stretch: int = 512) -> np.ndarray:
         """log10 probability of each document of ``symbols``."""
         n = len(seq)
         if not n:
