@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..shipping import ship
-from . import decontaminate, jaccard, langid, mixing, ppm, quality, toxicity, urls, warc
+from . import decontaminate, images, jaccard, langid, mixing, ppm, quality, toxicity, urls, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -78,3 +78,8 @@ def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLES["op7_url_filters"] = urls.ORACLE
+
+
+@query
+def op8_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return images.image_classes(images.mosaics(table(spark, sf_dir, "embeddings")))
