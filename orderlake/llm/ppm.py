@@ -87,14 +87,14 @@ class _Counter:
             self.merge()
 
     def merge(self) -> tuple[np.ndarray, np.ndarray]:
-        if not self.parts:
+        if not self.held:
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
         keys = np.concatenate([k for k, _ in self.parts])
         n = np.concatenate([c for _, c in self.parts])
         order = np.argsort(keys)
         keys, n = keys[order], n[order]
         cut = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-        keys, n = keys[cut], np.add.reduceat(n, cut) if len(cut) else n
+        keys, n = keys[cut], np.add.reduceat(n, cut)
         self.parts, self.held = [(keys, n)], len(keys)
         return keys, n
 
