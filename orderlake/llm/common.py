@@ -64,7 +64,7 @@ def bounded_sample(df: DataFrame, bound: int, key: str = "doc_id", seed: int = 1
     return df.where(F.pmod(F.hash(F.col(key).cast("string"), F.lit(seed)), F.lit(2**31 - 1)) < cut)
 
 
-def slices(batch: pa.RecordBatch, column: str, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, column: str, most: int = 1 << 19) -> Iterator[pa.RecordBatch]:
     """Parts of a batch whose texts have ``most`` bytes together, or one text."""
     size = pc.fill_null(pc.binary_length(batch.column(batch.schema.get_field_index(column))), 0).to_numpy(zero_copy_only=False)
     if not len(size):

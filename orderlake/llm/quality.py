@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, fold, slices
+from .common import fold, slices
 from .textcode import buffer_of, tokenize, TOKEN_BYTES
 from .toxicity import labelled
 
@@ -222,8 +222,8 @@ def with_statistics(rows: DataFrame) -> DataFrame:
     return rows.select(*names, "text").mapInArrow(run, kept + "".join(f", {s} double" for s in STATISTICS))
 
 
-def train(rows: DataFrame, max_train: int) -> Rules:
-    got = with_statistics(bounded_sample(rows, max_train)).toArrow().sort_by("doc_id")
+def train(rows: DataFrame) -> Rules:
+    got = with_statistics(rows).toArrow().sort_by("doc_id")
     x = np.stack([got[s].to_numpy() for s in STATISTICS], 1)
     return fit(x, got["y"].to_numpy())
 
@@ -231,7 +231,7 @@ def train(rows: DataFrame, max_train: int) -> Rules:
 def quality(docs: DataFrame, labels: DataFrame, parts: int = 3, held: int = 1, max_train: int = 8000) -> DataFrame:
     """doc_id, held_out, score, predicted of every row; learns labels of rows whose fold is not ``held``."""
     out = fold("doc_id", parts) == held
-    model = train(labelled(docs.where(~out), labels, "quality"), max_train)
+    model = train(labelled(docs, labels, "quality", ~out, max_train))
     rows = with_statistics(docs.select("doc_id", out.alias("held_out"), F.col("text").cast("string").alias("text")))
     rows = rows.select("doc_id", "held_out", model.column().alias("score"))
     return rows.select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

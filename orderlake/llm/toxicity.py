@@ -79,6 +79,8 @@ def fit(doc: np.ndarray, bucket: np.ndarray, label: np.ndarray, max_terms: int,
     chi = n * (a * d - b * c) ** 2 / np.maximum((a + b) * (c + d) * (a + c) * (b + d), 1)
     best = np.flatnonzero((chi > 15) & (df >= 3))
     best = np.sort(best[np.argsort(-chi[best], kind="stable")[:max_terms]])
+    if not len(best):
+        return Machine(np.zeros(0, np.int64), bias, np.zeros(0), np.zeros((0, rank)))
     where = np.full(len(keys), -1)
     where[best] = np.arange(len(best))
     ok = where[term] >= 0
@@ -109,10 +111,16 @@ def fit(doc: np.ndarray, bucket: np.ndarray, label: np.ndarray, max_terms: int,
     return Machine(keys[best], float(params[2][0]), params[0], params[1])
 
 
-def labelled(docs: DataFrame, labels: DataFrame, name: str) -> DataFrame:
-    """doc_id, text, y of labelled rows; an id labelled both ways gets the more frequent label, 1 in a tie."""
-    y = labels.where(F.col(name).isNotNull()).groupBy(F.col("doc_id").alias("l")).agg((F.avg(name) >= 0.5).cast("int").alias("y"))
-    return docs.join(y, F.col("doc_id") == F.col("l")).select("doc_id", F.col("text").cast("string").alias("text"), "y")
+def labelled(docs: DataFrame, labels: DataFrame, name: str, learn: F.Column, bound: int) -> DataFrame:
+    """doc_id, text, y of about ``bound`` labelled rows whose label satisfies ``learn``.
+
+    An id labelled both ways gets the more frequent label, 1 in a tie. Labels
+    are sampled first: the bound keeps them small enough to broadcast, so no
+    text is shuffled.
+    """
+    y = labels.where(F.col(name).isNotNull() & F.col("doc_id").isNotNull() & learn).groupBy(F.col("doc_id").alias("l")).agg((F.avg(name) >= 0.5).cast("int").alias("y"))
+    sample = bounded_sample(y, bound, "l")
+    return docs.join(F.broadcast(sample), F.col("doc_id") == F.col("l")).select("doc_id", F.col("text").cast("string").alias("text"), "y")
 
 
 def _terms_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -123,9 +131,9 @@ def _terms_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.ListArray.from_arrays(pa.array(at), pa.array(bucket.astype(np.int32)))], ["doc_id", "y", "terms"])
 
 
-def train(rows: DataFrame, max_train: int, max_terms: int) -> Machine:
+def train(rows: DataFrame, max_terms: int) -> Machine:
     kind = rows.schema["doc_id"].dataType.simpleString()
-    got = bounded_sample(rows, max_train).mapInArrow(_terms_of, f"doc_id {kind}, y int, terms array<int>").toArrow().sort_by("doc_id")
+    got = rows.mapInArrow(_terms_of, f"doc_id {kind}, y int, terms array<int>").toArrow().sort_by("doc_id")
     lists = [c for c in got["terms"].chunks]
     size = np.concatenate([np.diff(c.offsets.to_numpy()) for c in lists]) if lists else np.zeros(0, int)
     bucket = np.concatenate([c.flatten().to_numpy() for c in lists]).astype(np.int64) if lists else np.zeros(0, np.int64)
@@ -135,7 +143,7 @@ def train(rows: DataFrame, max_train: int, max_terms: int) -> Machine:
 def toxicity(docs: DataFrame, labels: DataFrame, parts: int = 5, held: int = 0, max_train: int = 12_000, max_terms: int = 4096) -> DataFrame:
     """doc_id, held_out, score, predicted of every row; learns labels of rows whose fold is not ``held``."""
     out = fold("doc_id", parts) == held
-    model = train(labelled(docs.where(~out), labels, "toxic"), max_train, max_terms)
+    model = train(labelled(docs, labels, "toxic", ~out, max_train), max_terms)
     spread = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
