@@ -45,7 +45,7 @@ def _digest(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def record(page_id: int | None, repeat: int, url: str, payload: bytes, digest: str, refers_to: int | None, refers_repeat: int, refers_url: str, revisit: bool, date: str) -> bytes:
+def record(page_id: int | None, repeat: int, url: str, payload: bytes, digest: str, refers_to: int | None, refers_url: str, revisit: bool, date: str) -> bytes:
     """One WARC/1.1 record without its trailing compression."""
     name = lambda i, k, u: f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{i}|{k}|{u}')}>"
     kind = "revisit" if revisit else "response"
@@ -66,7 +66,7 @@ def record(page_id: int | None, repeat: int, url: str, payload: bytes, digest: s
     if revisit:
         lines += [
             "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest",
-            f"WARC-Refers-To: {name(refers_to, refers_repeat, refers_url)}",
+            f"WARC-Refers-To: {name(refers_to, 0, refers_url)}",
             f"WARC-Refers-To-Target-URI: {refers_url}",
             f"X-Refers-To-Page-Id: {'' if refers_to is None else refers_to}",
         ]
@@ -80,6 +80,7 @@ def _writer(folder: str, roll_bytes: int, date: str):
         attempt = f"{TaskContext.get().taskAttemptId()}-{uuid.uuid4().hex[:8]}"
         done: list[tuple] = []
         state: dict = {"shard": None}
+        page, lead, repeat = None, None, 0
 
         def close() -> None:
             if state.get("out") is not None:
@@ -103,6 +104,12 @@ def _writer(folder: str, roll_bytes: int, date: str):
 
         for batch in batches:
             for x in batch.to_pylist():
+                if page != (x["page_id"], x["url"], x["sha"]):
+                    page, lead, repeat = (x["page_id"], x["url"], x["sha"]), None, -1
+                if x["first_url"] is not None:
+                    lead = (x["first_id"], x["first_url"])
+                    continue
+                repeat += 1
                 if state["shard"] != x["shard"]:
                     close()
                     start(x["shard"], 0)
@@ -111,7 +118,8 @@ def _writer(folder: str, roll_bytes: int, date: str):
                     close()
                     start(x["shard"], part + 1)
                 payload = x["payload"].encode("utf-8", "surrogatepass")
-                put(record(x["page_id"], x["repeat"], x["url"], payload, _digest(payload), x["first_id"], x["first_repeat"], x["first_url"], x["revisit"], date))
+                revisit = lead is not None and (lead != page[:2] or repeat > 0)
+                put(record(x["page_id"], repeat, x["url"], payload, _digest(payload), *(lead or (None, "")), revisit, date))
                 state["records"] += 1
         close()
         names = ["file", "temporary", "shard", "part", "records", "bytes", "sha256"]
@@ -120,30 +128,29 @@ def _writer(folder: str, roll_bytes: int, date: str):
     return run
 
 
-def plan(pages: DataFrame, shard_bytes: int, least: int) -> DataFrame:
-    """page_id, url, payload, repeat, shard, revisit and what it refers to."""
+def plan(pages: DataFrame, shard_bytes: int, least: int) -> tuple[DataFrame, int]:
+    """What the writer gets, and the number of shards.
+
+    Payload rows have first_url null. A row before them, without payload, names
+    the response that equal payloads of this page refer to: page_id, url, sha,
+    payload, shard, first_id, first_url. Payloads are shuffled once, by shard;
+    the grouping by digest works on keys alone.
+    """
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce(F.col("url").cast("string"), F.lit("")).alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("payload"))
-    rows = rows.withColumn("sha", F.sha1(F.col("payload").cast("binary"))).withColumn("size", F.octet_length("payload").cast("long"))
-    slim = durable(rows.select("page_id", "url", "sha", "size"), "warc-keys")
+    rows = rows.withColumn("sha", F.sha1(F.col("payload").cast("binary")))
+    slim = durable(rows.select("page_id", "url", "sha", F.octet_length("payload").cast("long").alias("size")), "warc-keys")
     low, high = slim.agg(F.min("page_id"), F.max("page_id")).first()
     low, high = low or 0, high or 0
-    spot = lambda c: F.coalesce(F.floor((F.col(c).cast("double") - low) / (high - low + 1.0) * RANGES), F.lit(0)).cast("int")
+    spot = F.coalesce(F.floor((F.col("page_id").cast("double") - low) / (high - low + 1.0) * RANGES), F.lit(0)).cast("int")
     # RANGES rows at most
-    sums = slim.groupBy(spot("page_id").alias("range")).agg(F.sum(F.col("size") + 600).alias("bytes"))
+    sums = slim.groupBy(spot.alias("range")).agg(F.sum(F.col("size") + 600).alias("bytes"))
     until = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    shards = sums.select("range", F.floor(F.coalesce(F.sum("bytes").over(until), F.lit(0)) / shard_bytes).cast("int").alias("shard"))
-    times = slim.groupBy("page_id", "url", "sha").agg(F.count("*").alias("n")).where("n > 1")
-    first = slim.where(F.col("size") >= least).groupBy("sha", "size").agg(F.count("*").alias("copies"), F.min(F.struct("page_id", "url")).alias("first")).where("copies > 1")
-    first = durable(first.select(F.col("sha").alias("f_sha"), F.col("size").alias("f_size"), "first"), "warc-first")
-    key = [F.col("page_id").eqNullSafe(F.col("t_id")), F.col("url") == F.col("t_url"), F.col("sha") == F.col("t_sha")]
-    times = times.select(F.col("page_id").alias("t_id"), F.col("url").alias("t_url"), F.col("sha").alias("t_sha"), F.col("n").alias("times"))
-    rows = rows.withColumn("range", spot("page_id")).join(F.broadcast(shards), "range")
-    rows = rows.join(first, (F.col("sha") == F.col("f_sha")) & (F.col("size") == F.col("f_size")), "left")
-    once = rows.join(times, key, "left_anti").withColumn("repeat", F.lit(0))
-    again = rows.join(times, key, "left_semi").withColumn("repeat", F.row_number().over(Window.partitionBy("page_id", "url", "sha").orderBy("size")) - 1)
-    rows = once.unionByName(again)
-    leads = F.col("first").isNull() | (F.struct("page_id", "url").eqNullSafe(F.col("first")) & (F.col("repeat") == 0))
-    return rows.select("page_id", "url", "payload", "repeat", "shard", F.col("first.page_id").alias("first_id"), F.coalesce("first.url", F.lit("")).alias("first_url"), F.lit(0).alias("first_repeat"), (~leads).alias("revisit"))
+    shards = durable(sums.select("range", F.floor(F.coalesce(F.sum("bytes").over(until), F.lit(0)) / shard_bytes).cast("int").alias("shard")), "warc-shards")
+    first = slim.where(F.col("size") >= least).groupBy("sha").agg(F.count("*").alias("copies"), F.min(F.struct("page_id", "url")).alias("first")).where("copies > 1")
+    leads = slim.join(first.select("sha", "first"), "sha").select("page_id", "url", "sha", F.lit(None).cast("string").alias("payload"), F.col("first.page_id").alias("first_id"), F.col("first.url").alias("first_url")).distinct()
+    both = rows.select("page_id", "url", "sha", "payload", F.lit(None).cast("long").alias("first_id"), F.lit(None).cast("string").alias("first_url")).unionByName(leads)
+    both = both.withColumn("range", spot).join(F.broadcast(shards), "range").drop("range")
+    return both, int((shards.agg(F.max("shard")).first()[0] or 0) + 1)
 
 
 def write_warc(pages: DataFrame, folder: str, shard_bytes: int = 32 << 20, roll_bytes: int = 4 << 20, least: int = 0, date: str = DATE) -> None:
@@ -151,10 +158,9 @@ def write_warc(pages: DataFrame, folder: str, shard_bytes: int = 32 << 20, roll_
     spark = pages.sparkSession
     files, top = _open(folder)
     files.create_dir(top, recursive=True)
-    rows = plan(pages, shard_bytes, least)
-    shards = max(1, int((rows.agg(F.max("shard")).first()[0] or 0) + 1))
+    rows, shards = plan(pages, shard_bytes, least)
     # a shard is whole in one task, and sorted there
-    rows = rows.repartition(shards, "shard").sortWithinPartitions("shard", F.col("page_id").asc_nulls_first(), "url", "repeat")
+    rows = rows.repartition(shards, "shard").sortWithinPartitions("shard", F.col("page_id").asc_nulls_first(), "url", "sha", F.col("first_url").isNull())
     written = rows.mapInArrow(_writer(folder, roll_bytes, date), "file string, temporary string, shard int, part int, records long, bytes long, sha256 string")
     names = [r.asDict() for r in durable(written, "warc-files").orderBy("shard", "part").collect()]
     for name in names:
