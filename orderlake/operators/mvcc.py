@@ -6,7 +6,7 @@ null of a deletion must reach it, so it is dropped only afterwards.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -32,12 +32,20 @@ def scan(log: DataFrame, pin: int, lower: str | None = None, upper: str | None =
 
 
 def as_of_join(left: DataFrame, log: DataFrame, pin: str = "pin", keys: tuple[str, ...] = ("key",)) -> DataFrame:
-    """Each left row (with a unique ``row``) with the newest version of its key up to its own pin; no version: nulls."""
-    versions = log.select(*[F.col(k).alias(f"__{k}") for k in keys], "version", "value")
-    on = [F.col(k) == F.col(f"__{k}") for k in keys] + [F.col("version") <= F.col(pin)]
-    joined = left.join(versions, on, "left")
-    found = joined.groupBy("row").agg(F.max_by("value", "version").alias("value"), F.max("version").alias("version"))
-    return left.join(found, "row").select(*left.columns, "version", "value")
+    """Each left row with the newest version of its key up to its own pin; no version: nulls.
+
+    Both sides are dealt by key once and read in order of version, so a key
+    with many versions and many left rows costs their sum, not their product.
+    """
+    whole = F.struct(*[F.col(c) for c in left.columns])
+    asked = left.select(*keys, F.col(pin).cast("long").alias("__at"), F.lit(1).alias("__kind"), whole.alias("__left"), F.lit(None).alias("__entry"))
+    entry = F.struct(F.col("version"), F.col("value"))
+    known = log.select(*keys, F.col("version").cast("long").alias("__at"), F.lit(0).alias("__kind"), F.lit(None).alias("__left"), entry.alias("__entry"))
+    asked = asked.withColumn("__entry", F.lit(None).cast(known.schema["__entry"].dataType))
+    known = known.withColumn("__left", F.lit(None).cast(asked.schema["__left"].dataType))
+    order = Window.partitionBy(*keys).orderBy("__at", "__kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    seen = known.unionByName(asked).withColumn("__entry", F.last("__entry", ignorenulls=True).over(order))
+    return seen.where("__kind = 1").select("__left.*", F.col("__entry.version").alias("version"), F.col("__entry.value").alias("value"))
 
 
 def visible_at(rows: DataFrame, pin: dict[int, int]) -> DataFrame:

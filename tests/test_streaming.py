@@ -69,3 +69,25 @@ def test_replica(spark, tmp_path):
 def test_watch_one_key(spark, exact):
     frame = spark.createDataFrame([("a/1", 1), ("a/2", 2)], "key string, event_id long")
     assert feeds.watch(frame, exact=exact).count() == (exact == "a/1")
+
+
+def test_effect_consumer(spark, tmp_path):
+    from orderlake.streaming.consumer import Retry, consume, settle
+
+    def handler(key, sequence, attempt):
+        kind = (key * 7 + sequence) % 5
+        return "success" if kind < 2 or (kind == 2 and attempt == 3) else "permanent" if kind == 3 else "panic" if kind == 4 and key % 2 else "retryable"
+
+    data = [(k, s, s * 1000) for k in range(3) for s in (1, 2, 2, 3, 5, 4)]
+    frame = spark.createDataFrame(data, "key long, sequence long, at long")
+    (tmp_path / "in").mkdir()
+    frame.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    got = drain(consume(feeds.read_feed(spark, str(tmp_path / "in"), frame.schema), handler, Retry(max_attempts=4)), "effects", tmp_path / "c")
+    want = []
+    for k in range(3):
+        for s in (1, 2, 3, 4, 5):
+            want.append((k, s, *settle(handler, Retry(max_attempts=4), k, s, s * 1000)))
+        want.append((k, 2, "Duplicate", 0, 2000))
+    assert got == sorted(want)
+    assert {r for _, _, r, _, _ in got} >= {"Acked", "Duplicate", "DeadLettered:PermanentFailure", "DeadLettered:RetryBudgetExhausted"}
+    assert settle(lambda *_: "retryable", Retry(deadline=250), 0, 1, 0) == ("DeadLettered:RetryTimeExhausted", 3, 300)
