@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .catalog import LOG, query
-from .operators import cdc, events, index, mvcc, staleness, write
+from .operators import cdc, events, index, mvcc, policy, search, staleness, write
 from .shipping import ship
 from .sources import store, tables
 
@@ -450,3 +450,45 @@ def index_vocabulary(spark, d):
     b = tables.table(spark, d, "benchmark")
     docs = b.select(F.lit(0).alias("shard"), F.col("item_id").cast("string").alias("key"), F.lit(1).cast("long").alias("version"), F.lit("text").alias("field"), "text", F.lit(0).cast("long").alias("filter_flags"), F.lit(0).cast("long").alias("search_flags"))
     return index.postings(docs).select("term").distinct().agg(F.count("*").alias("n"))
+
+
+# ---------------------------------------------------------------- gates, pages, pins
+@query("SELECT event_id AS read_id, event_id % 6 <> 0 AND event_type = 'click' AS allowed, CASE WHEN event_id % 6 = 0 THEN 'Unauthenticated' WHEN event_type = 'click' THEN '' ELSE 'False' END AS reason FROM events")
+def read_gate(spark, d):
+    row = F.struct(F.col("event_type").alias("kind"))
+    reads = tables.table(spark, d, "events").select(F.col("event_id").alias("read_id"), row.alias("before"), row.alias("after"))
+    tree = policy.Compare("eq", policy.Path("before", "kind"), policy.Literal("click"))
+    return policy.gate_reads(reads, tree, F.col("read_id") % 6 != 0)
+
+
+@query("SELECT (o_orderkey % 4)::INTEGER AS shard, printf('k%06d', o_orderkey // 2) AS key, CASE WHEN count(*) OVER (PARTITION BY o_orderkey // 2) > 1 THEN 'DuplicateKey' ELSE 'Ok' END AS status FROM orders WHERE o_orderkey % 4 IN (0, 1, 2)")
+def scope_gather(spark, d):
+    o = tables.table(spark, d, "orders").select((F.col("o_orderkey") % 4).cast("int").alias("shard"), F.format_string("k%06d", F.expr("o_orderkey div 2")).alias("key"))
+    return search.gather(o, spark.createDataFrame([(0,), (1,), (2,)], "shard int"))
+
+
+@query("WITH s AS (SELECT (o_orderkey % 4)::INTEGER AS shard, o_orderkey AS key, o_custkey % 50 AS score FROM orders), r AS (SELECT *, row_number() OVER (PARTITION BY shard ORDER BY score DESC, key) AS n FROM s) SELECT shard, key, score FROM r WHERE (shard = 0 AND n > 10) OR (shard = 2 AND n > 25) OR shard IN (1, 3)")
+def cost_cursor_rest(spark, d):
+    o = tables.table(spark, d, "orders").select((F.col("o_orderkey") % 4).cast("int").alias("shard"), F.col("o_orderkey").alias("key"), (F.col("o_custkey") % 50).alias("score"))
+    return search.CostCursor(100).advance(30, {"0": 10, "2": 20}).advance(5, {"2": 5}).rest(o)
+
+
+@query("SELECT n_nationkey AS page, CASE WHEN n_nationkey % 7 = 3 THEN 'Corrupt' ELSE 'Verified' END AS status FROM nation")
+def hydrate_verify(spark, d):
+    n = tables.table(spark, d, "nation").select(F.col("n_nationkey").alias("page"), F.col("n_name").alias("body"), (F.crc32(F.col("n_name").cast("binary")) + F.when(F.col("n_nationkey") % 7 == 3, 1).otherwise(0)).alias("crc"))
+    return cdc.verify_pages(n)
+
+
+@query("SELECT n_nationkey AS page FROM nation WHERE n_nationkey >= 12 OR n_nationkey % 5 = 0")
+def hydrate_resume(spark, d):
+    n = tables.table(spark, d, "nation").select(F.col("n_nationkey").alias("page"), F.crc32(F.col("n_name").cast("binary")).alias("crc"))
+    journal = n.where("page < 12").withColumn("crc", F.when(F.col("page") % 5 == 0, 1).otherwise(F.col("crc")))
+    return cdc.left_to_transfer(n, journal).select("page")
+
+
+@query("SELECT event_id, event_id % 20 >= 5 AND event_id % 7 >= 2 AS ok FROM events")
+def pin_retained(spark, d):
+    from .operators import cost
+
+    e = F.col("event_id")
+    return tables.table(spark, d, "events").select("event_id", cost.pin_readable(F.create_map(F.lit("a"), e % 20, F.lit("b"), e % 7), F.create_map(F.lit("a"), F.lit(5).cast("long"), F.lit("b"), F.lit(2).cast("long"))).alias("ok"))

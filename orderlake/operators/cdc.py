@@ -86,6 +86,17 @@ def page_status(pages: DataFrame) -> DataFrame:
     return pages.select("page", "pos", F.when(F.col("commit_version") <= before, "Duplicate").otherwise("Applied").alias("status"))
 
 
+def verify_pages(pages: DataFrame) -> DataFrame:
+    """page, status of transferred pages (page, body, crc): Verified, or Corrupt where the checksum differs."""
+    return pages.select("page", F.when(F.crc32(F.col("body").cast("binary")) == F.col("crc"), "Verified").otherwise("Corrupt").alias("status"))
+
+
+def left_to_transfer(pages: DataFrame, journal: DataFrame) -> DataFrame:
+    """Pages of a snapshot that a journal (page, crc) doesn't yet hold as verified: where a hydration goes on."""
+    done = journal.select(F.col("page").alias("p"), F.col("crc").alias("c"))
+    return pages.join(done, (F.col("page") == F.col("p")) & (F.col("crc") == F.col("c")), "left_anti")
+
+
 def evict_superseded(pages: DataFrame, applied: DataFrame) -> DataFrame:
     """Pages whose commit is not below the version applied to their shard."""
     a = applied.select("shard", F.col("version").alias("applied"))  # one row a shard

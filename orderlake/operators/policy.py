@@ -174,6 +174,13 @@ def evaluate_batch(rows: DataFrame, tree: object, batch: str) -> DataFrame:
     return each.groupBy(batch).agg(F.when(F.bool_and(F.col("verdict") == "allow"), "allow").otherwise("deny").alias("verdict"), F.count_if(F.col("verdict") == "deny").alias("denied"))
 
 
+def gate_reads(reads: DataFrame, tree: object, authenticated: Column) -> DataFrame:
+    """The access log of reads: read_id, allowed, reason; a reader who isn't authenticated is refused first."""
+    each = evaluate(reads, tree)
+    reason = F.when(~F.coalesce(authenticated, F.lit(False)), "Unauthenticated").otherwise(F.col("reason"))
+    return each.select("read_id", (reason == "").alias("allowed"), reason.alias("reason"))
+
+
 def dry_run(rows: DataFrame, old: object, new: object, keys: list[str]) -> DataFrame:
     """Rows whose verdict flips between two policies: keys, from_verdict, to_verdict."""
     both = evaluate(evaluate(rows, old).withColumnRenamed("verdict", "from_verdict").drop("reason", "steps"), new)

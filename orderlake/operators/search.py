@@ -123,6 +123,37 @@ class SearchCursor:
         return SearchCursor(got["f"], tuple(got["p"]), got["o"])
 
 
+@dataclass(frozen=True)
+class CostCursor:
+    """What is left of a query's cost, and how many rows of each shard its pages have used."""
+
+    remaining: int
+    frontiers: tuple[tuple[str, int], ...] = ()
+
+    def advance(self, cost: int, used: dict[str, int]) -> CostCursor:
+        if cost > self.remaining:
+            raise SearchRefusal(f"the page costs {cost}, and {self.remaining} are left")
+        total = dict(self.frontiers)
+        for shard, n in used.items():
+            total[shard] = total.get(shard, 0) + n
+        return CostCursor(self.remaining - cost, tuple(sorted(total.items())))
+
+    def rest(self, streams: DataFrame, order: str = "relevance") -> DataFrame:
+        """Rows of the streams that no page has used yet."""
+        rank = F.row_number().over(Window.partitionBy("shard").orderBy(*ordering(order)))
+        used = F.lit(0)
+        for shard, n in self.frontiers:
+            used = F.when(F.col("shard").cast("string") == shard, n).otherwise(used)
+        return streams.withColumn("__rank", rank).where(F.col("__rank") > used).drop("__rank")
+
+
+def gather(rows: DataFrame, pin: DataFrame) -> DataFrame:
+    """Rows of all pinned shards in order of shard and key, with ``status``: a key of two rows is a DuplicateKey."""
+    own = rows.join(F.broadcast(pin.select("shard")), "shard", "left_semi")  # a row a shard
+    n = F.count("*").over(Window.partitionBy("key"))
+    return own.withColumn("status", F.when(n > 1, "DuplicateKey").otherwise("Ok")).orderBy("shard", "key")
+
+
 def exact(hits: DataFrame, pin: DataFrame, served: DataFrame, limit: int) -> DataFrame:
     """The page of an exact search; reading it fails while a pinned shard is missing."""
     state = coverage(pin, served)
