@@ -475,10 +475,10 @@ def explain_record(spark, d):
     return cost.explain(planned(spark, d))
 
 
-@query("SELECT o_orderkey AS request_id, CASE WHEN o_orderkey % 97 + o_custkey % 13 > 90 THEN 'storage_bytes' WHEN o_orderkey % 31 + 1 > 25 THEN 'requests' ELSE '' END AS exceeded FROM orders")
+@query("SELECT o_orderkey AS request_id, CASE WHEN o_orderkey % 97 + o_custkey % 13 > 90 THEN 'stored_bytes' WHEN o_orderkey % 31 + 1 > 25 THEN 'in_flight_requests' ELSE '' END AS exceeded FROM orders")
 def quota_check(spark, d):
-    o = tables.table(spark, d, "orders").selectExpr("o_orderkey AS request_id", "o_orderkey % 97 AS used_storage_bytes", "o_custkey % 13 AS want_storage_bytes", "o_orderkey % 31 AS used_requests", "1 AS want_requests")
-    return cost.quota(o, {"storage_bytes": 90, "requests": 25})
+    o = tables.table(spark, d, "orders").selectExpr("o_orderkey AS request_id", "o_orderkey % 97 AS used_stored_bytes", "o_custkey % 13 AS want_stored_bytes", "o_orderkey % 31 AS used_in_flight_requests", "1 AS want_in_flight_requests")
+    return cost.quota(o, {"in_flight_requests": 30, "stored_bytes": 90}, {"in_flight_requests": 5})
 
 
 @query("SELECT p_partkey, CASE WHEN p_size <= 10 AND p_retailprice >= 1200 THEN 'hot' WHEN p_size <= 25 THEN 'warm' WHEN p_retailprice <= 1000 THEN 'cold' END AS tier FROM part")

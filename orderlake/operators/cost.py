@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 #: Fixed value: milliunits of a shard that is asked.
 SHARD_COST = 1000
-#: Fixed order in which resources are checked.
-RESOURCES = ("storage_bytes", "scopes", "connections", "requests", "fanout", "tokens")
+#: The order in which resources are checked.
+RESOURCES = ("stored_bytes", "log_bytes", "in_flight_requests", "query_cost", "event_backlog", "replicas")
 
 
 def keys_examined(term_probes: Column, posting_keys: Column) -> Column:
@@ -44,11 +44,12 @@ def pin_readable(pin: Column, oldest: Column) -> Column:
     return F.forall(F.map_entries(pin), lambda e: e["value"] >= F.coalesce(F.try_element_at(oldest, e["key"]), F.lit(0)))
 
 
-def quota(requests: DataFrame, limits: dict[str, int]) -> DataFrame:
-    """request_id, exceeded: the first resource in order whose use and request exceed its limit, or empty."""
+def quota(requests: DataFrame, limits: dict[str, int], reserve: dict[str, int] | None = None) -> DataFrame:
+    """request_id, exceeded: the first resource whose use and request exceed its limit less the reserve, or empty."""
     out = F.lit(None).cast("string")
-    for r in reversed([r for r in limits]):
-        out = F.when(F.col(f"used_{r}") + F.col(f"want_{r}") > limits[r], r).otherwise(out)
+    for r in reversed([r for r in RESOURCES if r in limits]):
+        limit = max(limits[r] - (reserve or {}).get(r, 0), 0)
+        out = F.when(F.col(f"used_{r}") + F.col(f"want_{r}") > limit, r).otherwise(out)
     return requests.select("request_id", F.coalesce(out, F.lit("")).alias("exceeded"))
 
 

@@ -31,6 +31,10 @@ def flag_bits(names: list[str], known: list[str]) -> int:
     return sum(1 << known.index(n) for n in set(names))
 
 
+#: Fixed values of the replica's scorer: weight of a term, norm of the length.
+TERM_WEIGHT, LENGTH_NORM = 1000, 8
+
+
 def term_score(tf: Column, length: Column, k1: int = 1200, b: int = 0, reference: int = 8) -> Column:
     """Thousandths; whole-number divisions, the length's before the sum."""
     if b > 1000 or reference < 1:
@@ -47,7 +51,7 @@ def whole(a: Column, b: Column) -> Column:
     return F.call_function("div", a, b)
 
 
-def replica_score(tf: Column, length: Column, weight: int = 1000, norm: int = 8) -> Column:
+def replica_score(tf: Column, length: Column, weight: int = TERM_WEIGHT, norm: int = LENGTH_NORM) -> Column:
     norm = max(norm, 1)
     top = tf.cast("long") * weight * norm
     bottom = length.cast("long") + norm

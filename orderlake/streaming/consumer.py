@@ -21,10 +21,12 @@ Handler = Callable[[int, int, int], str]
 
 @dataclass(frozen=True)
 class Retry:
-    max_attempts: int = 5
-    deadline: int = 60_000
-    base: int = 100
-    cap: int = 5_000
+    """Times in milliseconds; the defaults are fixed values."""
+
+    max_attempts: int = 8
+    base: int = 250
+    cap: int = 60_000
+    deadline: int = 3_600_000
 
     def delay(self, attempt: int) -> int:
         return min(self.base << min(attempt - 1, 40), self.cap)

@@ -90,4 +90,4 @@ def test_effect_consumer(spark, tmp_path):
         want.append((k, 2, "Duplicate", 0, 2000))
     assert got == sorted(want)
     assert {r for _, _, r, _, _ in got} >= {"Acked", "Duplicate", "DeadLettered:PermanentFailure", "DeadLettered:RetryBudgetExhausted"}
-    assert settle(lambda *_: "retryable", Retry(deadline=250), 0, 1, 0) == ("DeadLettered:RetryTimeExhausted", 3, 300)
+    assert settle(lambda *_: "retryable", Retry(deadline=250), 0, 1, 0) == ("DeadLettered:RetryTimeExhausted", 2, 250)
