@@ -64,6 +64,20 @@ def bounded_sample(df: DataFrame, bound: int, key: str = "doc_id", seed: int = 1
     return df.where(F.pmod(F.hash(F.col(key).cast("string"), F.lit(seed)), F.lit(2**31 - 1)) < cut)
 
 
+#: Up to so many keys (some 16 bytes each) are broadcast to pick rows without a shuffle of texts; more are joined by one.
+BROADCAST_KEYS = 1 << 21
+
+
+def text_tag(column: str = "text") -> F.Column:
+    """A 64-bit hash that tells texts of one id apart; a null text counts as empty."""
+    return F.xxhash64(F.coalesce(F.col(column).cast("string"), F.lit("")))
+
+
+def few(keys: DataFrame) -> DataFrame:
+    """A durable table of keys, to be broadcast if it is small enough."""
+    return F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys
+
+
 def slices(batch: pa.RecordBatch, column: str, most: int = 1 << 19) -> Iterator[pa.RecordBatch]:
     """Parts of a batch whose texts have ``most`` bytes together, or one text."""
     size = pc.fill_null(pc.binary_length(batch.column(batch.schema.get_field_index(column))), 0).to_numpy(zero_copy_only=False)

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable
+from .common import durable, few, text_tag
 
 #: Postings up to this number (16 bytes each) are broadcast; more are joined by a shuffle.
 BROADCAST_POSTINGS = 1 << 20
@@ -45,7 +45,7 @@ def sketches(items: DataFrame, threshold: float, width: int) -> DataFrame:
 
 
 def contained(docs: DataFrame, items: DataFrame, threshold: float = 0.8, width: int = 5) -> DataFrame:
-    """doc_id, tag (md5 of the text), item_id, item_shingles, found, containment of each test item inside a document.
+    """doc_id, tag (a hash of the text), item_id, item_shingles, found, containment of each test item inside a document.
 
     Repeated rows of one id and text give one result; ids may be null.
     Repeated test items are searched each.
@@ -54,8 +54,7 @@ def contained(docs: DataFrame, items: DataFrame, threshold: float = 0.8, width:
     posts = sketch.select(F.explode("sketch").alias("h"), "item_row", (F.col("m") - F.col("slack")).alias("least"))
     number, top = posts.agg(F.count("*"), F.max("h")).first()
     small = number <= BROADCAST_POSTINGS
-    tag = F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")))
-    texts = docs.select("doc_id", tag.alias("tag"), F.col("text").cast("string").alias("text"))
+    texts = docs.select("doc_id", text_tag().alias("tag"), F.col("text").cast("string").alias("text"))
     low = F.filter(shingles(F.col("text"), width), lambda h: h <= F.lit(top if top is not None else -(2**63)).cast("long"))
     seen = texts.select("doc_id", "tag", F.explode(low).alias("h"))
     hits = seen.join(F.broadcast(posts) if small else posts, "h")
@@ -63,7 +62,7 @@ def contained(docs: DataFrame, items: DataFrame, threshold: float = 0.8, width:
     candidates = durable(candidates.select("doc_id", "tag", "item_row"), "decontaminate-candidates")
     wanted = candidates.select(F.col("doc_id").alias("d"), F.col("tag").alias("t")).distinct()
     same = F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("tag") == F.col("t"))
-    whole = durable(texts.join(wanted, same, "left_semi").select("doc_id", "tag", shingles(F.col("text"), width).alias("doc")).dropDuplicates(["doc_id", "tag"]), "decontaminate-texts")
+    whole = durable(texts.join(few(wanted), same, "left_semi").select("doc_id", "tag", shingles(F.col("text"), width).alias("doc")).dropDuplicates(["doc_id", "tag"]), "decontaminate-texts")
     pairs = candidates.select(F.col("doc_id").alias("d"), F.col("tag").alias("t"), "item_row").join(whole, same)
     own = sketch.select("item_row", "item_id", "item", "n")
     pairs = pairs.join(F.broadcast(own) if small else own, "item_row")
@@ -76,8 +75,8 @@ def clean(docs: DataFrame, items: DataFrame, threshold: float = 0.8) -> DataFram
     """``docs`` without those that contain a test item."""
     hit = contained(docs, items, threshold).select(F.col("doc_id").alias("d"), F.col("tag").alias("t")).distinct()
     hit = durable(hit, "decontaminate-hits")
-    tagged = docs.withColumn("__tag", F.md5(F.coalesce(F.col("text").cast("string"), F.lit(""))))
-    return tagged.join(hit, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("__tag") == F.col("t")), "left_anti").select(docs.columns)
+    tagged = docs.withColumn("__tag", text_tag())
+    return tagged.join(few(hit), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("__tag") == F.col("t")), "left_anti").select(docs.columns)
 
 
 ORACLE = r"""

@@ -23,14 +23,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, grouped, slices
+from .common import durable, few, grouped, slices, text_tag
 from .components import connected
 from .textcode import _BYTE_CODE, _BYTE_CODE2, Tokens, mix64, shingle_hashes, words_of
 
 #: Limits of a block: documents and shingles.
 BLOCK_DOCS, BLOCK_SHINGLES = 1024, 1 << 20
-#: Up to so many ids (some 16 bytes each) are broadcast to pick texts without a shuffle of texts; more are joined by one.
-BROADCAST_IDS = 1 << 22
 
 
 def choose_bands(threshold: float, recall: float, most: int = 128) -> tuple[int, int]:
@@ -220,7 +218,7 @@ def _verify(bands: int, threshold: float):
 
 
 def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", threshold: float = 0.8, recall: float = 0.999, width: int = 5) -> DataFrame:
-    """One row per row of ``docs``: id, class_id, n_links, n_copies, keeper, and the text's md5 as tag.
+    """One row per row of ``docs``: id, class_id, n_links, n_copies, keeper, and a hash of the text as tag.
 
     class_id is the smallest id of the connected component, n_links the number
     of other rows whose text has a similarity of ``threshold`` or more, copies
@@ -230,8 +228,8 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", threshold: float =
     bands, rows = choose_bands(threshold, recall)
     kind = docs.schema[id_col].dataType.simpleString()
     texts = docs.select(F.col(id_col).alias("id"), F.col("text").cast("string").alias("text"))
-    schema = f"row long, id {kind}, tag string, n_words long, k1 long, k2 long, bands array<long>"
-    known = texts.select("id", F.md5(F.coalesce("text", F.lit(""))).alias("tag"), "text")
+    schema = f"row long, id {kind}, tag long, n_words long, k1 long, k2 long, bands array<long>"
+    known = texts.select("id", text_tag().alias("tag"), "text")
     known = durable(known.mapInArrow(_signatures(bands, rows, width), schema), "jaccard-signatures")
     some = known.where("n_words > 0")
     classes = some.groupBy("k1", "k2").agg(F.min("row").alias("rep"), F.count("*").alias("copies"), F.min(F.struct("id", "tag")).alias("first"))
@@ -250,8 +248,7 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", threshold: float =
     needed = durable(member.mapInArrow(_needed(bands), columns), "jaccard-candidates")
     wanted = durable(classes.join(needed.select("rep").distinct(), "rep", "left_semi").select("k1", "k2", "rep", F.col("first.id").alias("id")), "jaccard-wanted")
     ids = wanted.select(F.col("id").alias("wanted_id")).distinct()
-    ids = F.broadcast(ids) if wanted.count() <= BROADCAST_IDS else ids
-    sets = texts.join(ids, F.col("id").eqNullSafe(F.col("wanted_id")), "left_semi").select("text").mapInArrow(_shingle_sets(width), "k1 long, k2 long, n long, set binary")
+    sets = texts.join(few(ids), F.col("id").eqNullSafe(F.col("wanted_id")), "left_semi").select("text").mapInArrow(_shingle_sets(width), "k1 long, k2 long, n long, set binary")
     sets = durable(sets.join(wanted.select("k1", "k2", "rep"), ["k1", "k2"]).select("rep", "n", "set").dropDuplicates(["rep"]), "jaccard-sets")
     units = needed.join(sets, "rep").select(*names, "n", "set").repartition("unit").sortWithinPartitions("unit", "block", "rep")
     found = durable(units.mapInArrow(_verify(bands, threshold), "rep long, links long, texts long, root long"), "jaccard-links")
@@ -277,9 +274,12 @@ def keep_one(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     classes = durable(jaccard_classes(docs, threshold=threshold).groupBy("doc_id", "tag").agg(F.first("keeper").alias("keeper"), F.first("n_copies").alias("copies"), F.count("*").alias("times")), "jaccard-decisions")
     gone = classes.where("not keeper").select(F.col("doc_id").alias("gone_id"), F.col("tag").alias("gone_tag"))
     twice = classes.where("keeper and copies > 1 and times > 1").select(F.col("doc_id").alias("twice_id"), F.col("tag").alias("twice_tag"))
-    tagged = docs.withColumn("__tag", F.md5(F.coalesce(F.col("text").cast("string"), F.lit(""))))
+    tagged = docs.withColumn("__tag", text_tag())
     same = lambda what: F.col("doc_id").eqNullSafe(F.col(f"{what}_id")) & (F.col("__tag") == F.col(f"{what}_tag"))
-    kept = tagged.join(gone, same("gone"), "left_anti")
+    kept = tagged.join(few(gone), same("gone"), "left_anti")
+    if twice.isEmpty():
+        return kept.select(docs.columns)
+    twice = few(twice)
     once = kept.join(twice, same("twice"), "left_anti")
     again = kept.join(twice, same("twice"), "left_semi").dropDuplicates(["doc_id", "__tag"])
     return once.unionByName(again).select(docs.columns)

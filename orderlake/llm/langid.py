@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, durable, fold, slices
+from .common import bounded_sample, durable, few, fold, slices
 from .textcode import buffer_of, tokenize, WORD_BYTES, words_of
 
 UNKNOWN = "und"
@@ -171,4 +171,4 @@ def keep_known(docs: DataFrame, least: float = 0.5) -> DataFrame:
 def keep_by(docs: DataFrame, verdicts: DataFrame, good: F.Column) -> DataFrame:
     """Rows of ``docs`` whose id has no verdict but good ones."""
     bad = durable(verdicts.where(~good).select(F.col("doc_id").alias("bad_id")).distinct(), "rejected")
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("bad_id")), "left_anti").select(docs.columns)
+    return docs.join(few(bad), F.col("doc_id").eqNullSafe(F.col("bad_id")), "left_anti").select(docs.columns)
