@@ -65,26 +65,29 @@ class Machine:
         return 1 / (1 + np.exp(-np.clip(self.margin(doc[ok], place[ok], len(column)), -30, 30)))
 
 
-def fit(doc: np.ndarray, bucket: np.ndarray, label: np.ndarray, max_terms: int, rank: int = 4, epochs: int = 80, rate: float = 0.05, decay: float = 2e-3, seed: int = 3) -> Machine:
+def fit(doc: np.ndarray, bucket: np.ndarray, label: np.ndarray, max_terms: int, rank: int = 4, epochs: int = 80, rate: float = 0.05, decay: float = 2e-3, seed: int = 3, buckets: int = BUCKETS) -> Machine:
     n, y = len(label), label.astype(float)
     share = min(max(y.mean() if n else 0.0, 1e-3), 1 - 1e-3)
     bias = float(np.log(share / (1 - share)))
-    keys, term, df = np.unique(bucket, return_inverse=True, return_counts=True)
     if not n or len(set(label.tolist())) < 2:
         return Machine(np.zeros(0, np.int64), bias, np.zeros(0), np.zeros((0, rank)))
-    hits = np.bincount(term, y[doc], len(keys))
+    # counts by bucket: no sort of all terms, which are many
+    df = np.bincount(bucket, minlength=buckets)
+    hits = np.bincount(bucket[label[doc] == 1], minlength=buckets)
     # chi-square of each term's two by two table
-    a, b = hits, df - hits
+    some = np.flatnonzero(df >= 3)
+    a, b = hits[some].astype(float), (df - hits)[some].astype(float)
     c, d = y.sum() - a, (n - y.sum()) - b
     chi = n * (a * d - b * c) ** 2 / np.maximum((a + b) * (c + d) * (a + c) * (b + d), 1)
-    best = np.flatnonzero((chi > 15) & (df >= 3))
-    best = np.sort(best[np.argsort(-chi[best], kind="stable")[:max_terms]])
+    good = np.flatnonzero(chi > 15)
+    best = np.sort(some[good[np.argsort(-chi[good], kind="stable")[:max_terms]]])
     if not len(best):
         return Machine(np.zeros(0, np.int64), bias, np.zeros(0), np.zeros((0, rank)))
-    where = np.full(len(keys), -1)
+    where = np.full(buckets, -1, np.int32)
     where[best] = np.arange(len(best))
-    ok = where[term] >= 0
-    doc, term = doc[ok], where[term[ok]]
+    term = where[bucket]
+    ok = term >= 0
+    doc, term = doc[ok], term[ok]
     rng = np.random.RandomState(seed)
     params = [np.zeros(len(best)), rng.normal(0, 0.02, (len(best), rank)), np.array([bias])]
     first, second = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
@@ -108,7 +111,7 @@ def fit(doc: np.ndarray, bucket: np.ndarray, label: np.ndarray, max_terms: int,
                 m += 0.1 * (q - m)
                 s += 0.001 * (q * q - s)
                 p -= rate * (m / (1 - 0.9**step)) / (np.sqrt(s / (1 - 0.999**step)) + 1e-8)
-    return Machine(keys[best], float(params[2][0]), params[0], params[1])
+    return Machine(best, float(params[2][0]), params[0], params[1])
 
 
 def labelled(docs: DataFrame, labels: DataFrame, name: str, learn: F.Column, bound: int) -> DataFrame:
@@ -136,11 +139,13 @@ def train(rows: DataFrame, max_terms: int) -> Machine:
     got = rows.mapInArrow(_terms_of, f"doc_id {kind}, y int, terms array<int>").toArrow().sort_by("doc_id")
     lists = [c for c in got["terms"].chunks]
     size = np.concatenate([np.diff(c.offsets.to_numpy()) for c in lists]) if lists else np.zeros(0, int)
-    bucket = np.concatenate([c.flatten().to_numpy() for c in lists]).astype(np.int64) if lists else np.zeros(0, np.int64)
-    return fit(np.repeat(np.arange(len(size)), size), bucket, got["y"].to_numpy(), max_terms)
+    bucket = np.concatenate([c.flatten().to_numpy() for c in lists]) if lists else np.zeros(0, np.int32)
+    y = got["y"].to_numpy()
+    del got, lists
+    return fit(np.repeat(np.arange(len(size), dtype=np.int32), size), bucket, y, max_terms)
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, parts: int = 5, held: int = 0, max_train: int = 12_000, max_terms: int = 4096) -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, parts: int = 5, held: int = 0, max_train: int = 8000, max_terms: int = 4096) -> DataFrame:
     """doc_id, held_out, score, predicted of every row; learns labels of rows whose fold is not ``held``."""
     out = fold("doc_id", parts) == held
     model = train(labelled(docs, labels, "toxic", ~out, max_train), max_terms)
