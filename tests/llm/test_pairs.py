@@ -7,7 +7,7 @@ import random
 import pyarrow as pa
 import pytest
 
-from orderlake.llm import decontaminate, jaccard, mixing
+from orderlake.llm import common, decontaminate, jaccard, mixing
 from orderlake.llm.components import connected
 from orderlake.llm.textcode import shingle_hashes, words_of
 
@@ -81,6 +81,13 @@ def test_one_of_each(spark):
     assert kept == want
 
 
+def test_many_keys_are_not_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(common, "BROADCAST_KEYS", -1)
+    rows = corpus(3, 6, 5)
+    kept = jaccard.keep_one(spark.createDataFrame(rows, SCHEMA))
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(i for i, (c, _) in brute(rows).items() if i == c)
+
+
 def test_no_documents(spark):
     none = spark.createDataFrame([], SCHEMA)
     assert jaccard.jaccard_classes(none).count() == 0
