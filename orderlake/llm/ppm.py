@@ -1,14 +1,16 @@
 """LM scoring: prediction by partial matching over bytes.
 
 A byte-context trie of order ``order`` is counted over all training texts with
-one distributed aggregation. Contexts seen at least ``total / max_contexts``
-times stay, so each level holds at most ``max_contexts`` of them at any corpus
-size; rarer contexts are left to the shorter ones they end with. Escapes are
-estimated by method D (half a count for each distinct symbol) and symbols of the
-longer contexts are excluded from the shorter ones.
+one distributed aggregation; all contexts count. Those seen at least
+``total / max_contexts`` times, so at most ``max_contexts`` of each length at any
+corpus size, are sent to the workers. Symbols after rarer contexts are joined:
+their probability depends on no more than the symbol and the ``order`` before
+it, so each distinct one is looked up once in the table of all contexts. Escapes
+are estimated by method D (half a count for each distinct symbol) and symbols of
+the longer contexts are excluded from the shorter ones.
 
 Counts being fixed, the trie and its suffix links fold into an automaton: a
-state is the longest kept context, and next state and log10 probability of
+state is the longest sent context, and next state and log10 probability of
 every symbol are two dense tables. Scoring walks many stretches of text side by
 side, a warm-up of ``order`` symbols giving each its exact state.
 
@@ -129,18 +131,19 @@ def _counts(order: int):
 
 @dataclass
 class PpmModel:
-    """``code``: symbol to column of the tables; ``next`` and ``logp``: by state and column; state 0 is the empty context."""
+    """``code``: symbol to column of the tables; ``next`` and ``logp``: by state and column; ``depth``: length of a state's context; state 0 is the empty context."""
 
     order: int
     code: np.ndarray
     next: np.ndarray
     logp: np.ndarray
+    depth: np.ndarray
 
-    def score(self, seq: np.ndarray, first: np.ndarray, stretch: int = 512) -> np.ndarray:
-        """log10 probability of each document of ``symbols``."""
+    def steps(self, seq: np.ndarray, stretch: int = 512) -> tuple[np.ndarray, np.ndarray]:
+        """log10 probability of each symbol, and the length of the context it is read from."""
         n = len(seq)
         if not n:
-            return np.zeros(len(first) - 1)
+            return np.zeros(0, np.float32), np.zeros(0, np.int8)
         width = self.next.shape[1]
         begins = np.arange(0, n, stretch)
         padded = np.full(self.order + len(begins) * stretch, self.code[END], np.int64)
@@ -149,12 +152,19 @@ class PpmModel:
         state = np.zeros(len(begins), np.int64)
         for t in range(self.order):
             state = flat_next[state * width + padded[begins + t]].astype(np.int64)
-        at, out = begins + self.order, np.empty((stretch, len(begins)), np.float32)
+        at, out, depth = begins + self.order, np.empty((stretch, len(begins)), np.float32), np.empty((stretch, len(begins)), np.int8)
         for t in range(stretch):
+            depth[t] = self.depth[state]
             cell = state * width + padded[at + t]
             out[t] = flat_logp[cell]
             state = flat_next[cell].astype(np.int64)
-        return np.add.reduceat(out.T.ravel()[:n].astype(np.float64), first[:-1])
+        return out.T.ravel()[:n], depth.T.ravel()[:n]
+
+    def score(self, seq: np.ndarray, first: np.ndarray, stretch: int = 512) -> np.ndarray:
+        """log10 probability of each document of ``symbols``."""
+        if not len(seq):
+            return np.zeros(len(first) - 1)
+        return np.add.reduceat(self.steps(seq, stretch)[0].astype(np.float64), first[:-1])
 
 
 def build(order: int, levels: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]) -> PpmModel:
@@ -224,7 +234,8 @@ def build(order: int, levels: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray
     table = np.concatenate(fixed)
     if code[END] < width:
         table[:, code[END]] = 0
-    return PpmModel(order, code, table, np.concatenate(logps))
+    depth = np.repeat(np.arange(order + 1, dtype=np.int8), [len(ids[k]) for k in range(order + 1)])
+    return PpmModel(order, code, table, np.concatenate(logps), depth)
 
 
 def count_corpus(train: DataFrame, order: int) -> DataFrame:
@@ -233,26 +244,59 @@ def count_corpus(train: DataFrame, order: int) -> DataFrame:
     return durable(parts.groupBy("kind", "key").agg(F.sum("n").alias("n")), "ppm-counts")
 
 
-def train_model(counts: DataFrame, order: int, max_contexts: int) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(context, symbol, count) by length, of contexts that at least ``total / max_contexts`` symbols follow."""
-    texts = counts.where("kind = 0")
-    total = texts.agg(F.sum("n")).first()[0] or 0
-    every = texts.select("key", "n", F.explode(F.sequence(F.lit(0), F.lit(order))).alias("k"))
-    every = every.select(
-        "k",
-        F.col("key").bitwiseAND((1 << BITS) - 1).cast("int").alias("sym"),
-        F.expr(f"shiftright(key, {BITS}) & (shiftleft(1L, {BITS} * k) - 1L)").alias("ctx"),
-        "n",
-    ).where(f"k = 0 or shiftright(ctx, {BITS} * (k - 1)) > 0")
-    least = max(1, math.ceil(total / max_contexts))
-    pairs = every.groupBy("k", "ctx", "sym").agg(F.sum("n").alias("n"))
-    keep = every.groupBy("k", "ctx").agg(F.sum("n").alias("all")).where((F.col("all") >= least) | (F.col("k") == 0)).select("k", "ctx")
-    # at most (order + 1) * max_contexts contexts, of at most 257 symbols
+def suffixes(keys: DataFrame, order: int) -> DataFrame:
+    """Adds k, ctx, sym: the contexts that each packed gram holds before its symbol."""
+    every = keys.select("*", F.explode(F.sequence(F.lit(0), F.lit(order))).alias("k"))
+    every = every.withColumn("sym", F.col("key").bitwiseAND((1 << BITS) - 1).cast("int"))
+    every = every.withColumn("ctx", F.expr(f"shiftright(key, {BITS}) & (shiftleft(1L, {BITS} * k) - 1L)"))
+    return every.where(f"k = 0 or shiftright(ctx, {BITS} * (k - 1)) > 0")
+
+
+def context_tables(counts: DataFrame, order: int) -> tuple[DataFrame, DataFrame]:
+    """All contexts: (k, ctx, sym, n), and (k, ctx, total, kinds, inside) with inside what ctx's symbols count in the next shorter context."""
+    pairs = durable(suffixes(counts.where("kind = 0").select("key", "n"), order).groupBy("k", "ctx", "sym").agg(F.sum("n").alias("n")), "ppm-pairs")
+    lower = pairs.select((F.col("k") + 1).alias("k"), F.col("ctx").alias("suffix"), "sym", F.col("n").alias("below"))
+    both = pairs.withColumn("suffix", F.expr(f"if(k = 0, -1L, ctx & (shiftleft(1L, {BITS} * (k - 1)) - 1L))")).join(lower, ["k", "suffix", "sym"], "left")
+    stats = both.groupBy("k", "ctx").agg(F.sum("n").alias("total"), F.count("*").alias("kinds"), F.sum("below").alias("inside"))
+    return pairs, durable(stats, "ppm-contexts")
+
+
+def train_model(pairs: DataFrame, stats: DataFrame, order: int, least: int) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(context, symbol, count) by length, of contexts that at least ``least`` symbols follow."""
+    keep = stats.where((F.col("total") >= least) | (F.col("k") == 0)).select("k", "ctx")
+    # at most (order + 1) * total / least contexts, of at most 257 symbols
     rows = pairs.join(keep, ["k", "ctx"], "left_semi").toArrow()
     k, ctx, sym, n = (rows[c].to_numpy() for c in ("k", "ctx", "sym", "n"))
     return {i: (ctx[k == i], sym[k == i].astype(np.int16), n[k == i].astype(np.float32)) for i in range(order + 1)}
 
 
+def gram_scores(keys: DataFrame, pairs: DataFrame, stats: DataFrame, order: int, unseen: int) -> DataFrame:
+    """key, logp of distinct packed grams: the definition of ``build``, from the tables of all contexts."""
+
+    def along(asked: DataFrame, table: DataFrame, on: list[str]) -> DataFrame:
+        # contexts of at most one symbol are few and hot
+        low = asked.where("k <= 1").join(F.broadcast(table.where("k <= 1")), on, "left")
+        return low.unionByName(asked.where("k > 1").join(table.where("k > 1"), on, "left"))
+
+    rows = along(along(suffixes(keys, order), pairs, ["k", "ctx", "sym"]), stats, ["k", "ctx"])
+    names = ("n", "total", "kinds", "inside")
+    rows = rows.groupBy("key").agg(*[F.coalesce(F.max(F.when(F.col("k") == i, F.col(c))), F.lit(0)).alias(f"{c}_{i}") for i in range(order + 1) for c in names])
+    n, total, kinds, inside = ([F.col(f"{c}_{i}") for i in range(order + 1)] for c in names)
+    rest = F.lit(1 / max(unseen, 1))
+    if unseen:
+        value = F.when(n[0] > 0, (2 * n[0] - 1) / (2 * total[0])).when(total[0] > 0, kinds[0] / (2 * total[0]) * rest).otherwise(rest)
+    else:
+        value = n[0] / total[0]
+    rows = rows.withColumn("rest", rest).withColumn("value", value)
+    for i in range(1, order + 1):
+        left = total[i - 1] - inside[i]
+        lower = F.when(left <= 0, F.col("rest")).when(n[i - 1] > 0, (2 * n[i - 1] - 1) / (2 * left)).otherwise((kinds[i - 1] - kinds[i]) / (2 * left) * F.col("rest"))
+        rows = rows.withColumn("rest", F.when(total[i] > 0, lower).otherwise(F.col("rest")))
+        own = F.when(n[i] > 0, (2 * n[i] - 1) / (2 * total[i])).otherwise(kinds[i] / (2 * total[i]) * F.col("rest"))
+        rows = rows.withColumn("value", F.when(total[i] > 0, own).otherwise(F.col("value")))
+    return rows.select("key", F.log10(F.greatest("value", F.lit(1e-30))).alias("logp"))
+
+
 _BUILT: dict[object, PpmModel] = {}
 
 
@@ -264,7 +308,18 @@ def built(key: object, order: int, levels: dict) -> PpmModel:
     return _BUILT[key]
 
 
-def _score(spread, seen: tuple[int, float]):
+def tally(doc: np.ndarray, key: np.ndarray, n_docs: int) -> tuple[pa.Array, pa.Array]:
+    """Of each document its distinct keys, and how often each occurs."""
+    sort = np.lexsort((key, doc))
+    doc, key = doc[sort], key[sort]
+    cut = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (key[1:] != key[:-1])])) if len(doc) else np.zeros(0, np.int64)
+    times = np.diff(np.concatenate([cut, [len(doc)]])).astype(np.int32)
+    at = np.zeros(n_docs + 1, np.int32)
+    np.cumsum(np.bincount(doc[cut], minlength=n_docs), out=at[1:])
+    return pa.ListArray.from_arrays(pa.array(at), pa.array(key[cut])), pa.ListArray.from_arrays(pa.array(at), pa.array(times))
+
+
+def _score(spread, seen: tuple[int, float], whole: bool):
     ends, denominator = seen
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -274,20 +329,23 @@ def _score(spread, seen: tuple[int, float]):
         for batch in batches:
             for part in slices(batch, "text"):
                 seq, first, tokens = symbols(part.column(2))
-                score = model.score(seq, first)
+                logp, depth = model.steps(seq)
+                doc = np.repeat(np.arange(part.num_rows), np.diff(first))
+                place = np.arange(len(seq)) - first[doc]
+                # a context that was not sent may be a rare one
+                open_ = np.zeros(0, np.int64) if whole else np.flatnonzero(depth < np.minimum(place, order))
+                logp = logp.astype(np.float64)
+                logp[open_] = 0
+                score = np.add.reduceat(logp, first[:-1])
+                gram = seq[open_].astype(np.int64)
+                for k in range(1, order + 1):
+                    gram |= np.where(place[open_] >= k, seq[np.maximum(open_ - k, 0)], 0).astype(np.int64) << (BITS * k)
+                grams_of = tally(doc[open_], gram, part.num_rows)
                 h, n_docs = tokens.hashes().view(np.int64), part.num_rows
                 place = np.minimum(np.searchsorted(keys, h), max(len(keys) - 1, 0))
                 known = keys[place] == h if len(keys) else np.zeros(len(h), bool)
                 sums = np.bincount(tokens.doc[known], logs[place[known]] if len(keys) else None, n_docs) if known.any() else np.zeros(n_docs)
                 n_known = np.bincount(tokens.doc[known], minlength=n_docs)
-                # the others: (document, hash) with counts
-                doc, rare = tokens.doc[~known], h[~known]
-                sort = np.lexsort((rare, doc))
-                doc, rare = doc[sort], rare[sort]
-                cut = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (rare[1:] != rare[:-1])])) if len(doc) else np.zeros(0, np.int64)
-                times = np.diff(np.concatenate([cut, [len(doc)]])).astype(np.int32)
-                at = np.zeros(n_docs + 1, np.int32)
-                np.cumsum(np.bincount(doc[cut], minlength=n_docs), out=at[1:])
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(row + np.arange(n_docs)),
@@ -297,10 +355,10 @@ def _score(spread, seen: tuple[int, float]):
                         pa.array(n_known + (ends > 0)),
                         pa.array(sums + math.log10((ends + 1) / denominator)),
                         pa.array(score),
-                        pa.ListArray.from_arrays(pa.array(at), pa.array(rare[cut])),
-                        pa.ListArray.from_arrays(pa.array(at), pa.array(times)),
+                        *tally(tokens.doc[~known], h[~known], n_docs),
+                        *grams_of,
                     ],
-                    ["row", "doc_id", "held_out", "n_tokens", "known", "heavy", "score", "rare", "times"],
+                    ["row", "doc_id", "held_out", "n_tokens", "known", "heavy", "score", "rare", "times", "grams", "gram_times"],
                 )
                 row += n_docs
 
@@ -321,14 +379,18 @@ def lm_score(docs: DataFrame, order: int = 5, max_contexts: int = 1 << 18, parts
     ends = counts.where("kind = 2").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     n, v = n + ends, v + (ends > 0)
     denominator = float(n + 1 * (v + 1))
-    levels = train_model(counts, order, max_contexts)
+    pairs, stats = context_tables(counts, order)
+    total = stats.where("k = 0").agg(F.sum("total")).first()[0] or 0
+    sent = max(1, math.ceil(total / max_contexts))
+    levels = train_model(pairs, stats, order, sent)
+    unseen = END - len(np.unique(levels[0][1]))
     least = max(1, math.ceil(n / HEAVY))
     heavy = words.where(F.col("n") >= least).select("key", "n").toArrow().sort_by("key")
     logs = np.log10((heavy["n"].to_numpy().astype(np.float64) + 1) / denominator)
     spread = spark.sparkContext.broadcast((uuid.uuid4().hex, order, levels, heavy["key"].to_numpy(), logs))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"row long, doc_id {kind}, held_out boolean, n_tokens long, known long, heavy double, score double, rare array<long>, times array<int>"
-    scored = durable(rows.mapInArrow(_score(spread, (ends, denominator)), schema), "ppm-scored")
+    schema = f"row long, doc_id {kind}, held_out boolean, n_tokens long, known long, heavy double, score double, rare array<long>, times array<int>, grams array<long>, gram_times array<int>"
+    scored = durable(rows.mapInArrow(_score(spread, (ends, denominator), sent == 1), schema), "ppm-scored")
     rare = scored.select("row", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("row", F.col("x.rare").alias("key"), F.col("x.times").alias("times"))
     found = rare.join(words.where(F.col("n") < least).select("key", F.col("n").alias("c")), "key", "left")
     seen = F.col("c").isNotNull()
@@ -336,6 +398,13 @@ def lm_score(docs: DataFrame, order: int = 5, max_contexts: int = 1 << 18, parts
         F.sum(F.when(seen, F.col("times")).otherwise(0)).alias("more"),
         F.sum(F.col("times") * F.log10((F.coalesce("c", F.lit(0)) + 1) / F.lit(denominator))).alias("light"),
     )
+    score = F.col("score")
+    if sent > 1:
+        grams = scored.select("row", F.explode(F.arrays_zip("grams", "gram_times")).alias("x")).select("row", F.col("x.grams").alias("key"), F.col("x.gram_times").alias("times"))
+        logps = durable(gram_scores(grams.select("key").distinct(), pairs, stats, order, unseen), "ppm-gram-scores")
+        deep = grams.join(logps, "key").groupBy("row").agg(F.sum(F.col("times") * F.col("logp")).alias("deep"))
+        rest = rest.join(deep, "row", "full")
+        score = F.col("score") + F.coalesce("deep", F.lit(0.0))
     return scored.join(rest, "row", "left").select(
         "doc_id",
         "held_out",
@@ -343,7 +412,7 @@ def lm_score(docs: DataFrame, order: int = 5, max_contexts: int = 1 << 18, parts
         (F.col("known") + F.coalesce("more", F.lit(0))).alias("n_known"),
         F.lit(n).cast("long").alias("train_tokens"),
         (F.col("heavy") + F.coalesce("light", F.lit(0.0))).alias("base_score"),
-        "score",
+        score.alias("score"),
     )
 
 
