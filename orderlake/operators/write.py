@@ -11,11 +11,11 @@ from pyspark.sql import functions as F
 
 
 def check_versions(mutations: DataFrame, current: DataFrame) -> DataFrame:
-    """request, verdict: of a request's mutations (request, pos, key, base), the first that isn't Pass decides."""
+    """request, verdict: of a request's mutations (request, pos, key, base), the first that isn't Pass decides; of several at one pos, Rejected before Conflict; a null pos comes last."""
     now = current.select(F.col("key").alias("k"), F.col("version").alias("v"))
     both = mutations.join(now, F.col("key") == F.col("k"), "left").withColumn("v", F.coalesce("v", F.lit(0)))
     each = F.when(F.col("base") > F.col("v"), "Rejected").when(F.col("base") < F.col("v"), "Conflict")
-    out = both.withColumn("bad", each).groupBy("request").agg(F.min_by("bad", F.when(F.col("bad").isNotNull(), F.col("pos"))).alias("bad"))
+    out = both.withColumn("bad", each).groupBy("request").agg(F.min_by("bad", F.when(F.col("bad").isNotNull(), F.struct(F.col("pos").isNull(), "pos", F.col("bad") != "Rejected"))).alias("bad"))
     return out.select("request", F.coalesce("bad", F.lit("Pass")).alias("verdict"))
 
 

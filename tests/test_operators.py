@@ -164,6 +164,19 @@ def test_plan_golden(spark):
     assert cost.plan(shards).first().cost_milli == 2305
 
 
+def test_verdict_of_repeated_places(spark):
+    current = spark.createDataFrame([(1, 1)], "key int, version int")
+    bad = [(1, 0), (1, 2)]  # a conflict, a stale base
+    got = []
+    for turn in (bad, bad[::-1]):
+        same = [(r, 1, k, b) for r in (1, 2) for k, b in turn]
+        rest = [(2, 0, 1, 0), (3, None, 1, 0), (4, None, 1, 2), (4, 5, 1, 0), (5, 1, 1, 1), (5, 1, 1, 1)]
+        m = spark.createDataFrame(same + rest, "request int, pos int, key int, base int").coalesce(1)
+        got.append(rows(write.check_versions(m, current)))
+    want = [(1, "Rejected"), (2, "Conflict"), (3, "Conflict"), (4, "Conflict"), (5, "Pass")]
+    assert got == [want, want]
+
+
 def test_audit_chain_and_rollout(spark):
     chain = write.audit_chain(spark.createDataFrame([(0, i, f"e{i}") for i in range(5)], "shard int, seq long, body string"))
     assert {r.status for r in write.audit_verify(chain).collect()} == {"Ok"}
