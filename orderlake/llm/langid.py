@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, durable, few, fold, slices
+from .common import bounded_sample, durable, few, fold, slices, text_tag
 from .textcode import buffer_of, tokenize, WORD_BYTES, words_of
 
 UNKNOWN = "und"
@@ -140,14 +140,15 @@ def train(rows: DataFrame, max_train: int, max_words: int, max_grams: int, longe
     return LanguageModel(langs, total, table(counts, "word", max_words, 2), table(grams, "gram", max_grams, 3), total, gram_totals, longest)
 
 
-def identify(docs: DataFrame, parts: int = 4, held: int = 2, max_train: int = 4000, max_words: int = 60_000, max_grams: int = 60_000, longest: int = 5) -> DataFrame:
-    """doc_id, held_out, lang_pred, score of every row; learns from rows whose fold is not ``held``."""
+def identify(docs: DataFrame, parts: int = 4, held: int = 2, max_train: int = 4000, max_words: int = 60_000, max_grams: int = 60_000, longest: int = 5, tagged: bool = False) -> DataFrame:
+    """doc_id, held_out, lang_pred, score of every row, and if ``tagged`` its text tag; learns from rows whose fold is not ``held``."""
     spark = docs.sparkSession
+    more = ["tag"] if tagged else []
     rows = docs.select("doc_id", (fold("doc_id", parts) == held).alias("held_out"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     model = train(rows.where(~F.col("held_out")), max_train, max_words, max_grams, longest)
-    rows = rows.select("doc_id", "held_out", F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("letters"), "text")
+    rows = rows.select("doc_id", "held_out", F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("letters"), "text", *(text_tag().alias(c) for c in more))
     if model is None:
-        return rows.select("doc_id", "held_out", F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"))
+        return rows.select("doc_id", "held_out", F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"), *more)
     spread = spark.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -157,18 +158,19 @@ def identify(docs: DataFrame, parts: int = 4, held: int = 2, max_train: int = 40
                 top, score = own.predict(part.column(3))
                 letters = part.column(2).to_numpy(zero_copy_only=False).astype(bool)
                 lang = [own.langs[k] if ok else UNKNOWN for k, ok in zip(top.tolist(), letters.tolist())]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(lang, pa.string()), pa.array(np.where(letters, score, 0.0))], ["doc_id", "held_out", "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(lang, pa.string()), pa.array(np.where(letters, score, 0.0)), *part.columns[4:]], ["doc_id", "held_out", "lang_pred", "score", *more])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"doc_id {kind}, held_out boolean, lang_pred string, score double")
+    return rows.mapInArrow(run, f"doc_id {kind}, held_out boolean, lang_pred string, score double" + ", tag long" * tagged)
 
 
 def keep_known(docs: DataFrame, least: float = 0.5) -> DataFrame:
     """Rows whose text has a language that the model knows, by ``least`` or more."""
-    return keep_by(docs, identify(docs), (F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least))
+    return keep_by(docs, identify(docs, tagged=True), (F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least))
 
 
 def keep_by(docs: DataFrame, verdicts: DataFrame, good: F.Column) -> DataFrame:
-    """Rows of ``docs`` whose id has no verdict but good ones."""
-    bad = durable(verdicts.where(~good).select(F.col("doc_id").alias("bad_id")).distinct(), "rejected")
-    return docs.join(few(bad), F.col("doc_id").eqNullSafe(F.col("bad_id")), "left_anti").select(docs.columns)
+    """Rows of ``docs`` whose id and text have no verdict (doc_id, tag) but good ones."""
+    bad = durable(verdicts.where(~good).select(F.col("doc_id").alias("bad_id"), F.col("tag").alias("bad_tag")).distinct(), "rejected")
+    same = F.col("doc_id").eqNullSafe(F.col("bad_id")) & (F.col("__tag") == F.col("bad_tag"))
+    return docs.withColumn("__tag", text_tag()).join(few(bad), same, "left_anti").select(docs.columns)

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, fold, slices
+from .common import bounded_sample, fold, slices, text_tag
 from .langid import keep_by
 from .textcode import mix64, words_of
 
@@ -145,9 +145,10 @@ def train(rows: DataFrame, max_terms: int) -> Machine:
     return fit(np.repeat(np.arange(len(size), dtype=np.int32), size), bucket, y, max_terms)
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, parts: int = 5, held: int = 0, max_train: int = 8000, max_terms: int = 4096) -> DataFrame:
-    """doc_id, held_out, score, predicted of every row; learns labels of rows whose fold is not ``held``."""
+def toxicity(docs: DataFrame, labels: DataFrame, parts: int = 5, held: int = 0, max_train: int = 8000, max_terms: int = 4096, tagged: bool = False) -> DataFrame:
+    """doc_id, held_out, score, predicted of every row, and if ``tagged`` its text tag; learns labels of rows whose fold is not ``held``."""
     out = fold("doc_id", parts) == held
+    more = ["tag"] if tagged else []
     model = train(labelled(docs, labels, "toxic", ~out, max_train), max_terms)
     spread = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -155,13 +156,13 @@ def toxicity(docs: DataFrame, labels: DataFrame, parts: int = 5, held: int = 0,
         for batch in batches:
             for part in slices(batch, "text"):
                 score = spread.value.score(part.column(2))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(score), pa.array((score >= 0.5).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(score), pa.array((score >= 0.5).astype(np.int32)), *part.columns[3:]], ["doc_id", "held_out", "score", "predicted", *more])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = docs.select("doc_id", out.alias("held_out"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, f"doc_id {kind}, held_out boolean, score double, predicted int")
+    rows = docs.select("doc_id", out.alias("held_out"), F.col("text").cast("string").alias("text"), *(text_tag().alias(c) for c in more))
+    return rows.mapInArrow(run, f"doc_id {kind}, held_out boolean, score double, predicted int" + ", tag long" * tagged)
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Rows that are not predicted toxic."""
-    return keep_by(docs, toxicity(docs, labels), F.col("predicted") == 0)
+    return keep_by(docs, toxicity(docs, labels, tagged=True), F.col("predicted") == 0)

@@ -131,3 +131,16 @@ def test_machine_is_the_formula():
     pair = sum(m.factor[a] @ m.factor[b] for a, b in ((0, 2), (0, 4), (2, 4)))
     assert got == pytest.approx([0.3 + m.weight[[0, 2, 4]].sum() + pair, 0.3 + m.weight[1], 0.3])
     assert math.isclose(m.score(pa.array([None]))[0], 1 / (1 + math.exp(-0.3)))
+
+
+def test_a_rejected_text_takes_no_other_of_its_id(docs, labels):
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    flag = {r.doc_id: r.predicted for r in toxicity.toxicity(docs, labels).collect()}
+    known = {r.doc_id for r in langid.keep_known(docs).collect()}
+    clean = next(texts[i] for i in sorted(known - {None}) if not flag[i])
+    toxic = next(texts[i] for i in sorted(set(flag) - {None}) if flag[i])
+    rows = [(i, x, "en", "s", 1, 7) for i in (None, -7) for x in (clean, toxic, "12 - 34")]
+    more = docs.unionByName(docs.sparkSession.createDataFrame(rows, docs.schema))
+    mine = lambda f: {(r.doc_id, r.text) for r in f.where("doc_id is null or doc_id = -7").collect()}
+    assert {(None, clean), (-7, clean)} <= mine(langid.keep_known(more)) <= mine(more) - {(None, "12 - 34"), (-7, "12 - 34")}
+    assert {(None, clean), (-7, clean)} <= mine(toxicity.keep_clean(more, labels)) <= mine(more) - {(None, toxic), (-7, toxic)}
