@@ -19,8 +19,12 @@ _WRITTEN: list[tuple[object, str]] = []
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share; a local one only where none is configured (tests)."""
-    conf = spark.sparkContext.getConf()
-    return conf.get("spark.checkpoint.dir") or f"file://{tempfile.gettempdir()}/orderlake"
+    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if folder:
+        return folder
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return f"file://{tempfile.gettempdir()}/orderlake"
 
 
 def durable_path(spark: SparkSession, name: str) -> str:
@@ -34,7 +38,24 @@ def durable(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = durable_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._durable_path = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Deletes durable tables that nothing reads any more."""
+    for table in tables:
+        drop_path(table.sparkSession, table._durable_path)
+        _WRITTEN[:] = [w for w in _WRITTEN if w[1] != table._durable_path]
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Deals the rows anew where the files of a small table give fewer partitions than there are cores."""
+    cores, plan = df.sparkSession.sparkContext.defaultParallelism, df._jdf.queryExecution()
+    if plan.executedPlan().getClass().getSimpleName() == "AdaptiveSparkPlanExec":  # counting would run it
+        return df
+    return df.repartition(cores) if plan.toRdd().getNumPartitions() < cores else df
 
 
 def drop_path(spark: SparkSession, path: str) -> None:
@@ -55,13 +76,16 @@ def fold(column: str = "doc_id", parts: int = 7) -> F.Column:
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit(""))) % parts
 
 
-def bounded_sample(df: DataFrame, bound: int, key: str = "doc_id", seed: int = 11) -> DataFrame:
-    """About ``bound`` rows, chosen by a hash of the key, so every run picks the same; all rows when there are fewer."""
+def bounded_sample(df: DataFrame, bound: int, *keys: str, seed: int = 11) -> DataFrame:
+    """About ``bound`` rows, chosen by a hash of the keys, so every run picks the same; all rows when there are fewer.
+
+    Rows of equal keys go together: give keys that tell rows apart.
+    """
     n = df.count()
     if n <= bound:
         return df
     cut = int(bound / n * 2**31)
-    return df.where(F.pmod(F.hash(F.col(key).cast("string"), F.lit(seed)), F.lit(2**31 - 1)) < cut)
+    return df.where(F.pmod(F.hash(*[F.col(k).cast("string") for k in keys], F.lit(seed)), F.lit(2**31 - 1)) < cut)
 
 
 #: Up to so many keys (some 16 bytes each) are broadcast to pick rows without a shuffle of texts; more are joined by one.
@@ -78,6 +102,16 @@ def few(keys: DataFrame) -> DataFrame:
     return F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys
 
 
+def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """``docs`` less the rows whose id and text are in ``gone`` (doc_id, tag); null ids equal each other.
+
+    The input row is kept in one struct, so its other columns clash with nothing.
+    """
+    gone = durable(gone.select(F.col("doc_id").alias("gone_id"), F.col("tag").alias("gone_tag")).distinct(), "gone")
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("own_id"), text_tag().alias("own_tag"))
+    return rows.join(few(gone), F.col("own_id").eqNullSafe(F.col("gone_id")) & (F.col("own_tag") == F.col("gone_tag")), "left_anti").select("row.*")
+
+
 def slices(batch: pa.RecordBatch, column: str, most: int = 1 << 19) -> Iterator[pa.RecordBatch]:
     """Parts of a batch whose texts have ``most`` bytes together, or one text."""
     size = pc.fill_null(pc.binary_length(batch.column(batch.schema.get_field_index(column))), 0).to_numpy(zero_copy_only=False)

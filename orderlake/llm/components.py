@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable
+from .common import durable, release
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -20,12 +20,17 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return out.where("a <> b").distinct()
 
 
-def connected(edges: DataFrame, most: int = 60) -> DataFrame:
-    """(node, label) of every node of the undirected ``edges`` (a, b): label is the component's smallest node."""
+def connected(edges: DataFrame) -> DataFrame:
+    """(node, label) of every node of the undirected ``edges`` (a, b): label is the component's smallest node.
+
+    Steps go on until no link changes, which takes them a number that grows with
+    the logarithm of the largest component.
+    """
     edges = durable(edges.where("a <> b").distinct(), "edges")
     before = None
-    for _ in range(most):
-        edges = durable(_star(_star(edges, True), False), "edges")
+    while True:
+        old, edges = edges, durable(_star(_star(edges, True), False), "edges")
+        release(old)
         now = edges.agg(F.count("*"), F.sum(F.hash("a", "b").cast("long")), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == before:
             break
