@@ -5,9 +5,12 @@ one distributed aggregation; all contexts count. Those seen at least
 ``total / max_contexts`` times, so at most ``max_contexts`` of each length at any
 corpus size, are sent to the workers. Symbols after rarer contexts are joined:
 their probability depends on no more than the symbol and the ``order`` before
-it, so each distinct one is looked up once in the table of all contexts. Escapes
-are estimated by method D (half a count for each distinct symbol) and symbols of
-the longer contexts are excluded from the shorter ones.
+it, so each distinct one is looked up once. Contexts that end in the same three
+symbols lie in one group of the trie, and groups are dealt to tasks, which walk
+all their levels with arrays; contexts of up to two symbols, which the alphabet
+bounds, are sent to all. Escapes are estimated by method D (half a count for
+each distinct symbol) and symbols of the longer contexts are excluded from the
+shorter ones.
 
 Counts being fixed, the trie and its suffix links fold into an automaton: a
 state is the longest sent context, and next state and log10 probability of
@@ -16,7 +19,9 @@ side, a warm-up of ``order`` symbols giving each its exact state.
 
 Text is scored as its token sequence: A-Z lower-cased, runs of white space as
 one space, one end symbol. Null and empty texts consist of the end symbol.
-Repeated rows are scored each; a null id belongs to the training fold.
+Repeated rows are scored each; a null id belongs to the training fold. Very long
+texts are learnt and scored whole, in one row. An empty table gives an empty
+result, and columns other than doc_id and text are not looked at.
 """
 
 from __future__ import annotations
@@ -32,7 +37,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, fold, slices
+from .common import durable, fold, grouped, slices, spread
 from .textcode import ASCII_LOWER, TOKEN_BYTES, Tokens, buffer_of, tokenize
 
 END = 257
@@ -244,57 +249,155 @@ def count_corpus(train: DataFrame, order: int) -> DataFrame:
     return durable(parts.groupBy("kind", "key").agg(F.sum("n").alias("n")), "ppm-counts")
 
 
-def suffixes(keys: DataFrame, order: int) -> DataFrame:
-    """Adds k, ctx, sym: the contexts that each packed gram holds before its symbol."""
-    every = keys.select("*", F.explode(F.sequence(F.lit(0), F.lit(order))).alias("k"))
-    every = every.withColumn("sym", F.col("key").bitwiseAND((1 << BITS) - 1).cast("int"))
-    every = every.withColumn("ctx", F.expr(f"shiftright(key, {BITS}) & (shiftleft(1L, {BITS} * k) - 1L)"))
-    return every.where(f"k = 0 or shiftright(ctx, {BITS} * (k - 1)) > 0")
+#: Contexts of so many symbols and more are dealt by their last so many symbols; shorter ones are sent to all workers.
+DEALT = 3
 
 
-def context_tables(counts: DataFrame, order: int) -> tuple[DataFrame, DataFrame]:
-    """All contexts: (k, ctx, sym, n), and (k, ctx, total, kinds, inside) with inside what ctx's symbols count in the next shorter context."""
-    pairs = durable(suffixes(counts.where("kind = 0").select("key", "n"), order).groupBy("k", "ctx", "sym").agg(F.sum("n").alias("n")), "ppm-pairs")
-    lower = pairs.select((F.col("k") + 1).alias("k"), F.col("ctx").alias("suffix"), "sym", F.col("n").alias("below"))
-    both = pairs.withColumn("suffix", F.expr(f"if(k = 0, -1L, ctx & (shiftleft(1L, {BITS} * (k - 1)) - 1L))")).join(lower, ["k", "suffix", "sym"], "left")
-    stats = both.groupBy("k", "ctx").agg(F.sum("n").alias("total"), F.count("*").alias("kinds"), F.sum("below").alias("inside"))
-    return pairs, durable(stats, "ppm-contexts")
+def _mask(k: int) -> int:
+    return (1 << (BITS * k)) - 1
 
 
-def train_model(pairs: DataFrame, stats: DataFrame, order: int, least: int) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+@dataclass
+class Level:
+    """Contexts of one length: sorted (context, symbol) pairs with counts; sorted contexts with the count of symbols, of distinct ones, and what these count in the next shorter context."""
+
+    pairs: np.ndarray
+    n: np.ndarray
+    ctx: np.ndarray
+    total: np.ndarray
+    kinds: np.ndarray
+    inside: np.ndarray
+
+
+def _sums(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    cut = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
+    return keys[cut], np.add.reduceat(n[order], cut) if len(cut) else np.zeros(0, np.int64)
+
+
+def _find(sorted_: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of ``keys``, and whether they are there."""
+    if not len(sorted_):
+        return np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
+    at = np.minimum(np.searchsorted(sorted_, keys), len(sorted_) - 1)
+    return at, sorted_[at] == keys
+
+
+def level(keys: np.ndarray, n: np.ndarray, k: int, below: Level | None) -> Level:
+    """The contexts of ``k`` symbols that packed grams hold."""
+    own = keys & _mask(k + 1)
+    if k:
+        ok = own >> (BITS * k) > 0
+        own, n = own[ok], n[ok]
+    pairs, n = _sums(own, n)
+    ctx = pairs >> BITS
+    cut = np.flatnonzero(np.concatenate([[True], ctx[1:] != ctx[:-1]])) if len(ctx) else np.zeros(0, np.int64)
+    inside = np.zeros(len(cut), np.int64)
+    if below is not None and len(cut):
+        inside = np.add.reduceat(below.n[_find(below.pairs, pairs & _mask(k))[0]], cut)
+    total = np.add.reduceat(n, cut) if len(cut) else np.zeros(0, np.int64)
+    return Level(pairs, n, ctx[cut], total, np.diff(np.append(cut, len(ctx))), inside)
+
+
+def walk(keys: np.ndarray, levels: list[Level], unseen: int) -> np.ndarray:
+    """log10 probability of the last symbol of each packed gram: the definition of ``build``, for any contexts."""
+    rest = np.full(len(keys), 1 / max(unseen, 1))
+    value, n_below, total_below, kinds_below = rest, None, None, None
+    for k, own in enumerate(levels):
+        pair = keys & _mask(k + 1)
+        at, seen = _find(own.pairs, pair)
+        n = np.where(seen, own.n[at], 0) if len(own.n) else np.zeros(len(keys), np.int64)
+        at, known = _find(own.ctx, pair >> BITS)
+        known &= (pair >> (BITS * k) > 0) | (k == 0)
+        total, kinds, inside = (np.where(known, x[at], 0) if len(x) else np.zeros(len(keys), np.int64) for x in (own.total, own.kinds, own.inside))
+        if k:
+            left = total_below - inside
+            size = 2 * np.maximum(left, 1)
+            lower = np.where(left <= 0, rest, np.where(n_below > 0, (2 * n_below - 1) / size, (kinds_below - kinds) / size * rest))
+            rest = np.where(known, lower, rest)
+        size = 2 * np.maximum(total, 1)
+        if k == 0 and not unseen:
+            now = n / np.maximum(total, 1)
+        else:
+            now = np.where(n > 0, (2 * n - 1) / size, kinds / size * rest)
+        value = np.where(known & (total > 0), now, value)
+        n_below, total_below, kinds_below = n, total, kinds
+    return np.log10(np.maximum(value, 1e-30))
+
+
+def _groups(batches: Iterator[pa.RecordBatch], most: int = 200_000) -> Iterator[pa.Table]:
+    """Whole groups, many at a time."""
+    held: list[pa.Table] = []
+    for table in grouped(batches, "part"):
+        held.append(table)
+        if sum(t.num_rows for t in held) >= most:
+            yield pa.concat_tables(held)
+            held = []
+    if held:
+        yield pa.concat_tables(held)
+
+
+def dealt(grams: DataFrame) -> DataFrame:
+    """Rows with a packed key, whole groups in one task: the last symbols of the context are the group."""
+    part = F.shiftright("key", BITS).bitwiseAND(_mask(DEALT))
+    return grams.withColumn("part", part).repartition("part").sortWithinPartitions("part")
+
+
+def _frequent(order: int, least: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _groups(batches):
+            keys, n = table["key"].to_numpy(), table["n"].to_numpy()
+            for k in range(DEALT, order + 1):
+                own = level(keys, n, k, None)
+                keep = own.total[np.searchsorted(own.ctx, own.pairs >> BITS)] >= least
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(int(keep.sum()), k, np.int32)), pa.array(own.pairs[keep]), pa.array(own.n[keep])], ["k", "pair", "n"])
+
+    return run
+
+
+def short_levels(grams: DataFrame, order: int) -> list[Level]:
+    """Levels of contexts below ``DEALT`` symbols; the alphabet bounds their pairs."""
+    # at most 257 ** DEALT rows; running text has some 100,000
+    rows = grams.groupBy(F.col("key").bitwiseAND(_mask(DEALT)).alias("key")).agg(F.sum("n").alias("n")).toArrow()
+    keys, n = rows["key"].to_numpy(), rows["n"].to_numpy()
+    out: list[Level] = []
+    for k in range(min(DEALT, order + 1)):
+        out.append(level(keys, n, k, out[-1] if out else None))
+    return out
+
+
+def train_model(grams: DataFrame, short: list[Level], order: int, least: int) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(context, symbol, count) by length, of contexts that at least ``least`` symbols follow."""
-    keep = stats.where((F.col("total") >= least) | (F.col("k") == 0)).select("k", "ctx")
-    # at most (order + 1) * total / least contexts, of at most 257 symbols
-    rows = pairs.join(keep, ["k", "ctx"], "left_semi").toArrow()
-    k, ctx, sym, n = (rows[c].to_numpy() for c in ("k", "ctx", "sym", "n"))
-    return {i: (ctx[k == i], sym[k == i].astype(np.int16), n[k == i].astype(np.float32)) for i in range(order + 1)}
-
-
-def gram_scores(keys: DataFrame, pairs: DataFrame, stats: DataFrame, order: int, unseen: int) -> DataFrame:
-    """key, logp of distinct packed grams: the definition of ``build``, from the tables of all contexts."""
-
-    def along(asked: DataFrame, table: DataFrame, on: list[str]) -> DataFrame:
-        # contexts of at most one symbol are few and hot
-        low = asked.where("k <= 1").join(F.broadcast(table.where("k <= 1")), on, "left")
-        return low.unionByName(asked.where("k > 1").join(table.where("k > 1"), on, "left"))
-
-    rows = along(along(suffixes(keys, order), pairs, ["k", "ctx", "sym"]), stats, ["k", "ctx"])
-    names = ("n", "total", "kinds", "inside")
-    rows = rows.groupBy("key").agg(*[F.coalesce(F.max(F.when(F.col("k") == i, F.col(c))), F.lit(0)).alias(f"{c}_{i}") for i in range(order + 1) for c in names])
-    n, total, kinds, inside = ([F.col(f"{c}_{i}") for i in range(order + 1)] for c in names)
-    rest = F.lit(1 / max(unseen, 1))
-    if unseen:
-        value = F.when(n[0] > 0, (2 * n[0] - 1) / (2 * total[0])).when(total[0] > 0, kinds[0] / (2 * total[0]) * rest).otherwise(rest)
-    else:
-        value = n[0] / total[0]
-    rows = rows.withColumn("rest", rest).withColumn("value", value)
-    for i in range(1, order + 1):
-        left = total[i - 1] - inside[i]
-        lower = F.when(left <= 0, F.col("rest")).when(n[i - 1] > 0, (2 * n[i - 1] - 1) / (2 * left)).otherwise((kinds[i - 1] - kinds[i]) / (2 * left) * F.col("rest"))
-        rows = rows.withColumn("rest", F.when(total[i] > 0, lower).otherwise(F.col("rest")))
-        own = F.when(n[i] > 0, (2 * n[i] - 1) / (2 * total[i])).otherwise(kinds[i] / (2 * total[i]) * F.col("rest"))
-        rows = rows.withColumn("value", F.when(total[i] > 0, own).otherwise(F.col("value")))
-    return rows.select("key", F.log10(F.greatest("value", F.lit(1e-30))).alias("logp"))
+    parts = {}
+    for k, own in enumerate(short):
+        keep = own.total[np.searchsorted(own.ctx, own.pairs >> BITS)] >= (least if k else 0)
+        parts[k] = own.pairs[keep], own.n[keep]
+    if order >= DEALT:
+        # at most total / least contexts of each length, of at most 257 symbols
+        rows = dealt(grams.select("key", "n")).mapInArrow(_frequent(order, least), "k int, pair long, n long").toArrow()
+        k, pair, n = (rows[c].to_numpy() for c in ("k", "pair", "n"))
+        parts |= {i: (pair[k == i], n[k == i]) for i in range(DEALT, order + 1)}
+    return {i: (p >> BITS, (p & _mask(1)).astype(np.int16), n.astype(np.float32)) for i, (p, n) in parts.items()}
+
+
+def gram_scores(keys: DataFrame, grams: DataFrame, short: list[Level], order: int, unseen: int) -> DataFrame:
+    """key, logp of distinct packed grams, from all contexts."""
+    spread_short = keys.sparkSession.sparkContext.broadcast(short)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _groups(batches):
+            key, n = table["key"].to_numpy(), table["n"].to_numpy()
+            asked = key[n == 0]
+            levels = list(spread_short.value)
+            for k in range(DEALT, order + 1):
+                levels.append(level(key[n > 0], n[n > 0], k, levels[-1]))
+            for a in range(0, len(asked), 100_000):
+                own = asked[a : a + 100_000]
+                yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(walk(own, levels, unseen))], ["key", "logp"])
+
+    both = grams.select("key", "n").unionByName(keys.select("key", F.lit(0).cast("long").alias("n")))
+    return dealt(both).mapInArrow(run, "key long, logp double")
 
 
 _BUILT: dict[object, PpmModel] = {}
@@ -319,11 +422,11 @@ def tally(doc: np.ndarray, key: np.ndarray, n_docs: int) -> tuple[pa.Array, pa.A
     return pa.ListArray.from_arrays(pa.array(at), pa.array(key[cut])), pa.ListArray.from_arrays(pa.array(at), pa.array(times))
 
 
-def _score(spread, seen: tuple[int, float], whole: bool):
+def _score(shared, seen: tuple[int, float], whole: bool):
     ends, denominator = seen
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, order, levels, keys, logs = spread.value
+        key, order, levels, keys, logs = shared.value
         model = built(key, order, levels)
         row = TaskContext.get().partitionId() << 40
         for batch in batches:
@@ -365,32 +468,33 @@ def _score(spread, seen: tuple[int, float], whole: bool):
     return run
 
 
-def lm_score(docs: DataFrame, order: int = 5, max_contexts: int = 1 << 18, parts: int = 7, held: int = 2) -> DataFrame:
+def lm_score(docs: DataFrame, order: int = 6, max_contexts: int = 1 << 18, parts: int = 7, held: int = 2) -> DataFrame:
     """Scores every text by a model of the texts whose fold of ``parts`` is not ``held``.
 
     doc_id, held_out, n_tokens, n_known, train_tokens, base_score (add-one word
     model) and score (log10 probability). Words are told apart by 64-bit hashes.
     """
     spark = docs.sparkSession
-    rows = docs.select("doc_id", (fold("doc_id", parts) == held).alias("held_out"), F.col("text").cast("string").alias("text"))
+    rows = spread(docs.select("doc_id", (fold("doc_id", parts) == held).alias("held_out"), F.col("text").cast("string").alias("text")))
     counts = count_corpus(rows.where(~F.col("held_out")), order)
     words = counts.where("kind = 1")
     n, v = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     ends = counts.where("kind = 2").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     n, v = n + ends, v + (ends > 0)
     denominator = float(n + 1 * (v + 1))
-    pairs, stats = context_tables(counts, order)
-    total = stats.where("k = 0").agg(F.sum("total")).first()[0] or 0
+    grams = counts.where("kind = 0").select("key", "n")
+    short = short_levels(grams, order)
+    total = int(short[0].total.sum())
     sent = max(1, math.ceil(total / max_contexts))
-    levels = train_model(pairs, stats, order, sent)
+    levels = train_model(grams, short, order, sent)
     unseen = END - len(np.unique(levels[0][1]))
     least = max(1, math.ceil(n / HEAVY))
     heavy = words.where(F.col("n") >= least).select("key", "n").toArrow().sort_by("key")
     logs = np.log10((heavy["n"].to_numpy().astype(np.float64) + 1) / denominator)
-    spread = spark.sparkContext.broadcast((uuid.uuid4().hex, order, levels, heavy["key"].to_numpy(), logs))
+    shared = spark.sparkContext.broadcast((uuid.uuid4().hex, order, levels, heavy["key"].to_numpy(), logs))
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"row long, doc_id {kind}, held_out boolean, n_tokens long, known long, heavy double, score double, rare array<long>, times array<int>, grams array<long>, gram_times array<int>"
-    scored = durable(rows.mapInArrow(_score(spread, (ends, denominator), sent == 1), schema), "ppm-scored")
+    scored = durable(rows.mapInArrow(_score(shared, (ends, denominator), sent == 1), schema), "ppm-scored")
     rare = scored.select("row", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("row", F.col("x.rare").alias("key"), F.col("x.times").alias("times"))
     found = rare.join(words.where(F.col("n") < least).select("key", F.col("n").alias("c")), "key", "left")
     seen = F.col("c").isNotNull()
@@ -400,9 +504,9 @@ def lm_score(docs: DataFrame, order: int = 5, max_contexts: int = 1 << 18, parts
     )
     score = F.col("score")
     if sent > 1:
-        grams = scored.select("row", F.explode(F.arrays_zip("grams", "gram_times")).alias("x")).select("row", F.col("x.grams").alias("key"), F.col("x.gram_times").alias("times"))
-        logps = durable(gram_scores(grams.select("key").distinct(), pairs, stats, order, unseen), "ppm-gram-scores")
-        deep = grams.join(logps, "key").groupBy("row").agg(F.sum(F.col("times") * F.col("logp")).alias("deep"))
+        open_ = scored.select("row", F.explode(F.arrays_zip("grams", "gram_times")).alias("x")).select("row", F.col("x.grams").alias("key"), F.col("x.gram_times").alias("times"))
+        logps = durable(gram_scores(open_.select("key").distinct(), grams, short, order, unseen), "ppm-gram-scores")
+        deep = open_.join(logps, "key").groupBy("row").agg(F.sum(F.col("times") * F.col("logp")).alias("deep"))
         rest = rest.join(deep, "row", "full")
         score = F.col("score") + F.coalesce("deep", F.lit(0.0))
     return scored.join(rest, "row", "left").select(
