@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, few, grouped, slices, text_tag
+from .common import durable, few, grouped, release, slices, spread, text_tag, without
 from .components import connected
 from .textcode import _BYTE_CODE, _BYTE_CODE2, Tokens, mix64, shingle_hashes, words_of
 
@@ -223,11 +223,13 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", threshold: float =
     class_id is the smallest id of the connected component, n_links the number
     of other rows whose text has a similarity of ``threshold`` or more, copies
     included; keeper marks the smallest (id, tag) of the class. Null texts are
-    empty; a text without words is its own class. Null ids count as smallest.
+    empty; a text without words is its own class. Null ids count as smallest,
+    repeated rows are copies of each other. Very long texts are compared whole.
+    An empty table gives an empty result.
     """
     bands, rows = choose_bands(threshold, recall)
     kind = docs.schema[id_col].dataType.simpleString()
-    texts = docs.select(F.col(id_col).alias("id"), F.col("text").cast("string").alias("text"))
+    texts = spread(docs.select(F.col(id_col).alias("id"), F.col("text").cast("string").alias("text")))
     schema = f"row long, id {kind}, tag long, n_words long, k1 long, k2 long, bands array<long>"
     known = texts.select("id", text_tag().alias("tag"), "text")
     known = durable(known.mapInArrow(_signatures(bands, rows, width), schema), "jaccard-signatures")
@@ -256,6 +258,7 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", threshold: float =
     label = connected(found.where("rep <> root").select(F.col("root").alias("a"), F.col("rep").alias("b")))
     named = classes.join(links, "rep", "left").join(label.withColumnRenamed("node", "rep"), "rep", "left")
     named = durable(named.select("k1", "k2", "first", "copies", F.coalesce("label", "rep").alias("label"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")), "jaccard-named")
+    release(classes, reps, needed, wanted, sets, found)
     heads = named.groupBy("label").agg(F.min("first").alias("head"))
     named = named.join(heads, "label").select("k1", "k2", "head", "n_links", "copies")
     mine = F.struct("id", "tag")
@@ -270,16 +273,19 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", threshold: float =
 
 
 def keep_one(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
-    """The rows of ``docs`` that stand for their class; of repeated rows with words, one."""
+    """The rows of ``docs`` that stand for their class; of repeated rows with words, one.
+
+    Rows whose text has no word stay, empty tables stay empty, and other columns
+    of any name are kept.
+    """
     classes = durable(jaccard_classes(docs, threshold=threshold).groupBy("doc_id", "tag").agg(F.first("keeper").alias("keeper"), F.first("n_copies").alias("copies"), F.count("*").alias("times")), "jaccard-decisions")
-    gone = classes.where("not keeper").select(F.col("doc_id").alias("gone_id"), F.col("tag").alias("gone_tag"))
+    kept = without(docs, classes.where("not keeper"))
     twice = classes.where("keeper and copies > 1 and times > 1").select(F.col("doc_id").alias("twice_id"), F.col("tag").alias("twice_tag"))
-    tagged = docs.withColumn("__tag", text_tag())
-    same = lambda what: F.col("doc_id").eqNullSafe(F.col(f"{what}_id")) & (F.col("__tag") == F.col(f"{what}_tag"))
-    kept = tagged.join(few(gone), same("gone"), "left_anti")
     if twice.isEmpty():
-        return kept.select(docs.columns)
+        return kept
     twice = few(twice)
-    once = kept.join(twice, same("twice"), "left_anti")
-    again = kept.join(twice, same("twice"), "left_semi").dropDuplicates(["doc_id", "__tag"])
-    return once.unionByName(again).select(docs.columns)
+    rows = kept.select(F.struct("*").alias("row"), F.col("doc_id").alias("own_id"), text_tag().alias("own_tag"))
+    same = F.col("own_id").eqNullSafe(F.col("twice_id")) & (F.col("own_tag") == F.col("twice_tag"))
+    once = rows.join(twice, same, "left_anti")
+    again = rows.join(twice, same, "left_semi").dropDuplicates(["own_id", "own_tag"])
+    return once.unionByName(again).select("row.*")
