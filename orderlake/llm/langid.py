@@ -6,17 +6,18 @@ to single characters, each step down weighing less. Log frequencies become
 log shares across languages, so every word votes on one scale; the document's
 sums give the language and, by softmax, the score.
 
-The model is fitted on a bounded sample of labelled rows (``max_train``) and
-holds at most ``max_words`` words and ``max_grams`` n-grams. Words are runs of
-letters, digits and characters beyond ASCII, lower-cased. A null text or one
-without a letter is ``und`` with score 0; ties go to the smallest language; a
-text whose words say nothing gets the most frequent language. With no labelled
-row every text is ``und``.
+The model is fitted on a bounded sample of labelled texts (``max_train``, each
+text of an id once) and holds every word and every n-gram of it, told apart by
+64-bit hashes. Words are runs of letters, digits and characters beyond ASCII,
+lower-cased. A null text or one without a letter is ``und`` with score 0; ties
+go to the smallest language; a text whose words say nothing gets the most
+frequent language. With no labelled row every text is ``und``. Repeated rows and
+null ids are predicted each, very long texts whole, an empty table gives an empty
+result, and columns other than doc_id, text and lang are not looked at.
 """
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,8 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, durable, few, fold, slices, text_tag
-from .textcode import buffer_of, tokenize, WORD_BYTES, words_of
+from .common import bounded_sample, durable, fold, release, slices, spread, text_tag, without
+from .textcode import _BASE, buffer_of, mix64, tokenize, words_of
 
 UNKNOWN = "und"
 #: Weight of a fallback n-gram vote by the steps down from the longest.
@@ -53,6 +54,25 @@ def _hash_words(words: list[str]) -> np.ndarray:
     return tokens.hashes()
 
 
+def gram_hashes(code: np.ndarray, k: int) -> np.ndarray:
+    """A 64-bit hash of the ``k`` characters from each place on."""
+    n = max(len(code) - k + 1, 0)
+    with np.errstate(over="ignore"):
+        letter = mix64(code.astype(np.uint64) + np.uint64(1))
+        out = np.full(n, np.uint64(k))
+        for j in range(k):
+            out = out * _BASE + letter[j : j + n]
+        return mix64(out)
+
+
+def characters(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Code points of the words, each between ``^`` and ``$``, which no word holds; where each begins, plus the end."""
+    if not words:
+        return np.zeros(0, np.uint32), np.zeros(1, np.int64)
+    code = np.frombuffer((b"^" + b"$^".join(words) + b"$").decode("utf-8", "replace").encode("utf-32-le"), np.uint32)
+    return code, np.append(np.flatnonzero(code == ord("^")), len(code))
+
+
 def _shares(counts: np.ndarray, totals: np.ndarray, smooth: float) -> np.ndarray:
     """Log share of each language among the smoothed relative frequencies of each row."""
     p = (counts + smooth) / (totals + smooth * 1000)
@@ -60,32 +80,45 @@ def _shares(counts: np.ndarray, totals: np.ndarray, smooth: float) -> np.ndarray
 
 
 class LanguageModel:
+    """Sorted hashes of words and of n-grams, with a vote for each language."""
+
     def __init__(self, langs: list[str], prior: np.ndarray, words: tuple[list[str], np.ndarray], grams: tuple[list[str], np.ndarray], totals: np.ndarray, gram_totals: np.ndarray, longest: int) -> None:
-        self.key, self.langs, self.longest, self.best = uuid.uuid4().hex, langs, longest, int(prior.argmax())
+        self.langs, self.longest, self.best = langs, longest, int(prior.argmax())
         h = _hash_words(words[0]) if words[0] else np.zeros(0, np.uint64)
         order = np.argsort(h)
         self.word_keys, self.word_votes = h[order], _shares(words[1][order], totals, 0.5)
-        self.gram_id = {g: i for i, g in enumerate(grams[0])}
         size = np.array([len(g) for g in grams[0]], int)
-        self.gram_votes = _shares(grams[1], gram_totals[np.minimum(size, longest)] if len(size) else np.ones((0, len(langs))), 0.5) * (STEP ** (1 + longest - size))[:, None].astype(np.float32)
+        h = np.zeros(len(size), np.uint64)
+        for k in range(1, longest + 1):
+            own = np.flatnonzero(size == k)
+            code = np.frombuffer("".join(grams[0][i] for i in own).encode("utf-32-le"), np.uint32)
+            h[own] = gram_hashes(code, k)[::k]
+        order = np.argsort(h)
+        votes = _shares(grams[1], gram_totals[size], 0.5) * (STEP ** (1 + longest - size))[:, None].astype(np.float32)
+        self.gram_keys, self.gram_votes = h[order], votes[order]
 
-    def fallback(self, words: list[str]) -> np.ndarray:
+    def fallback(self, words: list[bytes]) -> np.ndarray:
         """Votes of unseen words: the mean over their longest known n-grams."""
-        find, ids, at = self.gram_id.get, [], []
-        for word in words:
-            text = f"^{word}$"
-            at.append(len(ids))
-            for k in range(min(self.longest, len(text)), 0, -1):
-                own = [g for g in (find(text[i : i + k]) for i in range(len(text) - k + 1)) if g is not None]
-                if own:
-                    ids += own
-                    break
         out = np.zeros((len(words), len(self.langs)), np.float32)
-        n = np.diff([*at, len(ids)])
-        some = n > 0
-        if some.any():
-            sums = np.add.reduceat(self.gram_votes[ids], np.array(at)[some])
-            out[some] = sums / n[some][:, None]
+        if not words or not len(self.gram_keys):
+            return out
+        code, first = characters(words)
+        word = np.repeat(np.arange(len(words)), np.diff(first))
+        for k in range(self.longest, 0, -1):
+            h = gram_hashes(code, k)
+            h = np.where(word[: len(h)] == word[k - 1 :], h, np.uint64(0))
+            place = np.minimum(np.searchsorted(self.gram_keys, h), len(self.gram_keys) - 1)
+            known = np.flatnonzero((self.gram_keys[place] == h) & (word[: len(h)] == word[k - 1 :]))
+            if not len(known):
+                continue
+            own, votes = word[known], self.gram_votes[place[known]]
+            n = np.bincount(own, minlength=len(words))
+            some = np.flatnonzero(n)
+            out[some] = np.stack([np.bincount(own, votes[:, j], len(words)) for j in range(votes.shape[1])], 1)[some] / n[some][:, None]
+            left = n[word] == 0
+            code, word = code[left], word[left]
+            if not len(code):
+                break
         return out
 
     def predict(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -99,7 +132,7 @@ class LanguageModel:
         else:
             known = np.zeros(len(keys), bool)
         rest = np.flatnonzero(~known)
-        votes[rest] = self.fallback([w.decode("utf-8", "replace") for w in tokens.words(at[rest])])
+        votes[rest] = self.fallback(tokens.words(at[rest]))
         sums = np.stack([np.bincount(tokens.doc, votes[inverse, k], n) for k in range(len(self.langs))], 1)
         top = sums.argmax(1)
         top[(sums == sums[:, :1]).all(1)] = self.best
@@ -107,25 +140,21 @@ class LanguageModel:
         return top, (p / p.sum(1, keepdims=True))[np.arange(n), top]
 
 
-def train(rows: DataFrame, max_train: int, max_words: int, max_grams: int, longest: int) -> LanguageModel | None:
+def train(rows: DataFrame, max_train: int, longest: int) -> LanguageModel | None:
     """From (doc_id, lang, text)."""
-    sample = bounded_sample(rows.where("lang is not null"), max_train).select("lang", F.col("text").cast("string").alias("text"))
-    counts = sample.mapInArrow(_word_counts, "lang string, word string, n long")
+    some = rows.where("lang is not null").select("doc_id", text_tag().alias("tag"), "lang", F.col("text").cast("string").alias("text"))
+    some = bounded_sample(some, max_train, "doc_id", "tag").dropDuplicates(["doc_id", "tag", "lang"]).select("lang", "text")
+    counts = some.mapInArrow(_word_counts, "lang string, word string, n long")
     counts = durable(counts.groupBy("lang", "word").agg(F.sum("n").alias("n")), "langid-words")
     totals = {r["lang"]: r["n"] for r in counts.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
     if not totals:
         return None
     langs = sorted(totals)
-    number = {x: i for i, x in enumerate(langs)}
 
-    def table(pairs: DataFrame, name: str, most: int, least: int) -> tuple[list[str], np.ndarray]:
-        best = pairs.groupBy(name).agg(F.sum("n").alias("all")).where(F.col("all") >= least).orderBy(F.desc("all"), name).limit(most)
-        got = pairs.join(F.broadcast(best), name).select(name, "lang", "n").toPandas()
-        names = sorted(set(got[name]))
-        where = {x: i for i, x in enumerate(names)}
-        out = np.zeros((len(names), len(langs)))
-        out[got[name].map(where).to_numpy(int), got["lang"].map(number).to_numpy(int)] = got["n"].to_numpy(float)
-        return names, out
+    def table(pairs: DataFrame, name: str) -> tuple[list[str], np.ndarray]:
+        # the words and n-grams of max_train texts; a row each, with the counts by language side by side
+        got = pairs.groupBy(name).agg(*[F.sum(F.when(F.col("lang") == x, F.col("n")).otherwise(0)).alias(f"n{k}") for k, x in enumerate(langs)]).toArrow().sort_by(name)
+        return got[name].to_pylist(), np.stack([got[f"n{k}"].to_numpy() for k in range(len(langs))], 1).astype(np.float32)
 
     marked = F.concat(F.lit("^"), "word", F.lit("$"))
     each = [counts.select("lang", "n", F.explode(F.transform(F.sequence(F.lit(1), F.length("word") + 3 - k), lambda i: F.substring(marked, i, F.lit(k)))).alias("gram")).where(F.length("gram") == k) for k in range(1, longest + 1)]
@@ -133,26 +162,29 @@ def train(rows: DataFrame, max_train: int, max_words: int, max_grams: int, longe
     for more in each[1:]:
         grams = grams.unionByName(more)
     grams = durable(grams.groupBy("lang", "gram").agg(F.sum("n").alias("n")), "langid-grams")
+    number = {x: i for i, x in enumerate(langs)}
     gram_totals = np.ones((longest + 1, len(langs)))
     for r in grams.groupBy(F.length("gram").alias("k"), "lang").agg(F.sum("n").alias("n")).collect():
         gram_totals[r["k"], number[r["lang"]]] = r["n"]
     total = np.array([totals[x] for x in langs], float)
-    return LanguageModel(langs, total, table(counts, "word", max_words, 2), table(grams, "gram", max_grams, 3), total, gram_totals, longest)
+    model = LanguageModel(langs, total, table(counts, "word"), table(grams, "gram"), total, gram_totals, longest)
+    release(counts, grams)
+    return model
 
 
-def identify(docs: DataFrame, parts: int = 4, held: int = 2, max_train: int = 4000, max_words: int = 60_000, max_grams: int = 60_000, longest: int = 5, tagged: bool = False) -> DataFrame:
+def identify(docs: DataFrame, parts: int = 4, held: int = 2, max_train: int = 8000, longest: int = 5, tagged: bool = False) -> DataFrame:
     """doc_id, held_out, lang_pred, score of every row, and if ``tagged`` its text tag; learns from rows whose fold is not ``held``."""
     spark = docs.sparkSession
     more = ["tag"] if tagged else []
     rows = docs.select("doc_id", (fold("doc_id", parts) == held).alias("held_out"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
-    model = train(rows.where(~F.col("held_out")), max_train, max_words, max_grams, longest)
-    rows = rows.select("doc_id", "held_out", F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("letters"), "text", *(text_tag().alias(c) for c in more))
+    model = train(rows.where(~F.col("held_out")), max_train, longest)
+    rows = spread(rows).select("doc_id", "held_out", F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("letters"), "text", *(text_tag().alias(c) for c in more))
     if model is None:
         return rows.select("doc_id", "held_out", F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"), *more)
-    spread = spark.sparkContext.broadcast(model)
+    shared = spark.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = spread.value
+        own = shared.value
         for batch in batches:
             for part in slices(batch, "text"):
                 top, score = own.predict(part.column(3))
@@ -164,13 +196,6 @@ def identify(docs: DataFrame, parts: int = 4, held: int = 2, max_train: int = 40
     return rows.mapInArrow(run, f"doc_id {kind}, held_out boolean, lang_pred string, score double" + ", tag long" * tagged)
 
 
-def keep_known(docs: DataFrame, least: float = 0.5) -> DataFrame:
-    """Rows whose text has a language that the model knows, by ``least`` or more."""
-    return keep_by(docs, identify(docs, tagged=True), (F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least))
-
-
-def keep_by(docs: DataFrame, verdicts: DataFrame, good: F.Column) -> DataFrame:
-    """Rows of ``docs`` whose id and text have no verdict (doc_id, tag) but good ones."""
-    bad = durable(verdicts.where(~good).select(F.col("doc_id").alias("bad_id"), F.col("tag").alias("bad_tag")).distinct(), "rejected")
-    same = F.col("doc_id").eqNullSafe(F.col("bad_id")) & (F.col("__tag") == F.col("bad_tag"))
-    return docs.withColumn("__tag", text_tag()).join(few(bad), same, "left_anti").select(docs.columns)
+def keep_known(docs: DataFrame) -> DataFrame:
+    """Rows whose text has a language that the model knows: all but those that are ``und``."""
+    return without(docs, identify(docs, tagged=True).where(F.col("lang_pred") == UNKNOWN))
