@@ -65,7 +65,10 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = "allow") -> DataFra
     each = each.select("host", "path", _digest(F.col("h"), F.col("p")).alias("digest")).withColumn("short", _short(F.col("digest")))
     hits = each.join(rules, "short").where("digest = r_digest")
     best = hits.groupBy("host", "path").agg(F.max("fit").alias("fit")).select(F.col("host").alias("b_host"), F.col("path").alias("b_path"), "fit")
-    out = rows.join(best, (F.col("host") == F.col("b_host")) & (F.col("path") == F.col("b_path")), "left")
+    # rows without a host fit nothing: dealt by their id, not all by one empty host
+    deal = F.when(F.col("host") == "", F.xxhash64("page_id")).otherwise(F.lit(0).cast("long"))
+    best = best.withColumn("b_deal", F.lit(0).cast("long"))
+    out = rows.withColumn("deal", deal).join(best, (F.col("host") == F.col("b_host")) & (F.col("path") == F.col("b_path")) & (F.col("deal") == F.col("b_deal")), "left")
     return out.select("page_id", "host", "path", F.col("fit.rule").alias("rule"), F.coalesce("fit.verdict", F.lit(default)).alias("verdict"))
 
 
