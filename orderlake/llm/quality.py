@@ -4,8 +4,12 @@ Statistics of each whole text become columns. Small gradient-boosted trees are
 grown on a bounded sample of labelled rows (``max_train``); each path from a
 root to a node is a conjunctive rule. A lasso logistic fit keeps few rules, and
 those are compiled into one Spark column expression over the statistics.
-Null and empty texts have zero statistics and are scored like any text.
-Without both labels the score is the share of label 1.
+Null and empty texts have zero statistics and are scored like any text; very
+long texts are scored whole. Repeated rows and null ids are scored each; a text
+of one id is learnt once. An id labelled both ways has the more frequent label,
+1 in a tie, and a null label is none. Without both labels the score is the share
+of label 1. An empty table gives an empty result, and columns other than doc_id,
+text and the label are not looked at.
 """
 
 from __future__ import annotations
@@ -18,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, slices
+from .common import fold, slices, spread
 from .textcode import buffer_of, tokenize, TOKEN_BYTES
 from .toxicity import labelled
 
@@ -164,7 +168,7 @@ def _tree(bins: np.ndarray, cuts: list[np.ndarray], g: np.ndarray, h: np.ndarray
     return paths, value
 
 
-def fit(x: np.ndarray, label: np.ndarray, trees: int = 40, depth: int = 3, rate: float = 0.3, least: int = 5, lasso: float = 2e-4, steps: int = 400) -> Rules:
+def fit(x: np.ndarray, label: np.ndarray, trees: int = 40, depth: int = 3, rate: float = 0.3, least: int = 5, lasso: float = 2e-4, steps: int = 600) -> Rules:
     y = label.astype(float)
     share = min(max(y.mean() if len(y) else 0.5, 1e-3), 1 - 1e-3)
     bias = float(np.log(share / (1 - share)))
@@ -223,15 +227,16 @@ def with_statistics(rows: DataFrame) -> DataFrame:
 
 
 def train(rows: DataFrame) -> Rules:
-    got = with_statistics(rows).toArrow().sort_by("doc_id")
+    # some 200 bytes for each of the sample's rows
+    got = with_statistics(spread(rows)).toArrow().sort_by([("id", "ascending"), ("tag", "ascending")])
     x = np.stack([got[s].to_numpy() for s in STATISTICS], 1)
     return fit(x, got["y"].to_numpy())
 
 
-def quality(docs: DataFrame, labels: DataFrame, parts: int = 3, held: int = 1, max_train: int = 8000) -> DataFrame:
+def quality(docs: DataFrame, labels: DataFrame, parts: int = 3, held: int = 1, max_train: int = 12_000) -> DataFrame:
     """doc_id, held_out, score, predicted of every row; learns labels of rows whose fold is not ``held``."""
     out = fold("doc_id", parts) == held
     model = train(labelled(docs, labels, "quality", ~out, max_train))
-    rows = with_statistics(docs.select("doc_id", out.alias("held_out"), F.col("text").cast("string").alias("text")))
+    rows = with_statistics(spread(docs.select("doc_id", out.alias("held_out"), F.col("text").cast("string").alias("text"))))
     rows = rows.select("doc_id", "held_out", model.column().alias("score"))
     return rows.select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
