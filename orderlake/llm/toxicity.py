@@ -3,10 +3,16 @@
 Terms are words and their first four and five bytes, hashed into ``buckets``;
 a document has each term once. The machine adds to the linear weights an inner
 product for every pair of terms present, so an insult with a group mention can
-weigh more than both alone. It is fitted on a bounded sample of labelled rows
-(``max_train``) over the ``max_terms`` terms that tell the labels apart best.
-Null and empty texts have no terms and get the score of the bias alone.
-Without both labels every score is the share of label 1.
+weigh more than both alone. It is fitted, by one task, on a bounded sample of
+labelled rows (``max_train``) over every term that tells the labels apart, alone
+or beside another such term; the driver gets the weights only.
+
+Null and empty texts have no terms and get the score of the bias alone; very long
+texts are scored whole. Repeated rows and null ids are scored each; a text of one
+id is learnt once. An id labelled both ways has the more frequent label, 1 in a
+tie, and a null label is none. Without both labels every score is the share of
+label 1 (0.001 without any). An empty table gives an empty result, and columns
+other than doc_id, text and the label are not looked at.
 """
 
 from __future__ import annotations
@@ -19,11 +25,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, fold, slices, text_tag
-from .langid import keep_by
+from .common import bounded_sample, durable, fold, slices, spread, text_tag, without
 from .textcode import mix64, words_of
 
-BUCKETS = 1 << 20
+BUCKETS, RANK = 1 << 20, 4
 
 
 def terms(column: pa.Array, buckets: int = BUCKETS) -> tuple[np.ndarray, np.ndarray]:
@@ -65,22 +70,36 @@ class Machine:
         return 1 / (1 + np.exp(-np.clip(self.margin(doc[ok], place[ok], len(column)), -30, 30)))
 
 
-def fit(doc: np.ndarray, bucket: np.ndarray, label: np.ndarray, max_terms: int, rank: int = 4, epochs: int = 80, rate: float = 0.05, decay: float = 2e-3, seed: int = 3, buckets: int = BUCKETS) -> Machine:
-    n, y = len(label), label.astype(float)
-    share = min(max(y.mean() if n else 0.0, 1e-3), 1 - 1e-3)
-    bias = float(np.log(share / (1 - share)))
-    if not n or len(set(label.tolist())) < 2:
-        return Machine(np.zeros(0, np.int64), bias, np.zeros(0), np.zeros((0, rank)))
+def telling(doc: np.ndarray, bucket: np.ndarray, label: np.ndarray, evidence: float, buckets: int) -> np.ndarray:
+    """Buckets of at least three documents whose two by two table with the label has a chi-square above ``evidence``."""
+    n, y = len(label), float(label.sum())
     # counts by bucket: no sort of all terms, which are many
     df = np.bincount(bucket, minlength=buckets)
     hits = np.bincount(bucket[label[doc] == 1], minlength=buckets)
-    # chi-square of each term's two by two table
     some = np.flatnonzero(df >= 3)
     a, b = hits[some].astype(float), (df - hits)[some].astype(float)
-    c, d = y.sum() - a, (n - y.sum()) - b
+    c, d = y - a, (n - y) - b
     chi = n * (a * d - b * c) ** 2 / np.maximum((a + b) * (c + d) * (a + c) * (b + d), 1)
-    good = np.flatnonzero(chi > 15)
-    best = np.sort(some[good[np.argsort(-chi[good], kind="stable")[:max_terms]]])
+    return some[chi > evidence]
+
+
+def fit(doc: np.ndarray, bucket: np.ndarray, label: np.ndarray, evidence: float = 15.0, rank: int = RANK, epochs: int = 80, rate: float = 0.05, decay: float = 2e-3, seed: int = 3, buckets: int = BUCKETS) -> Machine:
+    """Over all terms that tell the labels apart, in all documents or in those that hold such a term.
+
+    The second look, which asks for twice the evidence as it is one among many, takes
+    in terms that matter only beside another one.
+    """
+    n, y = len(label), label.astype(float)
+    share = min(max(y.mean() if n else 0.0, 1e-3), 1 - 1e-3)
+    bias = float(np.log(share / (1 - share)))
+    if not n or len(set(label.tolist())) < 2:
+        return Machine(np.zeros(0, np.int64), bias, np.zeros(0), np.zeros((0, rank)))
+    best = telling(doc, bucket, label, evidence, buckets)
+    mark = np.zeros(buckets, bool)
+    mark[best] = True
+    beside = np.bincount(doc, mark[bucket], n) > 0
+    own = beside[doc]
+    best = np.union1d(best, telling((np.cumsum(beside) - 1)[doc[own]], bucket[own], label[beside], 2 * evidence, buckets))
     if not len(best):
         return Machine(np.zeros(0, np.int64), bias, np.zeros(0), np.zeros((0, rank)))
     where = np.full(buckets, -1, np.int32)
@@ -115,54 +134,70 @@ def fit(doc: np.ndarray, bucket: np.ndarray, label: np.ndarray, max_terms: int,
 
 
 def labelled(docs: DataFrame, labels: DataFrame, name: str, learn: F.Column, bound: int) -> DataFrame:
-    """doc_id, text, y of about ``bound`` labelled rows whose label satisfies ``learn``.
+    """id, tag, text, y of about ``bound`` labelled rows whose label satisfies ``learn``.
 
     An id labelled both ways gets the more frequent label, 1 in a tie. Labels
-    are sampled first: the bound keeps them small enough to broadcast, so no
-    text is shuffled.
+    are sampled first: the bound keeps them small enough to broadcast, so only
+    texts that they pick are shuffled. Each text of an id counts once, and an id
+    of many texts is sampled too, so the bound holds for rows.
     """
-    y = labels.where(F.col(name).isNotNull() & F.col("doc_id").isNotNull() & learn).groupBy(F.col("doc_id").alias("l")).agg((F.avg(name) >= 0.5).cast("int").alias("y"))
-    sample = bounded_sample(y, bound, "l")
-    return docs.join(F.broadcast(sample), F.col("doc_id") == F.col("l")).select("doc_id", F.col("text").cast("string").alias("text"), "y")
+    y = labels.where(F.col(name).isNotNull() & F.col("doc_id").isNotNull() & learn).groupBy(F.col("doc_id").alias("label_id")).agg((F.avg(name) >= 0.5).cast("int").alias("y"))
+    sample = bounded_sample(y, bound, "label_id")
+    texts = docs.select(F.col("doc_id").alias("id"), text_tag().alias("tag"), F.col("text").cast("string").alias("text"))
+    rows = texts.join(F.broadcast(sample), F.col("id") == F.col("label_id")).select("id", "tag", "text", "y").dropDuplicates(["id", "tag"])
+    return bounded_sample(durable(rows, "labelled"), bound, "id", "tag")
 
 
 def _terms_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in slices(batch, "text"):
-            doc, bucket = terms(part.column(1))
+            doc, bucket = terms(part.column(2))
             at = np.searchsorted(doc, np.arange(part.num_rows + 1)).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.ListArray.from_arrays(pa.array(at), pa.array(bucket.astype(np.int32)))], ["doc_id", "y", "terms"])
-
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(3), pa.ListArray.from_arrays(pa.array(at), pa.array(bucket.astype(np.int32)))], ["id", "tag", "y", "terms"])
 
-def train(rows: DataFrame, max_terms: int) -> Machine:
-    kind = rows.schema["doc_id"].dataType.simpleString()
-    got = rows.mapInArrow(_terms_of, f"doc_id {kind}, y int, terms array<int>").toArrow().sort_by("doc_id")
-    lists = [c for c in got["terms"].chunks]
-    size = np.concatenate([np.diff(c.offsets.to_numpy()) for c in lists]) if lists else np.zeros(0, int)
-    bucket = np.concatenate([c.flatten().to_numpy() for c in lists]) if lists else np.zeros(0, np.int32)
-    y = got["y"].to_numpy()
-    del got, lists
-    return fit(np.repeat(np.arange(len(size), dtype=np.int32), size), bucket, y, max_terms)
 
-
-def toxicity(docs: DataFrame, labels: DataFrame, parts: int = 5, held: int = 0, max_train: int = 8000, max_terms: int = 4096, tagged: bool = False) -> DataFrame:
+def _fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    size, bucket, y = [], [], []
+    for batch in batches:
+        size.append(batch.column(1).value_lengths().to_numpy())
+        bucket.append(batch.column(1).flatten().to_numpy())
+        y.append(batch.column(0).to_numpy())
+    if size:
+        size, bucket, y = np.concatenate(size), np.concatenate(bucket), np.concatenate(y)
+        model = fit(np.repeat(np.arange(len(size), dtype=np.int32), size), bucket, y)
+        parts = [model.keys.astype(np.int64), np.float64([model.bias]), model.weight, model.factor]
+        yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in parts], ["keys", "bias", "weight", "factor"])
+
+
+def train(rows: DataFrame) -> Machine:
+    """One task fits the bounded sample, in order of id and text."""
+    kind = rows.schema["id"].dataType.simpleString()
+    got = spread(rows).mapInArrow(_terms_of, f"id {kind}, tag long, y int, terms array<int>").repartition(1).sortWithinPartitions("id", "tag").select("y", "terms")
+    got = got.mapInArrow(_fit, "keys binary, bias binary, weight binary, factor binary").first()
+    if got is None:
+        return fit(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, int))
+    weight = np.frombuffer(got["weight"], np.float64)
+    return Machine(np.frombuffer(got["keys"], np.int64), float(np.frombuffer(got["bias"], np.float64)[0]), weight, np.frombuffer(got["factor"], np.float64).reshape(len(weight), RANK))
+
+
+def toxicity(docs: DataFrame, labels: DataFrame, parts: int = 5, held: int = 0, max_train: int = 12_000, tagged: bool = False) -> DataFrame:
     """doc_id, held_out, score, predicted of every row, and if ``tagged`` its text tag; learns labels of rows whose fold is not ``held``."""
     out = fold("doc_id", parts) == held
     more = ["tag"] if tagged else []
-    model = train(labelled(docs, labels, "toxic", ~out, max_train), max_terms)
-    spread = docs.sparkSession.sparkContext.broadcast(model)
+    sample = labelled(docs, labels, "toxic", ~out, max_train)
+    spread_model = docs.sparkSession.sparkContext.broadcast(train(sample))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
-                score = spread.value.score(part.column(2))
+                score = spread_model.value.score(part.column(2))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(score), pa.array((score >= 0.5).astype(np.int32)), *part.columns[3:]], ["doc_id", "held_out", "score", "predicted", *more])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", out.alias("held_out"), F.col("text").cast("string").alias("text"), *(text_tag().alias(c) for c in more))
-    return rows.mapInArrow(run, f"doc_id {kind}, held_out boolean, score double, predicted int" + ", tag long" * tagged)
+    return spread(rows).mapInArrow(run, f"doc_id {kind}, held_out boolean, score double, predicted int" + ", tag long" * tagged)
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Rows that are not predicted toxic."""
-    return keep_by(docs, toxicity(docs, labels, tagged=True), F.col("predicted") == 0)
+    return without(docs, toxicity(docs, labels, tagged=True).where("predicted = 1"))

@@ -59,7 +59,7 @@ def test_nothing_learned(spark):
 def test_backoff_shortens():
     counts = (["^t", "th", "he", "t", "h", "x"], np.array([[9.0, 1.0]] * 3 + [[5.0, 5.0], [5.0, 5.0], [0.0, 9.0]]))
     model = langid.LanguageModel(["a", "b"], np.array([1.0, 1.0]), (["known"], np.array([[0.0, 9.0]])), counts, np.array([9.0, 9.0]), np.full((3, 2), 100.0), 2)
-    longer, shorter, nothing = model.fallback(["the", "xq", "qqq"])
+    longer, shorter, nothing = model.fallback([b"the", b"xq", b"qqq"])
     assert longer[0] > longer[1] and shorter[1] > shorter[0] and not nothing.any()
     top, _ = model.predict(pa.array(["known", "the"]))
     assert [model.langs[k] for k in top] == ["b", "a"]
@@ -103,6 +103,8 @@ def test_toxicity(docs, labels):
     held, got = scored(toxicity.toxicity(docs, labels), labels, "toxic")
     assert len(got) == docs.count()
     assert sum(p == y for p, y in held) >= 0.9 * len(held)
+    toxic = [p for p, y in held if y]
+    assert 2 * sum(toxic) > len(toxic)
     bad = toxicity.keep_clean(docs, labels)
     assert bad.columns == docs.columns and 0.7 * docs.count() < bad.count() < docs.count()
 
@@ -118,7 +120,7 @@ def test_pairs_beyond_single_terms():
         texts.append(" ".join(words))
         y.append(int(a and b))
     doc, bucket = toxicity.terms(pa.array(texts))
-    model = toxicity.fit(doc, bucket, np.array(y), 200)
+    model = toxicity.fit(doc, bucket, np.array(y))
     assert ((model.score(pa.array(texts)) >= 0.5) == y).mean() > 0.99
     one = model.score(pa.array(["insultword w1 w2", "groupword w1 w2", "insultword w1 groupword"]))
     assert one[0] < 0.5 and one[1] < 0.5 and one[2] >= 0.5
