@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -50,6 +51,12 @@ def release(*tables: DataFrame) -> None:
         _WRITTEN[:] = [w for w in _WRITTEN if w[1] != table._durable_path]
 
 
+def sweep(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of steps whose results are written; it does so when the driver collects garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Deals the rows anew where the files of a small table give fewer partitions than there are cores."""
     cores, plan = df.sparkSession.sparkContext.defaultParallelism, df._jdf.queryExecution()
