@@ -37,7 +37,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, fold, grouped, slices, spread
+from .common import durable, fold, grouped, slices, spread, sweep
 from .textcode import ASCII_LOWER, TOKEN_BYTES, Tokens, buffer_of, tokenize
 
 END = 257
@@ -329,7 +329,8 @@ def walk(keys: np.ndarray, levels: list[Level], unseen: int) -> np.ndarray:
 def _groups(batches: Iterator[pa.RecordBatch], most: int = 200_000) -> Iterator[pa.Table]:
     """Whole groups, many at a time."""
     held: list[pa.Table] = []
-    for table in grouped(batches, "part"):
+    named = (pa.RecordBatch.from_arrays([*b.columns, pa.array(b.column(0).to_numpy() >> BITS & _mask(DEALT))], ["key", "n", "part"]) for b in batches)
+    for table in grouped(named, "part"):
         held.append(table)
         if sum(t.num_rows for t in held) >= most:
             yield pa.concat_tables(held)
@@ -339,9 +340,9 @@ def _groups(batches: Iterator[pa.RecordBatch], most: int = 200_000) -> Iterator[
 
 
 def dealt(grams: DataFrame) -> DataFrame:
-    """Rows with a packed key, whole groups in one task: the last symbols of the context are the group."""
+    """(key, n) with whole groups in one task: the last symbols of the context are the group."""
     part = F.shiftright("key", BITS).bitwiseAND(_mask(DEALT))
-    return grams.withColumn("part", part).repartition("part").sortWithinPartitions("part")
+    return grams.repartition(part).sortWithinPartitions(part)
 
 
 def _frequent(order: int, least: int):
@@ -487,6 +488,7 @@ def lm_score(docs: DataFrame, order: int = 6, max_contexts: int = 1 << 18, parts
     total = int(short[0].total.sum())
     sent = max(1, math.ceil(total / max_contexts))
     levels = train_model(grams, short, order, sent)
+    sweep(spark)
     unseen = END - len(np.unique(levels[0][1]))
     least = max(1, math.ceil(n / HEAVY))
     heavy = words.where(F.col("n") >= least).select("key", "n").toArrow().sort_by("key")
@@ -495,6 +497,7 @@ def lm_score(docs: DataFrame, order: int = 6, max_contexts: int = 1 << 18, parts
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"row long, doc_id {kind}, held_out boolean, n_tokens long, known long, heavy double, score double, rare array<long>, times array<int>, grams array<long>, gram_times array<int>"
     scored = durable(rows.mapInArrow(_score(shared, (ends, denominator), sent == 1), schema), "ppm-scored")
+    sweep(spark)
     rare = scored.select("row", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("row", F.col("x.rare").alias("key"), F.col("x.times").alias("times"))
     found = rare.join(words.where(F.col("n") < least).select("key", F.col("n").alias("c")), "key", "left")
     seen = F.col("c").isNotNull()
@@ -506,6 +509,7 @@ def lm_score(docs: DataFrame, order: int = 6, max_contexts: int = 1 << 18, parts
     if sent > 1:
         open_ = scored.select("row", F.explode(F.arrays_zip("grams", "gram_times")).alias("x")).select("row", F.col("x.grams").alias("key"), F.col("x.gram_times").alias("times"))
         logps = durable(gram_scores(open_.select("key").distinct(), grams, short, order, unseen), "ppm-gram-scores")
+        sweep(spark)
         deep = open_.join(logps, "key").groupBy("row").agg(F.sum(F.col("times") * F.col("logp")).alias("deep"))
         rest = rest.join(deep, "row", "full")
         score = F.col("score") + F.coalesce("deep", F.lit(0.0))
