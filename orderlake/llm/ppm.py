@@ -469,7 +469,7 @@ def _score(shared, seen: tuple[int, float], whole: bool):
     return run
 
 
-def lm_score(docs: DataFrame, order: int = 6, max_contexts: int = 1 << 18, parts: int = 7, held: int = 2) -> DataFrame:
+def lm_score(docs: DataFrame, order: int = 5, max_contexts: int = 1 << 17, parts: int = 7, held: int = 2) -> DataFrame:
     """Scores every text by a model of the texts whose fold of ``parts`` is not ``held``.
 
     doc_id, held_out, n_tokens, n_known, train_tokens, base_score (add-one word
