@@ -41,32 +41,34 @@ def key(n: int) -> str:
 
 @query(f"WITH {KV} SELECT key, value FROM kv WHERE key = '{key(7)}'")
 def kv_point_get(spark, d):
-    return scan.get(tables.order_rows(spark, d), key(7))
+    return scan.get(tables.order_rows(spark, d, key(7), key(7)), key(7))
 
 
 @query(f"WITH {KV} SELECT value, key FROM kv WHERE key = '{key(32)}'")
 def kv_get_required(spark, d):
-    return scan.get_required(tables.order_rows(spark, d), key(32))
+    return scan.get_required(tables.order_rows(spark, d, key(32), key(32)), key(32))
 
 
-@query(f"WITH {KV} SELECT count(*) > 0 AS found FROM kv WHERE key = '{key(999999999)}'")
+@query(f"WITH {KV}, a(key) AS (VALUES ('{key(999999999)}'), ('{key(32)}')) SELECT a.key, count(kv.key) > 0 AS found FROM a LEFT JOIN kv USING (key) GROUP BY 1")
 def kv_has(spark, d):
-    return scan.has(tables.order_rows(spark, d), key(999999999))
+    asked = [scan.has(tables.order_rows(spark, d, k, k), k).select(F.lit(k).alias("key"), "found") for k in (key(999999999), key(32))]
+    return asked[0].unionByName(asked[1])
 
 
 @query(f"WITH {KV}, a(pos, key) AS (VALUES (0, '{key(5)}'), (1, '{key(1)}'), (2, '{key(99999999)}'), (3, '{key(5)}')) SELECT pos::BIGINT AS pos, a.key, value FROM a LEFT JOIN kv USING (key)")
 def kv_multi_get(spark, d):
-    return scan.get_many(tables.order_rows(spark, d), [key(5), key(1), key(99999999), key(5)])
+    keys = [key(5), key(1), key(99999999), key(5)]
+    return scan.get_many(tables.order_rows(spark, d, keys=keys), keys)
 
 
 @query(f"WITH {KV} SELECT * FROM kv WHERE key BETWEEN '{key(10)}' AND '{key(900)}' ORDER BY key LIMIT 50")
 def kv_range_next(spark, d):
-    return scan.scan_range(tables.order_rows(spark, d), key(10), key(900), 50)
+    return scan.scan_range(tables.order_rows(spark, d, key(10), key(900)), key(10), key(900), 50)
 
 
 @query(f"WITH {KV} SELECT * FROM kv WHERE key BETWEEN '{key(10)}' AND '{key(900)}' ORDER BY key DESC LIMIT 50")
 def kv_range_prev(spark, d):
-    return scan.scan_range(tables.order_rows(spark, d), key(900), key(10), 50, "prev")
+    return scan.scan_range(tables.order_rows(spark, d, key(10), key(900)), key(900), key(10), 50, "prev")
 
 
 @query(f"WITH {KV} SELECT * FROM kv WHERE false")
@@ -76,7 +78,7 @@ def kv_prev_no_start(spark, d):
 
 @query(f"WITH {KV} SELECT key FROM kv WHERE key >= '{key(100)}' ORDER BY key LIMIT 25")
 def kv_keys_only(spark, d):
-    return scan.scan_range(tables.order_rows(spark, d), key(100), None, 25, values=False)
+    return scan.scan_range(tables.order_rows(spark, d, key(100)), key(100), None, 25, values=False)
 
 
 @query(f"WITH {KV} SELECT * FROM kv WHERE starts_with(key, 'orders/') ORDER BY key LIMIT 20")
@@ -86,7 +88,7 @@ def kv_prefix_page1(spark, d):
 
 @query(f"WITH {KV} SELECT key FROM kv WHERE starts_with(key, 'orders/') AND key > '{key(20)}' ORDER BY key LIMIT 20")
 def kv_prefix_page2(spark, d):
-    return scan.scan_prefix(tables.order_rows(spark, d), "orders/", key(20), 20, values=False).items()
+    return scan.scan_prefix(tables.order_rows(spark, d, key(20)), "orders/", key(20), 20, values=False).items()
 
 
 @query(f"WITH {KV}, p AS (SELECT key, row_number() OVER (ORDER BY key) AS n FROM kv WHERE starts_with(key, 'orders/0') ORDER BY key LIMIT 21) SELECT CASE WHEN max(n) > 20 THEN max(key) FILTER (n = 20) END AS next FROM p")
@@ -96,7 +98,7 @@ def kv_prefix_next(spark, d):
 
 @query(f"WITH {KV} SELECT key FROM kv WHERE starts_with(key, 'orders/') AND key < '{key(64)}' ORDER BY key LIMIT 100")
 def kv_older_than(spark, d):
-    return scan.scan_prefix(tables.order_rows(spark, d), "orders/", None, 100, values=False, below=key(64)).items()
+    return scan.scan_prefix(tables.order_rows(spark, d, upper=key(64)), "orders/", None, 100, values=False, below=key(64)).items()
 
 
 @query(f"WITH {KV} SELECT least(count(*), 777) AS n FROM kv WHERE starts_with(key, 'orders/')")
@@ -140,10 +142,10 @@ def feed_replay(spark, d):
     return scan.events_since(tables.table(spark, d, "events").select(F.col("event_id").alias("seq"), "value"), 100)
 
 
-@query("WITH v AS (SELECT row_number() OVER (ORDER BY c_custkey) AS n, c_name FROM customer WHERE c_custkey <= 30) SELECT n + (SELECT max(event_id) FROM events) AS seq, c_name AS value FROM v")
+@query("WITH v AS (SELECT row_number() OVER (ORDER BY c_custkey) AS n, c_name FROM customer) SELECT n + (SELECT max(event_id) FROM events) AS seq, c_name AS value FROM v")
 def feed_append(spark, d):
     feed = tables.table(spark, d, "events").select(F.col("event_id").alias("seq"), F.col("event_type").alias("value"))
-    values = tables.table(spark, d, "customer").where("c_custkey <= 30").select(F.col("c_custkey").alias("pos"), F.col("c_name").alias("value"))
+    values = tables.table(spark, d, "customer").select(F.col("c_custkey").alias("pos"), F.col("c_name").alias("value"))
     return store.append_feed(feed, values)
 
 
@@ -154,7 +156,7 @@ def feed_prune(spark, d):
 
 @query(f"WITH {KV} SELECT key, 9::BIGINT AS version FROM kv WHERE key < '{key(200)}'")
 def delete_prefix_chunked(spark, d):
-    return store.delete_prefix(tables.order_rows(spark, d), "orders/", 9, below=key(200)).select("key", "version")
+    return store.delete_prefix(tables.order_rows(spark, d, upper=key(200)), "orders/", 9, below=key(200)).select("key", "version")
 
 
 @query("SELECT 'user/' || lpad(user_id::VARCHAR, 20, '0') AS key, 7::BIGINT AS version, CASE WHEN arg_max(event_type, event_id) <> 'error' THEN arg_max(value, event_id) END AS value FROM events GROUP BY user_id")
@@ -200,10 +202,10 @@ def mvcc_scan_desc(spark, d):
     return mvcc.scan(tables.change_log(spark, d), 800, f"user/{10:020d}", f"user/{90:020d}", "prev", 25)
 
 
-@query(f"""WITH {LOG}, l AS (SELECT event_id AS row, 'user/' || lpad(user_id::VARCHAR, 20, '0') AS key, event_id - 50 AS pin FROM events WHERE event_id % 10 = 0)
+@query(f"""WITH {LOG}, l AS (SELECT event_id AS row, 'user/' || lpad(user_id::VARCHAR, 20, '0') AS key, event_id - 50 AS pin FROM events)
 SELECT l.row, l.key, l.pin, max(lg.version) AS version, arg_max_null(lg.value, lg.version) AS value FROM l LEFT JOIN lg ON l.key = lg.key AND lg.version <= l.pin GROUP BY ALL""")
 def mvcc_asof_join(spark, d):
-    left = tables.table(spark, d, "events").where("event_id % 10 = 0").select(F.col("event_id").alias("row"), tables.padded("user/", "user_id").alias("key"), (F.col("event_id") - 50).alias("pin"))
+    left = tables.table(spark, d, "events").select(F.col("event_id").alias("row"), tables.padded("user/", "user_id").alias("key"), (F.col("event_id") - 50).alias("pin"))
     return mvcc.as_of_join(left, tables.change_log(spark, d))
 
 
@@ -276,20 +278,20 @@ def lucene_json_dynamic(spark, d):
 
 @query(f"WITH {KV} SELECT key, value FROM kv WHERE key > '{key(100)}' AND regexp_matches(value, '\"status\":\"F\"') AND regexp_matches(value, '\"priority\":\"1-URGENT\"') ORDER BY key LIMIT 30")
 def lucene_page_after_cursor(spark, d):
-    rows = scan.scan_prefix(tables.order_rows(spark, d), "orders/", key(100), 1 << 30).rows
+    rows = scan.scan_prefix(tables.order_rows(spark, d, key(100)), "orders/", key(100), 1 << 30).rows
     return LF.where_json(rows, 'status:/^F$/ AND priority:"1-URGENT"').orderBy("key").limit(30)
 
 
 # ---------------------------------------------------------------- text and index
-SEARCHED = "documents WHERE lang = 'en'"
+SEARCHED = "documents"
 WORDS = "list_transform(regexp_extract_all(text, '[A-Za-z0-9_]+'), lambda w: lower(w))"
 
 
 def text_documents(spark: SparkSession, d: str) -> DataFrame:
-    """English documents as members of an index: flags from the labels, quality bit 0, toxic bit 1."""
+    """Documents as members of an index: flags from the labels, quality bit 0, toxic bit 1."""
     t, l = tables.table(spark, d, "documents"), tables.table(spark, d, "labels")
     flags = l.groupBy(F.col("doc_id").alias("l")).agg((F.max("quality") + 2 * F.max("toxic")).cast("long").alias("flags"))
-    rows = t.where("lang = 'en'").join(flags, F.col("doc_id") == F.col("l"), "left")
+    rows = t.join(flags, F.col("doc_id") == F.col("l"), "left")
     return rows.select(
         (F.col("doc_id") % 4).cast("int").alias("shard"),
         F.format_string("doc/%08d", "doc_id").alias("key"),
@@ -312,9 +314,9 @@ def tok_replica(spark, d):
     return tables.table(spark, d, "documents").select("doc_id", F.size(TX.replica_words(F.col("text"))).alias("n"))
 
 
-@query("SELECT item_id, len(list_filter(regexp_extract_all(text, '[\\p{L}\\p{N}\\p{Pc}][\\p{L}\\p{M}\\p{N}\\p{Pc}]*'), lambda x: true))::INTEGER AS n FROM benchmark")
+@query("SELECT doc_id, len(regexp_extract_all(text, '[\\p{L}\\p{N}\\p{Pc}][\\p{L}\\p{M}\\p{N}\\p{Pc}]*'))::INTEGER AS n FROM documents")
 def tok_unicode(spark, d):
-    return tables.table(spark, d, "benchmark").select("item_id", F.size(TX.unicode_words(F.col("text"))).alias("n"))
+    return tables.table(spark, d, "documents").select("doc_id", F.size(TX.unicode_words(F.col("text"))).alias("n"))
 
 
 @query(f"SELECT doc_id, len({WORDS}) <= 256 AND coalesce(list_max(list_transform({WORDS}, lambda w: len(w))), 0) <= 64 AS ok FROM documents")
@@ -322,12 +324,12 @@ def tok_budget_report(spark, d):
     return tables.table(spark, d, "documents").select("doc_id", TX.within_budget(TX.ascii_words(F.col("text"))).alias("ok"))
 
 
-POST = f"p AS (SELECT (doc_id % 4)::INTEGER AS shard, printf('doc/%08d', doc_id) AS key, term, count(*) AS tf, any_value(n) AS length FROM (SELECT doc_id, len({WORDS}) AS n, unnest({WORDS}) AS term FROM {SEARCHED}) GROUP BY ALL)"
+POST = f"w AS MATERIALIZED (SELECT doc_id, {WORDS} AS w FROM {SEARCHED}), p AS (SELECT (doc_id % 4)::INTEGER AS shard, printf('doc/%08d', doc_id) AS key, term, count(*) AS tf, any_value(n) AS length FROM (SELECT doc_id, len(w) AS n, unnest(w) AS term FROM w) GROUP BY ALL)"
 
 
-@query(f"WITH {POST} SELECT shard, key, term, tf, length::BIGINT AS length FROM p WHERE term IN ('the', 'and')")
+@query(f"WITH {POST} SELECT shard, key, term, tf, length::BIGINT AS length FROM p")
 def postings_build(spark, d):
-    return index.postings(text_documents(spark, d).where("true")).where("term in ('the', 'and')").select("shard", "key", "term", "tf", "length")
+    return index.postings(text_documents(spark, d)).select("shard", "key", "term", "tf", "length")
 
 
 @query(f"WITH {POST} SELECT count(*) AS n FROM p WHERE term = 'with'")
@@ -354,7 +356,7 @@ def search_top(spark, d):
     return search.top(index.search(text_documents(spark, d), ["the", "thand"], scorer=lambda tf, n: index.term_score(tf, n, b=750)), 20).select("shard", "key", "score")
 
 
-@query("WITH p AS (SELECT printf('doc/%08d', doc_id) AS key, term, count(*) AS tf, any_value(n) AS length FROM (SELECT doc_id, len(regexp_extract_all(text, '[A-Za-z0-9]+')) AS n, unnest(list_transform(regexp_extract_all(text, '[A-Za-z0-9]+'), lambda w: lower(w))) AS term FROM documents WHERE lang = 'en') GROUP BY ALL) SELECT key, sum((tf * 8000) // (8 + length))::BIGINT AS score FROM p WHERE term IN ('the', 'and') GROUP BY ALL")
+@query("WITH p AS (SELECT printf('doc/%08d', doc_id) AS key, term, count(*) AS tf, any_value(n) AS length FROM (SELECT doc_id, len(regexp_extract_all(text, '[A-Za-z0-9]+')) AS n, unnest(list_transform(regexp_extract_all(text, '[A-Za-z0-9]+'), lambda w: lower(w))) AS term FROM documents) GROUP BY ALL) SELECT key, sum((tf * 8000) // (8 + length))::BIGINT AS score FROM p WHERE term IN ('the', 'and') GROUP BY ALL")
 def search_replica_score(spark, d):
     return index.search(text_documents(spark, d), ["the", "and"], scorer=index.replica_score, tokenizer="replica").select("key", "score")
 
@@ -362,7 +364,7 @@ def search_replica_score(spark, d):
 FLAGS = "f AS (SELECT doc_id, max(quality) + 2 * max(toxic) AS flags FROM labels GROUP BY 1)"
 
 
-@query(f"WITH {FLAGS} SELECT (doc_id % 4)::INTEGER AS shard, printf('doc/%08d', doc_id) AS key, 1::BIGINT AS version, 0::BIGINT AS score FROM documents JOIN f USING (doc_id) WHERE lang = 'en' AND flags & 2 = 2")
+@query(f"WITH {FLAGS} SELECT (doc_id % 4)::INTEGER AS shard, printf('doc/%08d', doc_id) AS key, 1::BIGINT AS version, 0::BIGINT AS score FROM documents JOIN f USING (doc_id) WHERE flags & 2 = 2")
 def search_empty_query_flags(spark, d):
     return index.search(text_documents(spark, d), [], filter_flags=index.flag_bits(["toxic"], ["quality", "toxic"]))
 
@@ -386,9 +388,9 @@ def search_matches(spark, d):
     return hits.select("key", "score", F.array_join(F.transform("matches", lambda m: F.concat_ws(":", m["term"], m["tf"].cast("string"))), ",").alias("matches"))
 
 
-@query(f"WITH {POST} SELECT key, term, tf FROM p WHERE starts_with(key, 'doc/0000000')")
+@query(f"WITH {POST} SELECT key, term, tf FROM p WHERE starts_with(key, 'doc/')")
 def index_derive(spark, d):
-    return index.derive(text_documents(spark, d), "doc/0000000").select("key", "term", "tf")
+    return index.derive(text_documents(spark, d), "doc/").select("key", "term", "tf")
 
 
 # ---------------------------------------------------------------- merging
@@ -452,11 +454,11 @@ def merge_unordered_shards(spark, d):
 
 
 # ---------------------------------------------------------------- cost
-PLAN = "pl AS (SELECT o_custkey % 100 AS query, count(*) AS fanout, sum(o_orderkey % 50)::BIGINT AS rows, sum(o_orderkey % 7)::BIGINT AS tokens, sum(o_orderkey % 3 + o_orderkey % 11)::BIGINT AS keys FROM orders WHERE o_orderkey % 5 = 0 GROUP BY 1), pc AS (SELECT *, fanout * 1000 + keys AS cost_milli FROM pl)"
+PLAN = "pl AS (SELECT o_custkey % 100 AS query, count(*) AS fanout, sum(o_orderkey % 50)::BIGINT AS rows, sum(o_orderkey % 7)::BIGINT AS tokens, sum(o_orderkey % 3 + o_orderkey % 11)::BIGINT AS keys FROM orders GROUP BY 1), pc AS (SELECT *, fanout * 1000 + keys AS cost_milli FROM pl)"
 
 
 def planned(spark: SparkSession, d: str) -> DataFrame:
-    o = tables.table(spark, d, "orders").where("o_orderkey % 5 = 0")
+    o = tables.table(spark, d, "orders")
     return cost.plan(o.selectExpr("o_custkey % 100 AS query", "o_orderkey % 3 AS term_probes", "o_orderkey % 11 AS posting_keys", "o_orderkey % 50 AS estimated_rows", "o_orderkey % 7 AS token_count"))
 
 
@@ -503,10 +505,10 @@ def conflict_rate(spark, d):
     return cost.conflict_rate(tables.table(spark, d, "orders").select(state.alias("state")))
 
 
-@query("SELECT s_suppkey, ((s_suppkey * 7 - s_nationkey) * 1000000) // (s_nationkey * 2) AS slope FROM supplier WHERE s_nationkey > 0 AND s_suppkey * 7 >= s_nationkey UNION ALL SELECT s_suppkey, NULL FROM supplier WHERE s_nationkey = 0")
+@query("SELECT s_suppkey, CASE WHEN s_nationkey > 0 THEN sign(s_suppkey * 7 - s_nationkey * 50)::BIGINT * ((abs(s_suppkey * 7 - s_nationkey * 50) * 1000000) // (s_nationkey * 100)) END::BIGINT AS slope FROM supplier")
 def slope_per_decade(spark, d):
-    s = tables.table(spark, d, "supplier").where("s_nationkey = 0 OR s_suppkey * 7 >= s_nationkey")
-    return s.select("s_suppkey", cost.slope_per_decade(F.col("s_nationkey").cast("long"), F.col("s_suppkey") * 7, F.lit(2).cast("long")).alias("slope"))
+    s = tables.table(spark, d, "supplier")
+    return s.select("s_suppkey", cost.slope_per_decade(F.col("s_nationkey").cast("long") * 50, F.col("s_suppkey") * 7, F.lit(2).cast("long")).alias("slope"))
 
 
 @query("SELECT quantile_cont(value, 0.5) AS p50, quantile_cont(value, 0.99) AS p99, quantile_cont(value, 0.999) AS p999 FROM events")
@@ -548,6 +550,11 @@ def policy_read(spark, d):
     return policy.evaluate(policy_rows(spark, d), READ).select("o_orderkey", "verdict", "reason")
 
 
+@query("SELECT o_orderkey, CASE WHEN o_orderkey IN (2, 39) THEN 'allow' ELSE 'deny' END AS verdict FROM orders")
+def policy_in_kinds(spark, d):
+    return policy.evaluate(policy_rows(spark, d), policy.In(P("after", "id"), (2, "7", "x", 39, None))).select("o_orderkey", "verdict")
+
+
 @query(f"SELECT o_orderkey, (1 + 3 + CASE WHEN o_orderstatus = 'P' THEN 0 WHEN o_custkey % 2 = 0 THEN 2 ELSE 4 END)::BIGINT AS steps FROM orders")
 def policy_steps(spark, d):
     return policy.evaluate(policy_rows(spark, d), READ).select("o_orderkey", "steps")

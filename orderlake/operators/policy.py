@@ -137,7 +137,10 @@ def _eval(tree: object, schema: T.StructType) -> _Part:
         return _Part(value, fault, one + a.steps + F.when(a.fault.isNull(), b.steps).otherwise(0))
     if isinstance(tree, In):
         a = _eval(tree.value, schema)
-        return _Part(F.coalesce(a.value.isin(*tree.options), F.lit(False)) if tree.options else F.lit(False), a.fault, one + a.steps)
+        # options of another kind equal nothing: a long 2 isn't the text '2'
+        kind = _kind(tree.value, schema)
+        same = [o for o in tree.options if o is not None and kind != "other" and _kind(Literal(o), schema) == kind]
+        return _Part(F.coalesce(a.value.isin(*same), F.lit(False)) if same else F.lit(False), a.fault, one + a.steps)
     if isinstance(tree, Not):
         a = _bool(tree.inner, schema)
         return _Part(~a.value, a.fault, one + a.steps)

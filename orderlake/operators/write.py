@@ -107,10 +107,13 @@ def outbox_claims(entries: DataFrame) -> DataFrame:
 
 
 def share_keys(entries: DataFrame) -> DataFrame:
-    """a, b: pairs of outbox entries (entry, keys) that touch a common key, each pair once."""
-    flat = entries.select("entry", F.explode(F.array_distinct("keys")).alias("key"))
-    a, b = flat.select(F.col("entry").alias("a"), "key"), flat.select(F.col("entry").alias("b"), "key")
-    return a.join(b, "key").where("a < b").select("a", "b").distinct()
+    """entry, key, first, n: outbox entries (entry, keys) that touch a key of others, with the key's smallest entry and its number of entries.
+
+    Two entries share a key where both have a row of it; a hot key costs its entries, not their pairs.
+    """
+    flat = entries.select("entry", F.explode(F.array_distinct("keys")).alias("key")).distinct()
+    each = flat.groupBy("key").agg(F.min("entry").alias("first"), F.count("*").alias("n")).where("n > 1")
+    return flat.join(each, "key").select("entry", "key", "first", "n")
 
 
 def link(previous: str, body: str) -> str:

@@ -8,6 +8,7 @@ key range is in the manifest, so reads of a range open only the files they need.
 from __future__ import annotations
 
 import json
+import uuid
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -33,18 +34,26 @@ class CommitTable:
 
     def manifest(self) -> list[dict]:
         """version, path, rows, min_key, max_key, in order; small: a line a commit since the last compaction."""
-        path, files = self._files(f"{self.folder}/_manifest")
-        if not files.exists(path):
-            return []
-        return json.loads(self.spark.read.text(f"{self.folder}/_manifest", wholetext=True).first()[0])
+        names = self._manifests()
+        return json.loads(self.spark.read.text(f"{self.folder}/_manifests/{names[-1]}", wholetext=True).first()[0]) if names else []
+
+    def _manifests(self) -> list[str]:
+        """Names of the published manifests, oldest first; each is complete, as it is renamed into place."""
+        path, files = self._files(f"{self.folder}/_manifests")
+        return sorted(s.getPath().getName() for s in files.listStatus(path)) if files.exists(path) else []
 
     def _publish(self, entries: list[dict]) -> None:
-        fresh, now = f"{self.folder}/_manifest.next", f"{self.folder}/_manifest"
-        self.spark.createDataFrame([(json.dumps(entries),)], "value string").coalesce(1).write.mode("overwrite").text(fresh)
+        """Adds a manifest of the next number; the one before stays, so there is always one to read."""
+        names = self._manifests()
+        fresh, now = f"{self.folder}/_next-{uuid.uuid4().hex}", f"{self.folder}/_manifests/{int(names[-1]) + 1 if names else 0:020d}"
+        self.spark.createDataFrame([(json.dumps(entries),)], "value string").coalesce(1).write.text(fresh)
         a, files = self._files(fresh)
         b, _ = self._files(now)
-        files.delete(b, True)
-        files.rename(a, b)
+        files.mkdirs(b.getParent())
+        if files.exists(b) or not files.rename(a, b):
+            raise CommitError("another writer has published this commit")
+        for name in names[:-1]:
+            files.delete(self._files(f"{self.folder}/_manifests/{name}")[0], True)
 
     def version(self) -> int:
         return max((m["version"] for m in self.manifest()), default=0)

@@ -96,15 +96,15 @@ class Replica:
     def __init__(self, spark: SparkSession, folder: str) -> None:
         self.spark, self.folder = spark, folder
 
-    def _pointer(self):
-        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/_current")
-        return path, path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+    def _copies(self) -> list[str]:
+        """Names of the complete copies, oldest first: a copy is renamed into place when all of it is written."""
+        jvm = self.spark.sparkContext._jvm
+        path = jvm.org.apache.hadoop.fs.Path(self.folder)
+        files = path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        return sorted(n for s in files.listStatus(path) if (n := s.getPath().getName()).startswith("copy-")) if files.exists(path) else []
 
     def current(self) -> str | None:
-        path, files = self._pointer()
-        if not files.exists(path):
-            return None
-        return self.spark.read.text(f"{self.folder}/_current/name").first()[0]
+        return max(self._copies(), default=None)
 
     def read(self) -> DataFrame | None:
         name = self.current()
@@ -117,8 +117,10 @@ class Replica:
             return
         old = self.read()
         rows = batch.select("shard", "key", "key_version", "value")
-        ingest(rows if old is None else old.unionByName(rows)).write.mode("overwrite").parquet(f"{self.folder}/{name}")
-        path, files = self._pointer()
-        self.spark.createDataFrame([(name,)], "value string").coalesce(1).write.mode("overwrite").text(f"{self.folder}/_next/name")
-        files.delete(path, True)
-        files.rename(self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/_next"), path)
+        ingest(rows if old is None else old.unionByName(rows)).write.mode("overwrite").parquet(f"{self.folder}/_{name}")
+        jvm = self.spark.sparkContext._jvm
+        fresh, target = (jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{n}") for n in (f"_{name}", name))
+        files = target.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        files.rename(fresh, target)
+        for old_name in self._copies()[:-2]:  # readers of the copy before this one go on
+            files.delete(jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{old_name}"), True)

@@ -46,8 +46,29 @@ def test_entry(spark):
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
-def test_filters_reach_the_scan(spark, folder):
+KEYED = ["kv_point_get", "kv_get_required", "kv_has", "kv_multi_get", "kv_range_next", "kv_range_prev", "kv_keys_only", "kv_prefix_page2", "kv_older_than", "delete_prefix_chunked", "lucene_page_after_cursor"]
+
+
+@pytest.mark.parametrize("name", KEYED)
+def test_key_bounds_reach_the_scan(spark, folder, name):
+    plan = catalog.QUERIES[name](spark, folder)._jdf.queryExecution().executedPlan().toString()
+    pushed = [x.split("PushedFilters: [", 1)[1].split("]")[0] for x in plan.split("\n") if "PushedFilters" in x]
+    assert pushed and all("Than" in p or "EqualTo" in p or "In(o_orderkey" in p for p in pushed)
+
+
+@pytest.mark.parametrize(
+    "lower,upper,want",
+    [
+        (None, None, (None, None)),
+        ("orders/" + "7".zfill(20), "orders/" + "9".zfill(20), (7, 9)),
+        ("a", "z", (None, None)),
+        ("z", None, (10**18, None)),
+        (None, "a", (None, -1)),
+        ("orders/", "orders/", (0, 10**20 - 1)),
+        ("orders/0000000000000000001x", "orders/0000000000000000001x", (10, 19)),
+    ],
+)
+def test_number_bounds(lower, upper, want):
     from orderlake.sources import tables
 
-    plan = tables.table(spark, folder, "orders").where("o_orderkey > 5").select("o_orderkey")._jdf.queryExecution().executedPlan().toString()
-    assert "PushedFilters" in plan and "GreaterThan(o_orderkey,5)" in plan
+    assert tables.number_bounds("orders/", lower, upper) == want

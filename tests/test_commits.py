@@ -55,3 +55,23 @@ def test_facade(spark):
     assert keys(engine.scoped("d").gets(1)) == ["0"]
     assert keys(engine.prefix("d/", "d/5").items()) == ["d/6", "d/7"]
     assert engine.get("d/1").count() == 1 and engine.get_many(["x", "x"]).count() == 2
+
+
+def test_a_commit_that_ends_before_its_manifest_changes_nothing(spark, tmp_path, monkeypatch):
+    table = CommitTable(spark, f"file://{tmp_path}/u")
+    table.append(ops(spark, ("a", "set", "1")), 1)
+    files = table._files
+
+    def broken(path):
+        if "_manifests/" in path:
+            raise OSError("the writer dies before it publishes")
+        return files(path)
+
+    monkeypatch.setattr(table, "_files", broken)
+    with pytest.raises(OSError):
+        table.append(ops(spark, ("a", "set", "2")), 2)
+    monkeypatch.undo()
+    assert [m["version"] for m in table.manifest()] == [1]
+    assert [r.value for r in table.read().collect()] == ["1"]
+    table.append(ops(spark, ("a", "set", "2")), 2)
+    assert table.version() == 2 and len(table._manifests()) == 2

@@ -209,3 +209,19 @@ def test_empty_inputs(spark, kv):
     assert scan.has(none, "k").first().found is False
     assert staleness.version_lag(spark.createDataFrame([], "shard int, version long"), spark.createDataFrame([], "shard int, version long")).first()[0] == 0
     assert cdc.invalidation(*[spark.createDataFrame([], "fact string, type string, owner string, revoked boolean, value string")] * 2, "RuleChanged").first()[0] == "RuleChanged"
+
+
+def test_options_of_another_kind_equal_nothing(spark):
+    rows = spark.createDataFrame([((2, "2", True),), ((3, "x", False),)], "after struct<n: long, t: string, b: boolean>").withColumn("before", F.col("after"))
+    seen = lambda name, options: [r.verdict for r in policy.evaluate(rows, policy.In(policy.Path("after", name), options)).orderBy("after.n").collect()]
+    assert seen("n", ("2", "x")) == ["deny", "deny"]
+    assert seen("n", ("x", 2)) == ["allow", "deny"]
+    assert seen("t", (2, "x")) == ["deny", "allow"]
+    assert seen("b", (1, "true")) == ["deny", "deny"]
+
+
+def test_numbers_in_order(spark):
+    rows = spark.createDataFrame([(i * 7 % 1000,) for i in range(1000)], "pos long").repartition(5)
+    got = store.numbered(rows, "pos", 8).collect()
+    assert sorted((r.pos, r.nth) for r in got) == [(i, i + 1) for i in range(1000)]
+    assert store.append_feed(spark.createDataFrame([], "seq long"), spark.createDataFrame([(5, "a")], "pos long, value string")).collect()[0].seq == 1
