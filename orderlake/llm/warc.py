@@ -1,18 +1,19 @@
 """WARC: a deterministic sharded writer, and its reader.
 
-Rows are dealt to shards by key ranges of about equal payload bytes, found from
-sums over equal-width ranges, and sorted within them. Each shard is written by
-one task as gzip members, one a record, rolling to a new file when the
-compressed size reaches ``roll_bytes``. Headers and digests are made anew from
-the payloads; of equal payloads the smallest id (then url, then repeat) is a
-response and the others revisit it. Files are written under temporary names
-that hold the attempt, renamed once all are complete, and named in a manifest
-that is itself renamed into place last, so a retried or lost task leaves nothing that
-readers see, and reruns write the same bytes.
+Rows are range-sorted by (page_id, digest, url) and cut into shards of about equal
+payload bytes by exact prefix sums over key ranges. Each shard is written by one
+task as gzip members, one a record, rolling to a new file when the compressed
+size reaches ``roll_bytes``. Headers and digests are made anew from the payloads;
+of equal payloads the smallest id (then url, then repeat) is a response and the
+others revisit it. Files are written under temporary names that hold the
+attempt, renamed by tasks once all are complete, and named in a manifest, lines
+of JSON that are themselves renamed into place last, so a retried or lost task
+leaves nothing that readers see, and reruns write the same bytes.
 
 A null payload is empty, a null url is the empty text, a null id sorts first
-and has the empty id. Repeated ids are written each. An empty table gives an
-empty manifest.
+and has the empty id. Repeated ids are written each, rows alike in id, url and
+payload by one task. Very long payloads are one record. An empty table gives an
+empty manifest, and columns other than page_id, url and html are not looked at.
 """
 
 from __future__ import annotations
@@ -20,7 +21,6 @@ from __future__ import annotations
 import base64
 import gzip
 import hashlib
-import json
 import uuid
 from collections.abc import Iterator
 
@@ -30,15 +30,25 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import durable, durable_path
+from .common import durable, durable_path, spread
 
-RANGES = 4096
+#: Ranges of page_id; shards whose bounds are broadcast.
+RANGES, MOST_CUTS = 128, 1 << 17
 #: The date of all records unless the caller gives one: archives must not depend on when they are written.
 DATE = "1970-01-01T00:00:00Z"
 
 
+def uri(path: str) -> str:
+    """A folder as Arrow names it: Hadoop has other names for some schemes."""
+    scheme, colon, rest = path.partition(":")
+    scheme = {"s3a": "s3", "s3n": "s3", "abfs": "abfss"}.get(scheme, scheme)
+    if scheme == "file" and not rest.startswith("//"):
+        rest = f"//{rest}"
+    return f"{scheme}{colon}{rest}"
+
+
 def _open(path: str) -> tuple[pafs.FileSystem, str]:
-    return pafs.FileSystem.from_uri(path.replace("file:/", "file:///", 1) if path.startswith("file:/") and not path.startswith("file://") else path)
+    return pafs.FileSystem.from_uri(uri(path))
 
 
 def _digest(payload: bytes) -> str:
@@ -92,7 +102,7 @@ def _writer(folder: str, roll_bytes: int, date: str):
             name = f"warc-{shard:05d}-{part:05d}.warc.gz"
             info = f"WARC/1.1\r\nWARC-Type: warcinfo\r\nWARC-Record-ID: <urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{shard}/{part}')}>\r\nWARC-Date: {date}\r\nContent-Type: application/warc-fields\r\nContent-Length: 18\r\n\r\nformat: WARC/1.1\r\n\r\n\r\n"
             # the attempt is in the temporary name: two attempts of a task never touch one file
-            state.update(shard=shard, part=part, name=name, temporary=f"_temporary-{attempt}-{name}", records=0, bytes=0, sha=hashlib.sha256())
+            state.update(shard=shard, part=part, name=name, temporary=f"_temporary/{attempt}-{name}", records=0, bytes=0, sha=hashlib.sha256())
             state["out"] = files.open_output_stream(f"{top}/{state['temporary']}", compression=None)
             put(info.encode())
 
@@ -134,44 +144,81 @@ def plan(pages: DataFrame, shard_bytes: int, least: int) -> tuple[DataFrame, int
     Payload rows have first_url null. A row before them, without payload, names
     the response that equal payloads of this page refer to: page_id, url, sha,
     payload, shard, first_id, first_url. Payloads are shuffled once, by shard;
-    the grouping by digest works on keys alone.
+    ranges, prefix sums and the grouping by digest work on keys alone.
+
+    Rows are in order of (page_id, sha, url). Approximate quantiles of page_id
+    bound the ranges, an id as frequent as a range (or null) is cut by its digests;
+    the exact prefix sums of bytes over ranges say which shard a key is in, so
+    where the bounds lie changes no shard.
     """
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce(F.col("url").cast("string"), F.lit("")).alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("payload"))
+    rows = spread(pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce(F.col("url").cast("string"), F.lit("")).alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("payload")))
     rows = rows.withColumn("sha", F.sha1(F.col("payload").cast("binary")))
     slim = durable(rows.select("page_id", "url", "sha", F.octet_length("payload").cast("long").alias("size")), "warc-keys")
-    low, high = slim.agg(F.min("page_id"), F.max("page_id")).first()
-    low, high = low or 0, high or 0
-    spot = F.coalesce(F.floor((F.col("page_id").cast("double") - low) / (high - low + 1.0) * RANGES), F.lit(0)).cast("int")
-    # RANGES rows at most
-    sums = slim.groupBy(spot.alias("range")).agg(F.sum(F.col("size") + 600).alias("bytes"))
-    until = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    shards = durable(sums.select("range", F.floor(F.coalesce(F.sum("bytes").over(until), F.lit(0)) / shard_bytes).cast("int").alias("shard")), "warc-shards")
+    keys = durable(slim.groupBy("page_id", "url", "sha").agg(F.sum(F.col("size") + 600).alias("bytes")), "warc-places")
+    bounds = keys.approxQuantile("page_id", [k / RANGES for k in range(1, RANGES)], 0.25 / RANGES) if not keys.isEmpty() else []
+    bounds = [int(b) for b in bounds]
+    hot = [b for b in set(bounds) if bounds.count(b) > 1]
+    part = sum(((F.col("page_id") > b).cast("int") for b in sorted(set(bounds))), F.lit(0)) + sum(((F.col("page_id") >= b).cast("int") for b in hot), F.lit(0))
+    often = F.col("page_id").isNull() | F.col("page_id").isin(*hot) if hot else F.col("page_id").isNull()
+    part = [F.coalesce(part, F.lit(-1)).alias("part"), F.when(often, F.conv(F.substring("sha", 1, 2), 16, 10).cast("int")).otherwise(F.lit(0)).alias("sub")]
+    keys = keys.select("*", *part)
+    # at most 256 rows for each of some RANGES ids
+    sums = keys.groupBy("part", "sub").agg(F.sum("bytes").alias("bytes"))
+    starts = sums.select(F.col("part").alias("p"), F.col("sub").alias("s"), (F.sum("bytes").over(Window.orderBy("part", "sub")) - F.col("bytes")).alias("begin"))
+    order = Window.partitionBy("part", "sub").orderBy(F.col("page_id").asc_nulls_first(), "sha", "url")
+    before = F.col("begin") + F.sum("bytes").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("bytes")
+    placed = keys.join(F.broadcast(starts), (F.col("part") == F.col("p")) & (F.col("sub") == F.col("s"))).withColumn("shard", F.floor(before / F.lit(shard_bytes)).cast("int"))
+    placed = placed.withColumn("new", F.col("shard") != F.lag("shard").over(order))
+    cut = F.struct("page_id", "sha", "url", "shard")
+    # of each range its first shard, and the first key of each shard that begins in it
+    cuts = durable(placed.groupBy("part", "sub").agg(F.min("shard").alias("base"), F.max("shard").alias("top"), F.sort_array(F.collect_list(F.when(F.col("new"), cut))).alias("cuts")), "warc-shards")
+    n = int((cuts.agg(F.max("top")).first()[0] or 0) + 1)
+    here = lambda c: F.struct(c["page_id"], c["sha"], c["url"]) <= F.struct("page_id", "sha", "url")
+    shard = F.coalesce(F.try_element_at(F.filter("cuts", here), F.lit(-1))["shard"], F.col("base"))
     first = slim.where(F.col("size") >= least).groupBy("sha").agg(F.count("*").alias("copies"), F.min(F.struct("page_id", "url")).alias("first")).where("copies > 1")
     leads = slim.join(first.select("sha", "first"), "sha").select("page_id", "url", "sha", F.lit(None).cast("string").alias("payload"), F.col("first.page_id").alias("first_id"), F.col("first.url").alias("first_url")).distinct()
-    both = rows.select("page_id", "url", "sha", "payload", F.lit(None).cast("long").alias("first_id"), F.lit(None).cast("string").alias("first_url")).unionByName(leads)
-    both = both.withColumn("range", spot).join(F.broadcast(shards), "range").drop("range")
-    return both, int((shards.agg(F.max("shard")).first()[0] or 0) + 1)
+    both = rows.select("page_id", "url", "sha", "payload", F.lit(None).cast("long").alias("first_id"), F.lit(None).cast("string").alias("first_url")).unionByName(leads).select("*", *part)
+    cuts = F.broadcast(cuts.drop("top")) if n <= MOST_CUTS else cuts.drop("top")
+    return both.join(cuts, ["part", "sub"]).withColumn("shard", shard).drop("part", "sub", "base", "cuts"), n
+
+
+def _commit(folder: str):
+    """Renames a task's files; one that is already renamed, by an attempt that was lost, stays."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        files, top = _open(folder)
+        for batch in batches:
+            for name, temporary in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if files.get_file_info(f"{top}/{temporary}").type != pafs.FileType.NotFound:
+                    files.move(f"{top}/{temporary}", f"{top}/{name}")
+                elif files.get_file_info(f"{top}/{name}").type == pafs.FileType.NotFound:
+                    raise FileNotFoundError(f"{folder}/{temporary}")
+            yield batch
+
+    return run
 
 
 def write_warc(pages: DataFrame, folder: str, shard_bytes: int = 32 << 20, roll_bytes: int = 4 << 20, least: int = 0, date: str = DATE) -> None:
-    """Writes all ``pages`` (page_id, url, html) and commits a manifest."""
+    """Writes all ``pages`` (page_id, url, html) and commits a manifest, a line of JSON a file."""
     spark = pages.sparkSession
     files, top = _open(folder)
-    files.create_dir(top, recursive=True)
+    files.create_dir(f"{top}/_temporary", recursive=True)
     rows, shards = plan(pages, shard_bytes, least)
     # a shard is whole in one task, and sorted there
-    rows = rows.repartition(shards, "shard").sortWithinPartitions("shard", F.col("page_id").asc_nulls_first(), "url", "sha", F.col("first_url").isNull())
-    written = rows.mapInArrow(_writer(folder, roll_bytes, date), "file string, temporary string, shard int, part int, records long, bytes long, sha256 string")
-    names = [r.asDict() for r in durable(written, "warc-files").orderBy("shard", "part").collect()]
-    for name in names:
-        files.move(f"{top}/{name.pop('temporary')}", f"{top}/{name['file']}")
-    with files.open_output_stream(f"{top}/_manifest.json.tmp", compression=None) as out:
-        out.write(json.dumps({"format": "WARC/1.1", "files": names}, sort_keys=True).encode())
-    files.move(f"{top}/_manifest.json.tmp", f"{top}/manifest.json")
-    kept = {n["file"] for n in names} | {"manifest.json"}
-    for info in files.get_file_info(pafs.FileSelector(top)):
-        if info.base_name not in kept:  # of attempts that were lost
-            files.delete_file(info.path)
+    rows = rows.select("page_id", "url", "sha", "payload", "first_id", "first_url", "shard").repartitionById(shards, "shard").sortWithinPartitions("shard", F.col("page_id").asc_nulls_first(), "sha", "url", F.col("first_url").isNull())
+    schema = "file string, temporary string, shard int, part int, records long, bytes long, sha256 string"
+    written = durable(rows.mapInArrow(_writer(folder, roll_bytes, date), schema), "warc-files")
+    done = durable(written.mapInArrow(_commit(folder), schema).drop("temporary"), "warc-committed")
+    fresh = f"{folder.rstrip('/')}/_manifest-{uuid.uuid4().hex}"
+    done.repartitionByRange(max(1, shards // 1024), "shard", "part").sortWithinPartitions("shard", "part").write.json(fresh)
+    jvm = spark.sparkContext._jvm
+    path = lambda name: jvm.org.apache.hadoop.fs.Path(name)
+    system = path(fresh).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    target = path(f"{folder.rstrip('/')}/manifest")
+    if system.exists(target):
+        raise FileExistsError(f"{folder} has a manifest already")
+    system.rename(path(fresh), target)
+    files.delete_dir(f"{top}/_temporary")  # with what lost attempts left there
 
 
 def parse(raw: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -244,12 +291,10 @@ def _reader(folder: str):
 
 def read_warc(spark: SparkSession, folder: str) -> DataFrame:
     """The records that the manifest's files hold, with payloads of responses."""
-    files, top = _open(folder)
-    with files.open_input_stream(f"{top}/manifest.json", compression=None) as f:
-        names = [x["file"] for x in json.loads(f.read())["files"]]
+    names = spark.read.schema("file string").json(f"{folder.rstrip('/')}/manifest")
     schema = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload string"
-    frame = spark.createDataFrame([(n,) for n in names], "file string").repartition(max(1, len(names)))
-    return frame.mapInArrow(_reader(folder), schema)
+    # some files a task, of a few MB each
+    return names.repartition(max(1, min(names.count(), 10_000))).mapInArrow(_reader(folder), schema)
 
 
 def round_trip(pages: DataFrame, least: int = 0) -> DataFrame:

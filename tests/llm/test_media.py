@@ -50,8 +50,8 @@ def test_files_are_deterministic_and_committed(spark, tmp_path):
     for k in range(2):
         folder = tmp_path / f"w{k}"
         warc.write_warc(pages.repartition(k + 1), f"file://{folder}", shard_bytes=20000, roll_bytes=3000)
-        listed = [f["file"] for f in json.loads((folder / "manifest.json").read_text())["files"]]
-        assert sorted(p.name for p in folder.iterdir() if not p.name.startswith(".")) == sorted([*listed, "manifest.json"])
+        listed = [json.loads(x)["file"] for f in (folder / "manifest").glob("part-*.json") for x in f.read_text().splitlines()]
+        assert sorted(p.name for p in folder.iterdir() if not p.name.startswith(".")) == sorted([*listed, "manifest"])
         assert len(listed) > 3
         digests.append({n: hashlib.sha256((folder / n).read_bytes()).hexdigest() for n in listed})
         for n in listed:
@@ -63,6 +63,22 @@ def test_files_are_deterministic_and_committed(spark, tmp_path):
     assert warc.read_warc(spark, f"file://{tmp_path}/w0").count() == 200
 
 
+def test_no_shard_takes_what_an_outlier_or_one_id_leaves(spark):
+    rows = [(i, f"http://h/{i}", "x" * 100 + str(i)) for i in range(1000)] + [(10**15, "far", "far")]
+    rows += [(None, f"n{i}", f"null {i}" * 9) for i in range(1000)] + [(7, f"r{i}", f"often {i}" * 9) for i in range(1000)]
+    placed, n = warc.plan(spark.createDataFrame(rows, PAGES), 20_000, 0)
+    size = sorted(r["count"] for r in placed.groupBy("shard").count().collect())
+    assert n > 60 and len(size) >= n - 2 and size[-1] <= 3 * size[len(size) // 2]
+    again, _ = warc.plan(spark.createDataFrame(rows[::-1], PAGES).repartition(7), 20_000, 0)
+    place = lambda f: sorted((str(r.page_id), r.url, r.shard) for r in f.collect())
+    assert place(again) == place(placed)
+
+
+def test_schemes_of_hadoop():
+    assert warc.uri("file:/tmp/a") == warc.uri("file:///tmp/a") == "file:///tmp/a"
+    assert warc.uri("s3a://bucket/a/b") == "s3://bucket/a/b" and warc.uri("hdfs://h:1/a") == "hdfs://h:1/a"
+
+
 def test_damage_is_seen(spark, tmp_path):
     folder = f"file://{tmp_path}/d"
     warc.write_warc(spark.createDataFrame([(1, "u", "payload text")], PAGES), folder)
