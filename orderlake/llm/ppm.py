@@ -37,7 +37,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, fold, grouped, slices, spread, sweep
+from .common import durable, fold, grouped, release, slices, spread, sweep
 from .textcode import ASCII_LOWER, TOKEN_BYTES, Tokens, buffer_of, tokenize
 
 END = 257
@@ -469,7 +469,7 @@ def _score(shared, seen: tuple[int, float], whole: bool):
     return run
 
 
-def lm_score(docs: DataFrame, order: int = 5, max_contexts: int = 1 << 17, parts: int = 7, held: int = 2) -> DataFrame:
+def lm_score(docs: DataFrame, order: int = 5, max_contexts: int = 1 << 18, parts: int = 7, held: int = 2) -> DataFrame:
     """Scores every text by a model of the texts whose fold of ``parts`` is not ``held``.
 
     doc_id, held_out, n_tokens, n_known, train_tokens, base_score (add-one word
@@ -478,7 +478,7 @@ def lm_score(docs: DataFrame, order: int = 5, max_contexts: int = 1 << 17, parts
     spark = docs.sparkSession
     rows = spread(docs.select("doc_id", (fold("doc_id", parts) == held).alias("held_out"), F.col("text").cast("string").alias("text")))
     counts = count_corpus(rows.where(~F.col("held_out")), order)
-    words = counts.where("kind = 1")
+    words = durable(counts.where("kind = 1").select("key", "n"), "ppm-words")
     n, v = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     ends = counts.where("kind = 2").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     n, v = n + ends, v + (ends > 0)
@@ -509,6 +509,7 @@ def lm_score(docs: DataFrame, order: int = 5, max_contexts: int = 1 << 17, parts
     if sent > 1:
         open_ = scored.select("row", F.explode(F.arrays_zip("grams", "gram_times")).alias("x")).select("row", F.col("x.grams").alias("key"), F.col("x.gram_times").alias("times"))
         logps = durable(gram_scores(open_.select("key").distinct(), grams, short, order, unseen), "ppm-gram-scores")
+        release(counts)
         sweep(spark)
         deep = open_.join(logps, "key").groupBy("row").agg(F.sum(F.col("times") * F.col("logp")).alias("deep"))
         rest = rest.join(deep, "row", "full")
