@@ -64,3 +64,14 @@ def test_queries_match_sql(spark, folder, name):
 def test_registered():
     assert sorted(n.split("_")[0] for n in registry.QUERIES) == sorted(f"op{k}" for k in range(1, 11))
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "toxicity", "near_duplicates", "decontamination", "mixing"]
+
+
+def test_extra_columns_of_any_name_stay(spark, folder):
+    names = ["l", "y", "d", "t", "h", "id", "row", "tag", "own_id", "own_tag", "gone_id", "gone_tag", "twice_id", "label_id", "bad_id", "__tag", "wanted_d", "score", "held_out", "key", "rep"]
+    docs = spark.read.parquet(f"{folder}/documents.parquet").limit(40)
+    for name in names:
+        docs = docs.withColumn(name, F.lit(name))
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        after = stage(spark, docs, folder)
+        assert after.columns == docs.columns, name
+        assert all(r[c] == c for r in after.collect() for c in names), name
