@@ -5,7 +5,8 @@ one distributed aggregation; all contexts count. Those seen at least
 ``total / max_contexts`` times, so at most ``max_contexts`` of each length at any
 corpus size, are sent to the workers. Symbols after rarer contexts are joined:
 their probability depends on no more than the symbol and the ``order`` before
-it, so each distinct one is looked up once. Contexts that end in the same three
+it, so each distinct one is looked up once: workers gather those of many rows and
+ask for each once, and the rows hold places among the answers. Contexts that end in the same three
 symbols lie in one group of the trie, and groups are dealt to tasks, which walk
 all their levels with arrays; contexts of up to two symbols, which the alphabet
 bounds, are sent to all. Escapes are estimated by method D (half a count for
@@ -423,13 +424,32 @@ def tally(doc: np.ndarray, key: np.ndarray, n_docs: int) -> tuple[pa.Array, pa.A
     return pa.ListArray.from_arrays(pa.array(at), pa.array(key[cut])), pa.ListArray.from_arrays(pa.array(at), pa.array(times))
 
 
-def _score(shared, seen: tuple[int, float], whole: bool):
+def _score(shared, seen: tuple[int, float], whole: bool, chunk: int):
     ends, denominator = seen
+    names = ["row", "doc_id", "held_out", "n_tokens", "known", "heavy", "score", "rare", "times", "at"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, order, levels, keys, logs = shared.value
         model = built(key, order, levels)
         row = TaskContext.get().partitionId() << 40
+        held: list[tuple[list, np.ndarray, np.ndarray]] = []
+        wait = 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            if not held:
+                return
+            asked, at = np.unique(np.concatenate([g for _, g, _ in held]), return_inverse=True)
+            at, own = at.astype(np.int32), held[0][0][0][0].as_py()
+            for columns, gram, offsets in held:
+                n_docs = len(columns[0])
+                lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(at[: len(gram)]))
+                at = at[len(gram) :]
+                # the chunk's first row carries what the chunk asks for
+                ask = pa.ListArray.from_arrays(pa.array(np.where(np.arange(n_docs + 1) > 0, len(asked), 0).astype(np.int32)), pa.array(asked))
+                asked = asked[:0]
+                yield pa.RecordBatch.from_arrays([*columns, lists, pa.array(np.full(n_docs, own)), ask], [*names, "chunk", "asked"])
+            held.clear()
+
         for batch in batches:
             for part in slices(batch, "text"):
                 seq, first, tokens = symbols(part.column(2))
@@ -444,34 +464,70 @@ def _score(shared, seen: tuple[int, float], whole: bool):
                 gram = seq[open_].astype(np.int64)
                 for k in range(1, order + 1):
                     gram |= np.where(place[open_] >= k, seq[np.maximum(open_ - k, 0)], 0).astype(np.int64) << (BITS * k)
-                grams_of = tally(doc[open_], gram, part.num_rows)
                 h, n_docs = tokens.hashes().view(np.int64), part.num_rows
                 place = np.minimum(np.searchsorted(keys, h), max(len(keys) - 1, 0))
                 known = keys[place] == h if len(keys) else np.zeros(len(h), bool)
                 sums = np.bincount(tokens.doc[known], logs[place[known]] if len(keys) else None, n_docs) if known.any() else np.zeros(n_docs)
                 n_known = np.bincount(tokens.doc[known], minlength=n_docs)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(row + np.arange(n_docs)),
-                        part.column(0),
-                        part.column(1),
-                        pa.array(np.diff(tokens.first) + 1),
-                        pa.array(n_known + (ends > 0)),
-                        pa.array(sums + math.log10((ends + 1) / denominator)),
-                        pa.array(score),
-                        *tally(tokens.doc[~known], h[~known], n_docs),
-                        *grams_of,
-                    ],
-                    ["row", "doc_id", "held_out", "n_tokens", "known", "heavy", "score", "rare", "times", "grams", "gram_times"],
-                )
+                columns = [
+                    pa.array(row + np.arange(n_docs)),
+                    part.column(0),
+                    part.column(1),
+                    pa.array(np.diff(tokens.first) + 1),
+                    pa.array(n_known + (ends > 0)),
+                    pa.array(sums + math.log10((ends + 1) / denominator)),
+                    pa.array(score),
+                    *tally(tokens.doc[~known], h[~known], n_docs),
+                ]
+                held.append((columns, gram, np.searchsorted(open_, first)))
                 row += n_docs
+                wait += len(gram) + n_docs
+                if wait >= chunk:
+                    yield from flush()
+                    wait = 0
+        yield from flush()
 
     return run
 
 
-def lm_score(docs: DataFrame, order: int = 5, max_contexts: int = 1 << 18, parts: int = 7, held: int = 2) -> DataFrame:
+def _deep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sums of rows from the values of their chunk, which come before them by place (``logp`` set, ``row`` the place)."""
+    own, got, values = None, [], np.zeros(0)
+    for batch in batches:
+        chunk, row, asks = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 2, 1))
+        cut = np.flatnonzero((chunk[1:] != chunk[:-1]) | (asks[1:] != asks[:-1])) + 1
+        for a, b in zip([0, *cut.tolist()], [*cut.tolist(), len(chunk)]):
+            if a == b:
+                continue
+            if chunk[a] != own:
+                own, got, values = chunk[a], [], np.zeros(0)
+            if not asks[a]:
+                got.append(batch.column(3).slice(a, b - a).to_numpy(zero_copy_only=False))
+                continue
+            if got:
+                # every place of the chunk is there once, in order
+                values, got = np.concatenate(got), []
+            lists = batch.column(4).slice(a, b - a)
+            size = lists.value_lengths().to_numpy(zero_copy_only=False)
+            doc = np.repeat(np.arange(b - a), size)
+            deep = np.bincount(doc, values[lists.flatten().to_numpy()], b - a) if len(doc) else np.zeros(b - a)
+            yield pa.RecordBatch.from_arrays([pa.array(row[a:b]), pa.array(deep)], ["row", "deep"])
+
+
+def deep_scores(scored: DataFrame, asked: DataFrame, logps: DataFrame) -> DataFrame:
+    """(row, deep): what the rows' open symbols add. Values are looked up once for each chunk of rows, and meet the rows in sorted partitions."""
+    values = asked.join(logps, "key").select("chunk", F.lit(False).alias("is_row"), F.col("place").alias("row"), "logp", F.lit(None).cast("array<int>").alias("at"))
+    rows = scored.where(F.size("at") > 0).select("chunk", F.lit(True).alias("is_row"), "row", F.lit(None).cast("double").alias("logp"), "at")
+    both = values.unionByName(rows).repartition("chunk").sortWithinPartitions("chunk", "is_row", "row")
+    return both.select("chunk", "is_row", "row", "logp", "at").mapInArrow(_deep, "row long, deep double")
+
+
+def lm_score(docs: DataFrame, order: int = 5, max_contexts: int = 1 << 18, parts: int = 7, held: int = 2, chunk: int = 1 << 21) -> DataFrame:
     """Scores every text by a model of the texts whose fold of ``parts`` is not ``held``.
 
+    ``chunk``: symbols after rare contexts that a worker gathers, from whole rows,
+    before it asks for each distinct one.
+
     doc_id, held_out, n_tokens, n_known, train_tokens, base_score (add-one word
     model) and score (log10 probability). Words are told apart by 64-bit hashes.
     """
@@ -495,8 +551,8 @@ def lm_score(docs: DataFrame, order: int = 5, max_contexts: int = 1 << 18, parts
     logs = np.log10((heavy["n"].to_numpy().astype(np.float64) + 1) / denominator)
     shared = spark.sparkContext.broadcast((uuid.uuid4().hex, order, levels, heavy["key"].to_numpy(), logs))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"row long, doc_id {kind}, held_out boolean, n_tokens long, known long, heavy double, score double, rare array<long>, times array<int>, grams array<long>, gram_times array<int>"
-    scored = durable(rows.mapInArrow(_score(shared, (ends, denominator), sent == 1), schema), "ppm-scored")
+    schema = f"row long, doc_id {kind}, held_out boolean, n_tokens long, known long, heavy double, score double, rare array<long>, times array<int>, at array<int>, chunk long, asked array<long>"
+    scored = durable(rows.mapInArrow(_score(shared, (ends, denominator), sent == 1, chunk), schema), "ppm-scored")
     sweep(spark)
     rare = scored.select("row", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("row", F.col("x.rare").alias("key"), F.col("x.times").alias("times"))
     found = rare.join(words.where(F.col("n") < least).select("key", F.col("n").alias("c")), "key", "left")
@@ -507,11 +563,11 @@ def lm_score(docs: DataFrame, order: int = 5, max_contexts: int = 1 << 18, parts
     )
     score = F.col("score")
     if sent > 1:
-        open_ = scored.select("row", F.explode(F.arrays_zip("grams", "gram_times")).alias("x")).select("row", F.col("x.grams").alias("key"), F.col("x.gram_times").alias("times"))
-        logps = durable(gram_scores(open_.select("key").distinct(), grams, short, order, unseen), "ppm-gram-scores")
+        asked = scored.select("chunk", F.posexplode("asked").alias("place", "key")).withColumn("place", F.col("place").cast("long"))
+        logps = durable(gram_scores(asked.select("key").distinct(), grams, short, order, unseen), "ppm-gram-scores")
         release(counts)
         sweep(spark)
-        deep = open_.join(logps, "key").groupBy("row").agg(F.sum(F.col("times") * F.col("logp")).alias("deep"))
+        deep = deep_scores(scored, asked, logps)
         rest = rest.join(deep, "row", "full")
         score = F.col("score") + F.coalesce("deep", F.lit(0.0))
     return scored.join(rest, "row", "left").select(

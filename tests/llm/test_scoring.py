@@ -100,15 +100,15 @@ def test_rare_words_are_joined(spark, folder, monkeypatch):
     assert sorted((r.doc_id, r.n_known, round(r.base_score, 6)) for r in ppm.lm_score(docs, order=2).collect()) == whole
 
 
-@pytest.mark.parametrize("order,most", [(3, 40), (5, 40), (5, 400)])
-def test_rare_contexts_are_joined(spark, folder, order, most):
+@pytest.mark.parametrize("order,most,chunk", [(3, 40, 1 << 21), (5, 40, 1), (5, 400, 5000)])
+def test_rare_contexts_are_joined(spark, folder, order, most, chunk):
     docs = spark.read.parquet(f"{folder}/documents.parquet").limit(12)
     docs = docs.select("doc_id", "text").unionByName(spark.createDataFrame([(-1, "zzz unseen \x01 bytes"), (-1, None), (-2, "q")], "doc_id long, text string"))
     texts = [(r.doc_id, r.text or "") for r in docs.collect()]
     train = [t for i, t in texts if zlib.crc32(str(i).encode()) % 7 != 2]
     # every context of the training texts counts, however few of them are sent
     want = sorted(zip([i for i, _ in texts], plain_score(train, [t for _, t in texts], order, 1)))
-    got = sorted((r.doc_id, r.score) for r in ppm.lm_score(docs, order=order, max_contexts=most).collect())
+    got = sorted((r.doc_id, r.score) for r in ppm.lm_score(docs, order=order, max_contexts=most, chunk=chunk).collect())
     assert [i for i, _ in got] == [i for i, _ in want]
     assert [s for _, s in got] == pytest.approx([s for _, s in want], rel=1e-5)
 
