@@ -166,9 +166,9 @@ def write_batch(spark, d):
     return store.commit(ops, 7)
 
 
-@query(f"WITH {KV}, r AS (SELECT key, value, 'p' || (row_number() OVER (ORDER BY key) - 1) // 500 AS page FROM kv) SELECT 0 AS shard, page[2:]::BIGINT AS page, count(*) AS n, min(key) AS first_key, max(key) AS last_key FROM r GROUP BY page")
+@query(f"WITH {KV}, r AS (SELECT key, value, 'p' || (row_number() OVER (ORDER BY key) - 1) // 500 AS page FROM kv) SELECT 0 AS shard, page[2:]::BIGINT AS page, count(*) AS n, min(key) AS first_key, max(key) AS last_key, sha256(string_agg(sha256(key || chr(31) || value), '' ORDER BY key)) AS digest FROM r GROUP BY page")
 def snapshot_pages(spark, d):
-    return store.snapshot_pages(tables.order_rows(spark, d).withColumn("shard", F.lit(0)), 500).drop("digest")
+    return store.snapshot_pages(tables.order_rows(spark, d).withColumn("shard", F.lit(0)), 500)
 
 
 @query(f"WITH {KV} SELECT * FROM kv")
@@ -521,7 +521,12 @@ def store_counters(spark, d):
     return cost.counters(tables.table(spark, d, "events").select(F.col("event_type").alias("kind")), ["click", "error", "view"])
 
 
-@query(None)
+BUCKET = """RECURSIVE q AS (SELECT user_id AS key, event_id AS id, event_id * 137 AS "at", event_id % 4 AS cost, row_number() OVER (PARTITION BY user_id ORDER BY event_id * 137, event_id % 4, event_id) AS n FROM events),
+s(key, n, tokens, updated, id, "at", cost, admitted) AS (SELECT DISTINCT key, 0::BIGINT, 5::BIGINT, 0::BIGINT, 0::BIGINT, 0::BIGINT, 0::BIGINT, true FROM q
+UNION ALL SELECT key, n, t - CASE WHEN t >= cost THEN cost ELSE 0 END, u, id, "at", cost, t >= cost FROM (SELECT q.key, q.n, q.id, q."at", q.cost, CASE WHEN q."at" <= s.updated OR s.tokens >= 5 THEN s.tokens ELSE least(s.tokens + (q."at" - s.updated) * 2 // 1000, 5) END AS t, CASE WHEN q."at" <= s.updated THEN s.updated WHEN s.tokens >= 5 THEN q."at" ELSE s.updated + ((q."at" - s.updated) * 2 // 1000) * 1000 // 2 END AS u FROM s JOIN q ON q.key = s.key AND q.n = s.n + 1))"""
+
+
+@query(f'WITH {BUCKET} SELECT key, id, "at", cost, admitted FROM s WHERE n > 0')
 def token_bucket(spark, d):
     ship(spark)
     e = tables.table(spark, d, "events").select(F.col("user_id").alias("key"), F.col("event_id").alias("id"), (F.col("event_id") * 137).alias("at"), (F.col("event_id") % 4).alias("cost"))

@@ -415,9 +415,9 @@ def write_notify(spark, d):
     return write.notify(o, ["log", "feed"]).select("o_orderkey", "hook")
 
 
-@query("SELECT count(*) AS pages, sum(octet_length(n_name::BLOB))::BIGINT AS bytes FROM nation")
+@query("SELECT count(*) AS pages, sum(octet_length(n_name::BLOB))::BIGINT AS bytes, sha256(sha256(string_agg(sha256(n_name), '' ORDER BY n_nationkey))) AS digest FROM nation")
 def backup_manifest(spark, d):
-    return write.backup_manifest(tables.table(spark, d, "nation").select(F.col("n_nationkey").alias("page"), F.col("n_name").alias("body"))).drop("digest")
+    return write.backup_manifest(tables.table(spark, d, "nation").select(F.col("n_nationkey").alias("page"), F.col("n_name").alias("body")))
 
 
 @query("SELECT count(*) FILTER (o_orderkey % 9 = 0 OR o_orderkey % 50 > 25) AS kept, count(*) FILTER (NOT (o_orderkey % 9 = 0 OR o_orderkey % 50 > 25)) AS expired FROM orders")

@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .mvcc import latest
+from .mvcc import entails, latest
 
 
-def sequence_report(diffs: DataFrame, first: int = 0) -> DataFrame:
-    """stream, seq, status of each diff (stream, pos, seq) as it arrives in order of pos.
+def sequence_report(diffs: DataFrame, first: int = 0, whole: bool = False) -> DataFrame:
+    """stream, pos, seq (``whole``: all columns) and status of each diff as it arrives in order of pos.
 
     Applied if it is the next one expected, Duplicate if it came before, Gap if
     it is beyond; a stream stops at its first gap, and what follows is Blocked.
@@ -20,24 +20,65 @@ def sequence_report(diffs: DataFrame, first: int = 0) -> DataFrame:
     rows = diffs.withColumn("next", before + 1).withColumn("jump", F.col("seq") > F.col("next"))
     broken = F.max(F.col("jump").cast("int")).over(arrived.rowsBetween(Window.unboundedPreceding, -1))
     status = F.when(F.coalesce(broken, F.lit(0)) == 1, "Blocked").when(F.col("jump"), "Gap").when(F.col("seq") < F.col("next"), "Duplicate").otherwise("Applied")
-    return rows.select("stream", "pos", "seq", status.alias("status"))
+    return rows.select(*diffs.columns if whole else ("stream", "pos", "seq"), status.alias("status"))
 
 
 def apply_diffs(diffs: DataFrame) -> DataFrame:
     """stream, key, value after all applied diffs (stream, pos, seq, key, op put, delete or leave, value)."""
-    ok = sequence_report(diffs).where("status = 'Applied'").select("stream", "pos")
-    rows = diffs.join(ok, ["stream", "pos"])
+    rows = sequence_report(diffs, whole=True).where("status = 'Applied'")
     won = rows.groupBy("stream", "key").agg(F.max_by(F.struct("op", "value"), "seq").alias("w"))
     return won.where("w.op = 'put'").select("stream", "key", F.col("w.value").alias("value"))
 
 
 def interval_report(intervals: DataFrame) -> DataFrame:
-    """n, status of each interval (n, base, target): in order, from the target before it, never back."""
-    by = Window.orderBy("n")
-    gap = F.col("n") != F.lag("n").over(by) + 1
-    base = F.col("base") != F.lag("target").over(by)
-    status = F.when(F.coalesce(gap, F.lit(False)), "SequenceGap").when(F.coalesce(base, F.lit(False)), "BaseMismatch").when(F.col("target") < F.col("base"), "TargetRegressed").otherwise("Ok")
-    return intervals.select("n", status.alias("status"))
+    """n, status of each interval (n, base, target): in order, from the target before it, never back.
+
+    The interval before is found by a join on its number, so a long log is dealt to many tasks.
+    """
+    known = intervals.select((F.col("n") + 1).alias("n"), F.col("target").alias("before"), F.lit(True).alias("follows"))
+    first = F.broadcast(intervals.agg(F.min("n").alias("first")))  # one row
+    gap = F.col("follows").isNull() & (F.col("n") != F.col("first"))
+    status = F.when(gap, "SequenceGap").when(F.coalesce(F.col("base") != F.col("before"), F.lit(False)), "BaseMismatch").when(F.col("target") < F.col("base"), "TargetRegressed").otherwise("Ok")
+    return intervals.join(known, "n", "left").crossJoin(first).select("n", status.alias("status"))
+
+
+def same_vector(a: Column, b: Column) -> Column:
+    """Whether two version vectors hold the same shards at the same versions."""
+    return entails(a, b) & entails(b, a)
+
+
+def vector_interval_report(intervals: DataFrame, records: DataFrame) -> DataFrame:
+    """n, status of intervals (n, base, target: maps of shard to version) with their records (n, key).
+
+    They count from 1 and start from nothing; each starts from the target before
+    it and never goes back in any shard; a key has one record an interval.
+    """
+    twice = records.groupBy("n", "key").agg(F.count("*").alias("c")).where("c > 1").select("n").distinct().withColumn("twice", F.lit(True))
+    known = intervals.select((F.col("n") + 1).alias("n"), F.col("target").alias("before"))
+    rows = intervals.join(known, "n", "left").join(twice, "n", "left")
+    first = F.col("n") == 1
+    fits = F.when(first, F.size("base") == 0).otherwise(same_vector(F.col("base"), F.col("before")))
+    status = (
+        F.when(~first & F.col("before").isNull(), "SequenceGap")
+        .when(~fits, "BaseMismatch")
+        .when(~entails(F.col("target"), F.col("base")), "TargetRegressed")
+        .when(F.col("twice"), "DuplicateRecord")
+        .otherwise("Ok")
+    )
+    return rows.select("n", status.alias("status"))
+
+
+def read_at(reads: DataFrame, members: DataFrame, local: dict[str, int]) -> DataFrame:
+    """read_id, key, state, key_version of local reads (read_id, key, pin: map of shard to version).
+
+    Only the local pin is answered, Present or Absent; an older one is no longer
+    resident, any other one not yet hydrated.
+    """
+    here = F.create_map(*[F.lit(x) for kv in sorted(local.items()) for x in kv]) if local else F.create_map().cast("map<string,bigint>")
+    rows = reads.join(members.select("key", "key_version"), "key", "left")
+    now = same_vector(here, F.col("pin"))
+    state = F.when(now & F.col("key_version").isNotNull(), "Present").when(now, "Absent").when(entails(here, F.col("pin")), "NotResident").otherwise("NotHydrated")
+    return rows.select("read_id", "key", state.alias("state"), F.when(now, F.col("key_version")).alias("key_version"))
 
 
 def churn(records: DataFrame) -> DataFrame:

@@ -128,6 +128,18 @@ def percentiles(rows: DataFrame, column: str) -> DataFrame:
     return rows.agg(*[F.percentile(column, F.lit(q)).alias(name) for name, q in (("p50", 0.5), ("p99", 0.99), ("p999", 0.999))])
 
 
+def policy_cost(rows: DataFrame, column: str) -> DataFrame:
+    """p99, median, ratio of the steps that policies took; no ratio where the median is 0."""
+    out = rows.agg(F.percentile(column, F.lit(0.99)).alias("p99"), F.percentile(column, F.lit(0.5)).alias("median"))
+    return out.withColumn("ratio", F.when(F.col("median") > 0, F.col("p99") / F.col("median")))
+
+
+def cold_start(rows: DataFrame) -> DataFrame:
+    """cold, all, ratio of requests (cold: boolean) that found nothing warm."""
+    out = rows.agg(F.count_if(F.col("cold")).alias("cold"), F.count("*").alias("all"))
+    return out.withColumn("ratio", F.when(F.col("all") > 0, F.col("cold") / F.col("all")))
+
+
 def counters(rows: DataFrame, kinds: list[str]) -> DataFrame:
     """One count a kind of operation."""
     return rows.agg(*[F.count_if(F.col("kind") == k).alias(k) for k in kinds])

@@ -110,7 +110,7 @@ def get_many(rows: DataFrame, keys: list[str]) -> DataFrame:
     return asked.join(found, "key", "left").select("pos", "key", "value")
 
 
-def page_by_bytes(rows: DataFrame, most_rows: int, most_bytes: int, after: str | None = None) -> DataFrame:
+def page_by_bytes(rows: DataFrame, most_rows: int, most_bytes: int, after: str | None = None, direction: str = "next") -> DataFrame:
     """key, size, running: the rows of one page, bounded by rows and by bytes.
 
     A page holds at least one row; a single row above the byte bound fails when
@@ -121,8 +121,9 @@ def page_by_bytes(rows: DataFrame, most_rows: int, most_bytes: int, after: str |
     size = (F.octet_length("key") + F.coalesce(F.octet_length(F.col("value").cast("string")), F.lit(0))).cast("long")
     out = rows if after is None else rows.where(F.col("key") > after)
     # the window sees at most one page of rows
-    out = out.select("key", size.alias("size")).orderBy("key").limit(most_rows)
-    running = F.sum("size").over(Window.orderBy("key").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    order = F.asc("key") if direction == "next" else F.desc("key")
+    out = out.select("key", size.alias("size")).orderBy(order).limit(most_rows)
+    running = F.sum("size").over(Window.orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow))
     out = out.select("key", "size", running.alias("running"))
     too_big = (F.col("running") == F.col("size")) & (F.col("size") > most_bytes)
     out = out.withColumn("size", F.when(too_big, F.raise_error(F.lit("a row is larger than the page")).cast("long")).otherwise(F.col("size")))
@@ -167,6 +168,22 @@ def route(rows: DataFrame, shards: DataFrame, key: str = "key") -> DataFrame:
     return rows.join(F.broadcast(assigned), F.substring_index(F.col(key), "/", 1) == F.col("__t"), "left").drop("__t")
 
 
+def shard_plan(prefixes: list[str], shards: DataFrame, max_shards: int) -> DataFrame:
+    """shard, prefixes: a scope's prefixes by the shard of their table, in the order declared.
+
+    A table of no shard or of two fails, as does a plan over more than ``max_shards``.
+    """
+    spark = shards.sparkSession
+    asked = spark.createDataFrame(list(enumerate(prefixes)), "pos int, prefix string").withColumn("table_name", F.substring_index("prefix", "/", 1))
+    owners = shards.groupBy("table_name").agg(F.first("shard").alias("shard"), F.count("*").alias("n"))
+    both = F.broadcast(asked).join(owners, "table_name", "left")  # the prefixes of one declaration
+    fault = F.when(F.col("n") > 1, "a table has two shards: ").when(F.col("n").isNull(), "a table has no shard: ")
+    owner = F.when(F.col("n") == 1, F.col("shard")).otherwise(F.raise_error(F.concat(fault, F.col("table_name"))).cast(shards.schema["shard"].dataType))
+    out = both.select(owner.alias("shard"), F.struct("pos", "prefix").alias("p")).groupBy("shard").agg(F.transform(F.sort_array(F.collect_list("p")), lambda x: x["prefix"]).alias("prefixes"))
+    n = F.count("*").over(Window.partitionBy())  # one row a shard of the plan
+    return out.withColumn("prefixes", F.when(n <= max_shards, F.col("prefixes")).otherwise(F.raise_error(F.lit("the plan has too many shards")).cast("array<string>")))
+
+
 def feed_since(feed: DataFrame, cursor: int, limit: int) -> DataFrame:
     """Entries after a sequence number, in order."""
     return feed.where(F.col("seq") > cursor).orderBy("seq").limit(limit)

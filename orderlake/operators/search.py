@@ -160,3 +160,77 @@ def exact(hits: DataFrame, pin: DataFrame, served: DataFrame, limit: int) -> Dat
     checked = top(hits, limit).crossJoin(F.broadcast(state))  # one row
     fail = F.raise_error(F.concat(F.lit("shards are missing: "), F.col("missing")))
     return checked.select("shard", "key", F.when(F.col("complete"), F.col("score")).otherwise(fail.cast("long")).alias("score"))
+
+
+@dataclass(frozen=True)
+class Answer:
+    """A page of a coordinated search: its rows, who answered, where it goes on, and what is left of the budget."""
+
+    rows: DataFrame
+    answered: tuple
+    missing: tuple
+    token: str | None
+    budget: int | None
+
+
+def execute(
+    hits: DataFrame,
+    served: DataFrame,
+    targets: list[int],
+    pin: dict[int, int],
+    limit: int,
+    order: str = "relevance",
+    fanout: int = 64,
+    coverage_mode: bool = False,
+    query: str = "",
+    token: str | None = None,
+    budget: int | None = None,
+    retained: dict[int, int] | None = None,
+) -> Answer:
+    """One page over the responses of shards: ``hits`` (shard, key, score or sort_key, version), ``served`` (shard, version, digest_ok).
+
+    Refused: more targets than the fan-out, a cursor in coverage mode or of another
+    search, a pin below the retained versions, hits beyond the budget, a key of two
+    shards in the page. A target answers if it served just its pinned version with
+    the expected index; exact mode fails on the first that doesn't, coverage mode
+    lists it and gives no cursor. Hits newer than the pin are left out.
+    """
+    if len(targets) > fanout:
+        raise SearchRefusal(f"{len(targets)} shards are asked, {fanout} may be")
+    if coverage_mode and token is not None:
+        raise SearchRefusal("a search with coverage has no cursor")
+    fingerprint = SearchCursor.fingerprint_of(query, json.dumps(sorted(targets)), order, pin)
+    after = SearchCursor.read(token, fingerprint, order).position if token else None
+    for shard, version in pin.items():
+        if version < (retained or {}).get(shard, 0):
+            raise SearchRefusal(f"the pin of shard {shard} has expired")
+    asked = served.where(F.col("shard").isin(targets))
+    replies = {r["shard"]: r for r in asked.collect()}  # a row a target, of which the fan-out bounds the number
+    answered, missing = [], []
+    for shard in targets:
+        reply = replies.get(shard)
+        whole = shard in pin and reply is not None and reply["version"] == pin[shard]
+        if whole and not reply["digest_ok"]:
+            raise SearchRefusal(f"shard {shard} has another index")
+        if not whole and not coverage_mode:
+            raise SearchRefusal(f"shard {shard} has not answered at its pin")
+        (answered if whole else missing).append(shard)
+    own = at_pin(hits, {s: pin[s] for s in answered}) if answered else hits.where(F.lit(False))
+    left = budget
+    if budget is not None:
+        cost = dict(own.groupBy("shard").agg(F.count("*").alias("n")).collect())  # a row a target
+        for shard in answered:
+            left -= cost.get(shard, 0)
+            if left < 0:
+                raise SearchRefusal(f"the budget ends at shard {shard}")
+    if after is not None:
+        own = own.where(after_position(order, after))
+    if not duplicate_keys(own, order, limit).isEmpty():
+        raise SearchRefusal("two shards hold one key")
+    rows = page(own, limit, order)
+    following = None
+    if not coverage_mode:
+        last = rows.where((F.col("rank") == limit) & F.col("has_more")).first()
+        if last is not None:
+            following = SearchCursor(fingerprint, tuple(last[c] for c, _ in ORDERS[order]), order).token()
+    return Answer(rows, tuple(answered), tuple(missing), following, left)

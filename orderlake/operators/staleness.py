@@ -15,6 +15,17 @@ def version_lag(watermark: DataFrame, served: DataFrame) -> DataFrame:
     return both.agg(F.coalesce(F.max(behind), F.lit(0)).cast("long").alias("version_lag"))
 
 
+def silence(now: Column, last_contact: Column) -> Column:
+    """How long nothing was heard, never below 0."""
+    return F.greatest(now - last_contact, F.lit(0)).cast("long")
+
+
+def measure(served: Column, watermark: Column) -> Column:
+    """The most that a version vector is behind the watermarks; a shard that serves nothing is at 0."""
+    each = F.transform(F.map_entries(watermark), lambda w: F.greatest(w["value"] - F.coalesce(F.try_element_at(served, w["key"]), F.lit(0)), F.lit(0)))
+    return F.coalesce(F.array_max(each), F.lit(0)).cast("long")
+
+
 def fact_staleness(read_set: DataFrame, facts: DataFrame, watermarks: DataFrame, observed: DataFrame) -> DataFrame:
     """source, bound, distance, within: by source of the facts read, the tightest bound against how far it lags."""
     used = read_set.select("fact").distinct().join(facts.select("fact", "source", "bound"), "fact")

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -98,6 +98,84 @@ def schedule(requests: DataFrame, per_shard: int) -> DataFrame:
     return rows.select("request", reason.alias("reason"))
 
 
+#: Positions of one scheduler round up to this number may be broadcast.
+MOST_POSITIONS = 1 << 16
+
+
+def decide(requests: DataFrame, shards: DataFrame, max_positions: int, max_edges: int, epoch: int = 0) -> DataFrame:
+    """request, reason, position of one round over a graph of dependencies.
+
+    requests: request, shard, key, arrival, state (Queued, InFlight or Terminal),
+    deps (array of requests); shards: shard, blocked. A queued request is ready
+    if it is the earliest unfinished one of its key, its dependencies are Terminal
+    and its shard isn't blocked. Shards with ready requests take turns in order of
+    shard, from the one that the epoch points at, one request each a turn, until
+    the positions or the dependency edges are used up. Terminal requests are left
+    out; the others that are not selected say why.
+    """
+    if not 0 <= max_positions <= MOST_POSITIONS:
+        raise ValueError(f"a round has at most {MOST_POSITIONS} positions")
+    deps = requests.where("state = 'Queued'").select("request", F.explode(F.array_distinct("deps")).alias("needs"))
+    done = requests.where("state = 'Terminal'").select(F.col("request").alias("needs"))
+    waits = deps.join(done, "needs", "left_anti").select("request").distinct().withColumn("waits", F.lit(True))
+    edges = F.greatest(F.size(F.array_distinct(F.coalesce("deps", F.array().cast(requests.schema["deps"].dataType)))), F.lit(0))
+    rows = requests.where("state <> 'Terminal'").select("request", "shard", "key", "arrival", "state", edges.alias("edges"))
+    head = F.min(F.struct("arrival", "request")).over(Window.partitionBy("shard", "key"))
+    rows = rows.withColumn("head", head["request"] == F.col("request")).join(shards.select("shard", "blocked"), "shard", "left").join(waits, "request", "left")
+    held = (
+        F.when(F.col("state") == "InFlight", "InFlight")
+        .when(F.col("blocked"), "ShardBlocked")
+        .when(~F.col("head"), "KeyBlocked")
+        .when(F.col("waits"), "DependencyBlocked")
+    )
+    rows = rows.select("request", "shard", "arrival", "edges", held.alias("held"))
+    ready = rows.where("held is null")
+    # one row a shard with work
+    turns = ready.select("shard").distinct().select("shard", (F.row_number().over(Window.orderBy("shard")) - 1).alias("at"), F.count("*").over(Window.partitionBy()).alias("n"))
+    turns = turns.select("shard", F.pmod(F.col("at") - F.lit(epoch), F.col("n")).alias("turn"))
+    nth = F.row_number().over(Window.partitionBy("shard").orderBy("arrival", "request"))
+    # a shard gives no more than all positions, which Spark cuts before the shuffle; then one page
+    line = ready.withColumn("nth", nth).where(F.col("nth") <= max_positions).join(turns, "shard").orderBy("nth", "turn").limit(max_positions)
+    order = Window.orderBy("nth", "turn")
+    used = F.sum("edges").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    took = line.select("request", used.alias("used"), F.row_number().over(order).cast("long").alias("position")).where(F.col("used") <= max_edges).select("request", "position")
+    out = rows.join(F.broadcast(took), "request", "left")
+    reason = F.coalesce("held", F.when(F.col("position").isNull(), "OutsideBudget"), F.lit("Selected"))
+    return out.select("request", reason.alias("reason"), "position")
+
+
+def admit_requests(requests: DataFrame, max_fan_in: int, keep: Callable[[DataFrame, int], DataFrame]) -> DataFrame:
+    """request, arrival, verdict of requests (request, shard, arrival, deps) that arrive one after the other.
+
+    A request is refused if an earlier row has its id, if it has too many
+    dependencies, or if one of them is itself, belongs to another shard, or
+    isn't an admitted earlier request; the least dependency at fault decides. What a refusal
+    takes along is found in rounds, one a step along the longest chain of refusals;
+    ``keep`` writes a round's table, so that the plan doesn't grow.
+    """
+    first = F.row_number().over(Window.partitionBy("request").orderBy("arrival"))
+    rows = requests.select("request", "shard", "arrival", F.array_distinct("deps").alias("deps"), first.alias("nth"))
+    static = F.when(F.col("nth") > 1, "DuplicateRequest").when(F.size("deps") > max_fan_in, "FanInExceeded")
+    rows = rows.select("request", "shard", "arrival", "nth", F.when(static.isNull(), F.col("deps")).alias("deps"), static.alias("verdict"))
+    each = rows.select("request", "arrival", "shard", F.explode("deps").alias("needs"))
+    owner = rows.where("nth = 1").select(F.col("request").alias("needs"), F.col("shard").alias("s"), F.col("arrival").alias("a"))
+    edges = each.join(owner, "needs", "left").select("request", "arrival", "shard", "needs", "s", "a")
+    own = F.when(F.col("needs") == F.col("request"), "Cycle").when(F.col("a").isNull() | (F.col("a") >= F.col("arrival")), "ForwardReference").when(F.col("s") != F.col("shard"), "CrossShardEdge")
+    edges = keep(edges.select("request", "needs", own.alias("fault")), 0)
+    refused = rows.where("nth = 1 and verdict is not null").select("request").unionByName(edges.where("fault is not null").select("request")).distinct()
+    refused, n, round_ = keep(refused, 1), -1, 1
+    while (now := refused.count()) != n:
+        n, round_ = now, round_ + 1
+        more = edges.join(refused.select(F.col("request").alias("needs")), "needs", "left_semi").select("request")
+        refused = keep(refused.unionByName(more).distinct(), round_)
+    gone = refused.select(F.col("request").alias("needs"), F.lit(True).alias("gone"))
+    # an edge to a refused request leads to nothing, whatever else is wrong with it, unless it is the request itself
+    fault = F.when(F.col("fault") == "Cycle", "Cycle").when(F.col("gone"), "ForwardReference").otherwise(F.col("fault"))
+    worst = edges.join(gone, "needs", "left").select("request", "needs", fault.alias("fault")).where("fault is not null").groupBy("request").agg(F.min_by("fault", "needs").alias("fault"))
+    out = rows.join(worst, "request", "left")
+    return out.select("request", "arrival", F.coalesce("verdict", "fault", F.lit("Admitted")).alias("verdict"))
+
+
 def outbox_claims(entries: DataFrame) -> DataFrame:
     """entry, claimed: queued entries that are first of their key while nothing of the key is in flight."""
     by = Window.partitionBy("key")
@@ -170,18 +248,59 @@ def notify(writes: DataFrame, hooks: list[str]) -> DataFrame:
     return writes.where("refused = ''").select("*", F.explode(F.array(*map(F.lit, hooks))).alias("hook"))
 
 
-def rollout(state: str, operations: int, limit: int, now: int, expires: int, failures: int) -> str:
-    """The next state of a staged rollout: failures or the operation limit abort a canary, expiry promotes it."""
-    if state != "canary":
-        return state
-    return "aborted" if failures or operations > limit else "active" if now >= expires else "canary"
+def rollout(operations: F.Column, most: F.Column, now: F.Column, expires: F.Column, automatic: F.Column) -> F.Column:
+    """The step of a canary: too many operations abort it; once expired it is promoted, if its kind of change may be without approval."""
+    return F.when(operations > most, "Aborted").when((now >= expires) & automatic, "Promoted").otherwise("Continue")
+
+
+def rollout_tick(rollouts: DataFrame, operations: DataFrame, now: int) -> DataFrame:
+    """cohort, operations, step, version: the rollouts (cohort, base, candidate, since, most, expires, automatic) against what their cohorts did (cohort, at).
+
+    Operations from the start of a rollout to now count. An aborted one goes back
+    to its base version, all others show the candidate.
+    """
+    seen = operations.join(rollouts.select("cohort", "since"), "cohort").where((F.col("at") >= F.col("since")) & (F.col("at") <= now)).groupBy("cohort").agg(F.count("*").alias("operations"))
+    rows = rollouts.join(seen, "cohort", "left").withColumn("operations", F.coalesce("operations", F.lit(0)).cast("long"))
+    rows = rows.withColumn("step", rollout(F.col("operations"), F.col("most"), F.lit(now), F.col("expires"), F.col("automatic")))
+    return rows.select("cohort", "operations", "step", F.when(F.col("step") == "Aborted", F.col("base")).otherwise(F.col("candidate")).alias("version"))
+
+
+def activations(requests: DataFrame, assigned: DataFrame, catalog: DataFrame) -> DataFrame:
+    """request, outcome of activations (request, idempotency_key, cohort, base, candidate, role, author, approver).
+
+    The first request of a key decides, later ones repeat its receipt. A cohort at
+    another version than the base conflicts; versions that the catalog (version,
+    compiles, breaking) doesn't hold or can't compile are refused, as are breaking ones that nobody
+    but their author has approved.
+    """
+    nth = F.row_number().over(Window.partitionBy("idempotency_key").orderBy("request"))
+    first = requests.withColumn("nth", nth)
+    one = first.where("nth = 1").join(assigned.select("cohort", F.col("version").alias("current")), "cohort", "left")
+    known = catalog.select(F.col("version").alias("base"), F.lit(True).alias("known"))
+    target = catalog.select(F.col("version").alias("candidate"), "compiles", "breaking")
+    one = one.join(known, "base", "left").join(target, "candidate", "left")
+    approved = F.col("approver").isNotNull() & (F.col("approver") != F.col("author"))
+    outcome = (
+        F.when(F.coalesce(F.col("current") != F.col("base"), F.lit(False)), "Conflict")
+        .when(F.col("known").isNull(), "Rejected:UnknownBase")
+        .when(~F.coalesce("compiles", F.lit(False)), "Rejected:Compile")
+        .when(F.coalesce("breaking", F.lit(False)) & ~approved, "Rejected:Approval")
+        .otherwise("Activated")
+    )
+    receipts = one.select("idempotency_key", outcome.alias("outcome"))
+    return first.select("request", "idempotency_key", (F.col("nth") > 1).alias("repeated")).join(receipts, "idempotency_key").select("request", "outcome", "repeated")
+
+
+#: Pages of a backup whose digests are put together before those of all blocks are.
+BLOCK_OF_PAGES = 4096
 
 
 def backup_manifest(pages: DataFrame) -> DataFrame:
-    """pages, bytes, digest of a backup image (page, body)."""
+    """pages, bytes, digest of a backup image (page, body); pages are numbered, and their digests go into the whole's by blocks."""
     rows = pages.select("page", F.octet_length("body").alias("n"), F.sha2("body", 256).alias("h"))
-    hashes = F.transform(F.sort_array(F.collect_list(F.struct("page", "h"))), lambda x: x["h"])
-    return rows.agg(F.count("*").alias("pages"), F.sum("n").cast("long").alias("bytes"), F.sha2(F.concat_ws("", hashes), 256).alias("digest"))
+    joined = lambda by: F.concat_ws("", F.transform(F.sort_array(F.collect_list(F.struct(by, "h"))), lambda x: x["h"]))
+    blocks = rows.groupBy(F.floor(F.col("page") / BLOCK_OF_PAGES).alias("block")).agg(F.count("*").alias("pages"), F.sum("n").alias("bytes"), F.sha2(joined("page"), 256).alias("h"))
+    return blocks.agg(F.sum("pages").cast("long").alias("pages"), F.sum("bytes").cast("long").alias("bytes"), F.sha2(joined("block"), 256).alias("digest"))
 
 
 def restore_split(rows: DataFrame, now: int) -> tuple[DataFrame, DataFrame]:

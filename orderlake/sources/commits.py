@@ -21,19 +21,18 @@ class CommitError(ValueError):
     """A version that does not follow the last one."""
 
 
-class CommitTable:
-    """Rows (shard, key, version, value) of commits in ``folder``."""
+class Published:
+    """A folder whose state is the newest of its numbered manifests."""
 
     def __init__(self, spark: SparkSession, folder: str) -> None:
         self.spark, self.folder = spark, folder.rstrip("/")
 
-    # -- manifest
     def _files(self, path: str):
         p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
         return p, p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
 
     def manifest(self) -> list[dict]:
-        """version, path, rows, min_key, max_key, in order; small: a line a commit since the last compaction."""
+        """An entry a commit since the last compaction, in order."""
         names = self._manifests()
         return json.loads(self.spark.read.text(f"{self.folder}/_manifests/{names[-1]}", wholetext=True).first()[0]) if names else []
 
@@ -58,6 +57,10 @@ class CommitTable:
     def version(self) -> int:
         return max((m["version"] for m in self.manifest()), default=0)
 
+
+class CommitTable(Published):
+    """Rows (shard, key, version, value) of commits in ``folder``."""
+
     # -- writes
     def append(self, ops: DataFrame, version: int, shard: int = 0) -> dict:
         """Commits a batch (pos, key, op, value); versions must grow."""
@@ -86,6 +89,15 @@ class CommitTable:
     def read(self, pin: int | None = None, lower: str | None = None, upper: str | None = None) -> DataFrame:
         return latest(self.log(lower, upper, pin), pin)
 
+    def checked(self, pin: int | None = None) -> int:
+        """The pin (default: the newest version), if the table can still answer it."""
+        entries = self.manifest()
+        now = entries[-1]["version"] if entries else 0
+        oldest = max((m["version"] for m in entries if m.get("compacted")), default=0)
+        if pin is not None and not oldest <= pin <= now:
+            raise CommitError(f"version {pin} is not retained: {oldest} to {now} are")
+        return now if pin is None else pin
+
     def compact(self, pin: int | None = None) -> None:
         """Rewrites all commits up to ``pin`` (default: all) as one; older pins can no longer be read."""
         pin = self.version() if pin is None else pin

@@ -13,9 +13,10 @@ from ..functions.keys import in_prefix
 
 
 def commit(ops: DataFrame, version: int) -> DataFrame:
-    """Log rows of one batch (pos, key, op set or delete, value): the last operation on a key wins."""
+    """Log rows of one batch (pos, key, op set or delete, value): the last operation on a key wins; reading another operation fails."""
     won = ops.groupBy("key").agg(F.max_by(F.struct("op", "value"), "pos").alias("w"))
-    return won.select("key", F.lit(version).cast("long").alias("version"), F.when(F.col("w.op") == "set", F.col("w.value")).alias("value"))
+    value = F.when(F.col("w.op") == "set", F.col("w.value")).when(F.coalesce(F.col("w.op"), F.lit("")) != "delete", F.raise_error(F.lit("an operation is set or delete")).cast(ops.schema["value"].dataType))
+    return won.select("key", F.lit(version).cast("long").alias("version"), value.alias("value"))
 
 
 def delete_prefix(rows: DataFrame, prefix: str, version: int, below: str | None = None) -> DataFrame:

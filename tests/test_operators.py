@@ -177,14 +177,11 @@ def test_verdict_of_repeated_places(spark):
     assert got == [want, want]
 
 
-def test_audit_chain_and_rollout(spark):
+def test_audit_chain(spark):
     chain = write.audit_chain(spark.createDataFrame([(0, i, f"e{i}") for i in range(5)], "shard int, seq long, body string"))
     assert {r.status for r in write.audit_verify(chain).collect()} == {"Ok"}
     torn = write.audit_verify(chain.where("seq <> 2")).collect()
     assert [r.status for r in sorted(torn, key=lambda r: r.seq)] == ["Ok", "Ok", "Gap", "Ok"]
-    assert write.rollout("canary", 5, 10, 9, 8, 0) == "active"
-    assert write.rollout("canary", 11, 10, 9, 8, 0) == "aborted"
-    assert write.rollout("canary", 5, 10, 7, 8, 0) == "canary"
 
 
 def test_export_round_trip_and_refusals(spark, kv):
