@@ -560,11 +560,22 @@ def policy_in_kinds(spark, d):
     return policy.evaluate(policy_rows(spark, d), policy.In(P("after", "id"), (2, "7", "x", 39, None))).select("o_orderkey", "verdict")
 
 
-@query(f"SELECT o_orderkey, (1 + 3 + CASE WHEN o_orderstatus = 'P' THEN 0 WHEN o_custkey % 2 = 0 THEN 2 ELSE 4 END)::BIGINT AS steps FROM orders")
+@query("SELECT o_orderkey, (11 + CASE WHEN o_orderstatus = 'P' THEN 0 WHEN o_custkey % 2 = 0 THEN 6 ELSE 32 END)::BIGINT AS steps FROM orders")
 def policy_steps(spark, d):
     return policy.evaluate(policy_rows(spark, d), READ).select("o_orderkey", "steps")
 
 
+STOPPED = "SELECT o_orderkey, '{name}' AS budget, CASE WHEN o_orderstatus <> 'P' AND o_custkey % 2 = 0 THEN 'allow' ELSE 'deny' END AS verdict, CASE WHEN o_orderstatus = 'P' THEN 'False' WHEN o_custkey % 2 = 0 THEN '' ELSE '{name}' END AS reason, CASE WHEN o_orderstatus = 'P' THEN 11 ELSE 17 END::BIGINT AS steps FROM orders"
+
+
+@query(f"{STOPPED.format(name='StepBudget')} UNION ALL {STOPPED.format(name='MemoryBudget')} UNION ALL SELECT o_orderkey, 'DepthBudget', 'deny', CASE WHEN o_orderstatus = 'P' THEN 'False' WHEN o_custkey % 2 = 0 THEN '' ELSE 'DepthBudget' END, CASE WHEN o_orderstatus = 'P' THEN 11 WHEN o_custkey % 2 = 0 THEN 17 ELSE 34 END FROM orders WHERE o_orderstatus = 'P' OR o_custkey % 2 <> 0 UNION ALL SELECT o_orderkey, 'DepthBudget', 'allow', '', 17 FROM orders WHERE o_orderstatus <> 'P' AND o_custkey % 2 = 0")
+def policy_budgets(spark, d):
+    rows = policy_rows(spark, d)
+    budgets = {"StepBudget": {"max_steps": 20}, "MemoryBudget": {"max_steps": 40, "max_arena": 20}, "DepthBudget": {"max_depth": 2}}
+    parts = [policy.evaluate(rows, READ, **b).select("o_orderkey", F.lit(name).alias("budget"), "verdict", "reason", "steps") for name, b in budgets.items()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
 @query("SELECT o_orderkey, 'deny' AS verdict, 'NotTotal' AS reason FROM orders")
 def policy_cross_type(spark, d):
     return policy.evaluate(policy_rows(spark, d), BROKEN).select("o_orderkey", "verdict", "reason")

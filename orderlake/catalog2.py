@@ -211,7 +211,7 @@ def event_redrive(spark, d):
 ADMIT = "SELECT user_id AS key, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS sequence, CASE WHEN user_id % 6 = 0 THEN 2 WHEN user_id % 6 = 1 THEN row_number() OVER (PARTITION BY user_id ORDER BY event_id) END AS pending, event_id % 2 = 0 AS retry_due, event_id % 11 = 0 AS done, event_id % 13 = 0 AS dead, 2 AS acked, CASE WHEN user_id % 7 = 0 THEN 4 ELSE 0 END AS floor, user_id % 9 AS in_flight, event_id % 17 <> 0 AS known_schema FROM events"
 
 
-@query(f"WITH a AS ({ADMIT}) SELECT key, sequence, CASE WHEN pending IS NOT NULL AND pending <> sequence THEN 'Blocked' WHEN pending IS NOT NULL AND NOT retry_due THEN 'RetryNotDue' WHEN done THEN 'Duplicate:Completed' WHEN dead THEN 'Duplicate:DeadLettered' WHEN sequence <= acked THEN 'Duplicate:BehindCursor' WHEN acked + 1 < floor OR sequence < floor THEN 'CursorExpired' WHEN sequence > acked + 1 THEN 'SequenceGap' WHEN pending IS NULL AND in_flight >= 7 THEN 'TooSlow' WHEN NOT known_schema THEN 'DeadLettered:Poison' ELSE 'Ready' END AS outcome FROM a")
+@query(f"WITH a AS ({ADMIT}) SELECT key, sequence, CASE WHEN pending IS NOT NULL AND pending <> sequence THEN 'Blocked' WHEN pending IS NOT NULL AND NOT retry_due THEN 'RetryNotDue' WHEN pending IS NOT NULL THEN 'Ready' WHEN done THEN 'Duplicate:Completed' WHEN dead THEN 'Duplicate:DeadLettered' WHEN sequence <= acked THEN 'Duplicate:BehindCursor' WHEN acked < floor OR sequence < floor THEN 'CursorExpired' WHEN sequence > acked + 1 THEN 'SequenceGap' WHEN in_flight >= 7 THEN 'TooSlow' WHEN NOT known_schema THEN 'DeadLettered:Poison' ELSE 'Ready' END AS outcome FROM a")
 def event_admission(spark, d):
     nth = "row_number() OVER (PARTITION BY user_id ORDER BY event_id)"
     rows = tables.table(spark, d, "events").selectExpr(
@@ -221,6 +221,14 @@ def event_admission(spark, d):
     return events.admission(rows, 7)
 
 
+@query(f"WITH {EV}, {CU}, pd AS (SELECT ev.key, event_id, event_id * 10 AS retry_at FROM ev JOIN cu USING (key) WHERE sequence = acked + 1 AND key % 4 = 1) SELECT ev.key, sequence, CASE WHEN pd.event_id <> ev.event_id THEN 'Blocked' WHEN pd.event_id IS NOT NULL AND retry_at <= 4000 THEN 'Ready' WHEN pd.event_id IS NOT NULL THEN 'RetryNotDue' WHEN ev.event_id % 10 = 0 THEN 'Duplicate:Completed' WHEN ev.event_id % 13 = 0 THEN 'Duplicate:DeadLettered' WHEN sequence <= coalesce(acked, 0) THEN 'Duplicate:BehindCursor' WHEN coalesce(acked, 0) < 1 THEN 'CursorExpired' WHEN sequence > acked + 1 THEN 'SequenceGap' WHEN event_type = 'error' THEN 'DeadLettered:Poison' ELSE 'Ready' END AS outcome FROM ev LEFT JOIN cu ON cu.key = ev.key LEFT JOIN pd ON pd.key = ev.key")
+def event_begin(spark, d):
+    log, c = tables.event_log(spark, d), cursors(spark, d)
+    flight = events.read(log, c).where("key % 4 = 1 AND key % 3 <> 0").select("key", "event_id", (F.col("event_id") * 10).alias("retry_at"))
+    seen = lambda n: log.where(F.col("event_id") % n == 0).select("key", "event_id")
+    return events.begin(log.withColumnRenamed("event_type", "schema"), c, flight, seen(10), seen(13), 1, ["click", "view", "purchase", "signup"], 1 << 30, 4000)
+
+
 @query(f"WITH {EV}, l AS (SELECT key, sequence, sequence - lag(sequence) OVER (PARTITION BY key ORDER BY sequence) AS step FROM ev WHERE event_id % 10 <> 0) SELECT key, sequence - step AS after, step - 1 AS missing FROM l WHERE step > 1")
 def event_sequence_gaps(spark, d):
     return events.sequence_gaps(tables.event_log(spark, d).where("event_id % 10 <> 0"))

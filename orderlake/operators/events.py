@@ -98,19 +98,36 @@ def admission(events: DataFrame, budget: int) -> DataFrame:
     seq, acked = F.col("sequence"), F.coalesce("acked", F.lit(0))
     ladder = (
         F.when(F.col("pending").isNotNull() & (F.col("pending") != seq), "Blocked")
-        .when(F.col("pending").isNotNull() & ~F.col("retry_due"), "RetryNotDue")
+        .when(F.col("pending").isNotNull(), F.when(F.col("retry_due"), "Ready").otherwise("RetryNotDue"))
         .when(F.col("done"), "Duplicate:Completed")
         .when(F.col("dead"), "Duplicate:DeadLettered")
         .when(seq <= acked, "Duplicate:BehindCursor")
-        .when((acked + 1 < F.col("floor")) | (seq < F.col("floor")), "CursorExpired")
+        .when((acked < F.col("floor")) | (seq < F.col("floor")), "CursorExpired")
         .when(seq > acked + 1, "SequenceGap")
-        .when(F.col("pending").isNull() & (F.col("in_flight") >= budget), "TooSlow")
+        .when(F.col("in_flight") >= budget, "TooSlow")
         .when(~F.col("known_schema"), "DeadLettered:Poison")
         .otherwise("Ready")
     )
     return events.select("key", "sequence", ladder.alias("outcome"))
 
 
+def begin(deliveries: DataFrame, cursors: DataFrame, pending: DataFrame, completed: DataFrame, dead: DataFrame, floor: int, schemas: list[str], budget: int, now: int) -> DataFrame:
+    """key, sequence, outcome of deliveries (key, sequence, event_id, schema) against a consumer's tables.
+
+    cursors: key, acked; pending: key, event_id, retry_at, one event a key; completed
+    and dead: key, event_id. Each delivery is judged by itself on these tables.
+    """
+    flight = pending.select("key", F.col("event_id").alias("p_id"), "retry_at")
+    n = F.broadcast(pending.agg(F.count("*").alias("in_flight")))  # one row
+    mark = lambda rows, name: rows.select("key", "event_id").distinct().withColumn(name, F.lit(True))
+    rows = deliveries.join(cursors.select("key", "acked"), "key", "left").join(flight, "key", "left")
+    rows = rows.join(mark(completed, "done"), ["key", "event_id"], "left").join(mark(dead, "dead"), ["key", "event_id"], "left").crossJoin(n)
+    # another event in flight stands for any other sequence
+    held = F.when(F.col("p_id") == F.col("event_id"), F.col("sequence")).when(F.col("p_id").isNotNull(), F.lit(-1))
+    flags = {"pending": held, "retry_due": F.coalesce(F.col("retry_at") <= now, F.lit(False)), "done": F.coalesce("done", F.lit(False)), "dead": F.coalesce("dead", F.lit(False)), "floor": F.lit(floor), "known_schema": F.coalesce(F.col("schema").isin(schemas), F.lit(False))}
+    return admission(rows.withColumns(flags), budget)
+
+
 def dead_letters(settled: DataFrame) -> DataFrame:
     return settled.where(F.col("result").startswith("DeadLettered")).select("key", "sequence", F.substring_index("result", ":", -1).alias("reason"))
 

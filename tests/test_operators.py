@@ -134,6 +134,21 @@ def test_policy_budget_and_paths(spark):
         policy.validate(P("after", "x"), frame.schema)
     with pytest.raises(policy.PolicyError):
         policy.measure("text")
+    # or 1, greater 1, a name of one letter 2 each: the budget ends before the name that it can't pay
+    spent = lambda t, **k: tuple(policy.evaluate(frame, t, **k).select("reason", "steps").first())
+    assert spent(tree) == ("", 6)
+    assert spent(tree, max_steps=5) == (policy.STEPS, 4)
+    assert spent(tree, max_arena=3) == (policy.MEMORY, 2)
+    assert spent(tree, max_steps=3, max_arena=3) == (policy.STEPS, 2)
+    # a fault that comes first ends it first
+    assert spent(policy.And(P("after", "b"), L("long text")), max_steps=4) == (policy.UNKNOWN, 3)
+    assert spent(policy.In(P("after", "n"), ("two", 2))) == ("", 9)
+    assert policy.measure(policy.In(P("after", "n"), ("two", 2))) == (4, 2)
+    deep = tree
+    for _ in range(130):
+        deep = policy.Not(deep)
+    with pytest.raises(policy.PolicyError):
+        policy.evaluate(frame, deep)
     assert policy.path_diff([P("before", "n")], [tree]) == (["after.b", "after.n"], [])
 
 
