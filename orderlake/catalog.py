@@ -416,10 +416,13 @@ def merge_declared(spark, d):
     return search.top(streams(spark, d).select("key", F.expr("substring(key, 3)").alias("sort_key")).distinct(), 15, "declared")
 
 
-@query("SELECT '0,2' AS answered, '1,3' AS missing, false AS complete")
+@query("WITH p AS (SELECT n_nationkey AS shard, n_nationkey % 4 AS p, n_regionkey AS s FROM nation WHERE n_nationkey < 20), c AS (SELECT shard, coalesce(s, -1) >= p AS ok, s = p AS eq FROM p), u AS (SELECT true AS at_least, shard, ok FROM c UNION ALL SELECT false, shard, eq FROM c) SELECT at_least, coalesce(string_agg(shard::VARCHAR, ',' ORDER BY shard::VARCHAR) FILTER (ok), '') AS answered, coalesce(string_agg(shard::VARCHAR, ',' ORDER BY shard::VARCHAR) FILTER (NOT ok), '') AS missing, bool_and(ok) AS complete FROM u GROUP BY 1")
 def merge_coverage(spark, d):
-    pin = spark.createDataFrame([(0, 5), (1, 7), (2, 9), (3, 4)], "shard int, version long")
-    return search.coverage(pin, spark.createDataFrame([(0, 5), (1, 6), (2, 9)], "shard int, version long"))
+    n = tables.table(spark, d, "nation")
+    pin = n.where("n_nationkey < 20").select(F.col("n_nationkey").alias("shard"), (F.col("n_nationkey") % 4).cast("long").alias("version"))
+    served = n.select(F.col("n_nationkey").alias("shard"), F.col("n_regionkey").cast("long").alias("version"))
+    least, same = search.coverage(pin, served, at_least=True), search.coverage(pin, served)
+    return least.withColumn("at_least", F.lit(True)).unionByName(same.withColumn("at_least", F.lit(False)))
 
 
 @query(f"WITH {STREAMS}, k AS (SELECT DISTINCT key, score FROM st ORDER BY score DESC, key LIMIT 40), u AS (SELECT shard, count(*) AS c FROM st JOIN k USING (key, score) GROUP BY 1) SELECT shard, coalesce(c, 0) AS consumed FROM (SELECT DISTINCT shard FROM st) LEFT JOIN u USING (shard)")

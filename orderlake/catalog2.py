@@ -124,11 +124,16 @@ def feed_resume(spark, d):
     return tables.table(spark, d, "nation").select(F.col("n_nationkey").alias("c"), cdc.resume(F.col("n_nationkey"), F.lit(8), F.lit(20)).alias("how"))
 
 
-@query("SELECT 'SchemaChanged' AS cause")
+@query("SELECT * FROM (VALUES (0, NULL), (1, 'SchemaChanged'), (2, 'OwnershipChanged'), (3, 'Revocation'), (4, 'FactSetChanged'), (5, 'FactSetChanged'), (6, 'PolicyChanged')) t(kind, cause) WHERE (SELECT count(*) FROM nation) > 0")
 def invalidation_cause(spark, d):
     n = tables.table(spark, d, "nation").select(F.col("n_name").alias("fact"), F.lit("text").alias("type"), F.lit("a").alias("owner"), F.lit(False).alias("revoked"), F.col("n_regionkey").cast("string").alias("value"), "n_nationkey")
-    new = n.withColumn("type", F.when(F.col("n_nationkey") == 12, "u64").otherwise(F.col("type"))).withColumn("value", F.lit("x"))
-    return cdc.invalidation(n, new)
+    at = lambda column, value: n.withColumn("value", F.lit("x")).withColumn(column, F.when(F.col("n_nationkey") == 12, F.lit(value)).otherwise(F.col(column)))
+    changed = [n, at("type", "u64"), at("owner", "b"), at("revoked", True), n.withColumn("value", F.lit("x")), n.where("n_nationkey <> 3"), n]
+    out = [cdc.invalidation(n, new, "PolicyChanged" if kind == 6 else None).select(F.lit(kind).alias("kind"), "cause") for kind, new in enumerate(changed)]
+    whole = out[0]
+    for part in out[1:]:
+        whole = whole.unionByName(part)
+    return whole
 
 
 # ---------------------------------------------------------------- events
@@ -280,9 +285,13 @@ def staleness_authorize(spark, d):
     return staleness.authorize(fact_reports(spark, d), "default", False)
 
 
-@query(f"WITH {FACTS} SELECT count(DISTINCT fact) AS facts, count(DISTINCT source) AS sources, 'TooManySources' AS verdict FROM fa WHERE fact IN ('f1', 'f2', 'f3')")
+CAPS = {"TooManySources": ["f1", "f2", "f3"], "TooManyFacts": ["f1", "f2", "f3", "f4", "f6", "f7"], "UnknownFact": ["f1", "none"], "Ok": ["f1", "f6", "f1"]}
+
+
+@query(f"WITH {FACTS} " + " UNION ALL ".join(f"SELECT count(DISTINCT fact) AS facts, count(DISTINCT source) AS sources, '{verdict}' AS verdict FROM fa WHERE fact IN ({', '.join(map(repr, wanted))})" for verdict, wanted in CAPS.items()))
 def read_set_caps(spark, d):
-    return staleness.read_set(facts_raw(spark, d), ["f1", "f2", "f3"], 5, 2)
+    parts = [staleness.read_set(facts_raw(spark, d), wanted, 5, 2) for wanted in CAPS.values()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
 
 
 @query("""WITH r AS (SELECT event_id, event_id % 20 AS p0, event_id % 7 AS p1, event_id % 9 AS m0, event_id % 15 AS a0, event_id % 8 AS a1, event_id % 29 = 0 AS pin_expired, event_id % 31 <> 0 AS hydrated, event_id % 3 = 0 AS resident, event_id % 2 = 0 AS needs, event_id % 4 = 1 AS ryw, event_id % 5 < 2 AS at_least, event_id % 6 = 0 AS cov FROM events),

@@ -9,7 +9,7 @@ from .catalog import FLAGS, KV, R1, WORDS, key, query, text_documents
 from .engine import View
 from .functions.keys import table_bounds
 from .functions.text import unicode_words
-from .operators import cdc, cost, index, scan, search, staleness, write
+from .operators import cdc, cost, index, policy, scan, search, staleness, write
 from .shipping import ship
 from .sources import tables
 from .sources.commits import CommitTable
@@ -303,6 +303,28 @@ def rule_activation(spark, d):
     return write.activations(requests, assigned, catalog)
 
 
+MUTATED = """mt AS (SELECT l_orderkey AS request, l_partkey % 41 = 0 AS crosses, l_partkey % 97 = 0 AS derived, CASE WHEN l_partkey % 31 <> 0 THEN l_partkey % 3 + CASE WHEN l_quantity > 48 THEN 1 WHEN l_quantity < 3 THEN -1 ELSE 0 END END AS base, CASE WHEN l_partkey % 97 <> 0 THEN l_partkey % 3 ELSE 0 END AS v, l_quantity > 44 AS denied FROM lineitem),
+fl AS (SELECT request, bool_or(crosses) AS crosses, bool_or(derived) AS derived, bool_or(base IS NULL) AS unbased, bool_or(base > v) AS ahead, bool_or(base < v) AS behind, bool_or(denied) AS denied FROM mt GROUP BY 1),
+rq AS (SELECT o_orderkey AS request, o_orderkey // 2 AS ik, o_orderstatus AS body, o_custkey % 10 < 8 AS known, coalesce(crosses, false) AS crosses, coalesce(derived, false) AS derived, coalesce(unbased, false) AS unbased, coalesce(ahead, false) AS ahead, coalesce(behind, false) AS behind, coalesce(denied, false) AS denied FROM orders LEFT JOIN fl ON request = o_orderkey),
+fs AS (SELECT ik, min(request) AS first, arg_min(body, request) AS first_body FROM rq WHERE known AND NOT (unbased AND NOT crosses AND NOT derived) GROUP BY 1)"""
+
+
+@query(f"WITH {MUTATED} SELECT request, CASE WHEN NOT known THEN 'Rejected:Unauthenticated' WHEN request > first AND body = first_body THEN 'Replayed' WHEN request > first THEN 'Rejected:KeyReused' WHEN crosses THEN 'Rejected:CrossShard' WHEN derived THEN 'Rejected:ProjectionWrite' WHEN unbased THEN 'Rejected:MissingBase' WHEN ahead THEN 'Rejected:StaleBase' WHEN behind THEN 'Conflict' WHEN denied THEN 'Rejected:Policy' ELSE 'Committed' END AS outcome FROM rq LEFT JOIN fs USING (ik)")
+def enforcement_commit(spark, d):
+    o, line = tables.table(spark, d, "orders"), tables.table(spark, d, "lineitem")
+    requests = o.select(F.col("o_orderkey").alias("request"), F.concat(F.lit("t"), (F.col("o_custkey") % 10).cast("string")).alias("token"), F.expr("o_orderkey div 2").alias("idempotency_key"), F.col("o_orderstatus").alias("body"))
+    part, amount = F.col("l_partkey"), F.col("l_quantity")
+    name = F.when(part % 97 == 0, "projection/x").otherwise(F.concat(F.lit("p/"), part.cast("string")))
+    base = F.when(part % 31 != 0, part % 3 + F.when(amount > 48, 1).when(amount < 3, -1).otherwise(0))
+    row = F.struct(F.ceil(amount).cast("long").alias("amount"))
+    mutations = line.select(F.col("l_orderkey").alias("request"), F.col("l_linenumber").alias("pos"), name.alias("key"), F.when(part % 41 == 0, 1).otherwise(0).alias("shard"), base.alias("base"), row.alias("before"), row.alias("after"))
+    sessions = spark.createDataFrame([(f"t{i}", 5 if i == 8 else 100) for i in range(9)], "token string, expires int")
+    versions = tables.table(spark, d, "part").select(F.concat(F.lit("p/"), F.col("p_partkey").cast("string")).alias("key"), (F.col("p_partkey") % 3).alias("version"))
+    projection = spark.createDataFrame([("d", "d", 9, 9, 2, 5)], "digest string, expected string, watermark int, previous int, lag int, bound int")
+    tree = policy.Compare("le", policy.Path("after", "amount"), policy.Literal(44))
+    return write.enforce_requests(requests, mutations, sessions, versions, projection, tree, 0, True, 10)
+
+
 # ---------------------------------------------------------------- vectors
 @query("WITH v AS (SELECT n_nationkey + 1 AS n, n_nationkey // 2 AS a, (n_nationkey + 1) // 2 AS b FROM nation WHERE n_nationkey <> 17) SELECT n::BIGINT AS n, CASE WHEN n = 19 THEN 'SequenceGap' WHEN n % 8 = 5 THEN 'BaseMismatch' WHEN n % 6 = 4 THEN 'TargetRegressed' WHEN n > 5 AND (n - 1) % 6 = 4 THEN 'BaseMismatch' WHEN n % 7 = 0 THEN 'DuplicateRecord' ELSE 'Ok' END AS status FROM v")
 def scope_vector_intervals(spark, d):

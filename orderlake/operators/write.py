@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .policy import evaluate
+
 
 def check_versions(mutations: DataFrame, current: DataFrame) -> DataFrame:
     """request, verdict: of a request's mutations (request, pos, key, base), the first that isn't Pass decides; of several at one pos, Rejected before Conflict; a null pos comes last."""
@@ -65,6 +67,45 @@ def enforce(requests: DataFrame) -> DataFrame:
     return requests.select("request", ladder.alias("outcome"))
 
 
+def enforce_requests(requests: DataFrame, mutations: DataFrame, sessions: DataFrame, versions: DataFrame, projection: DataFrame, tree: object, shard: int, strict: bool, now: int, derived: str = "projection/") -> DataFrame:
+    """request, outcome of requests at the enforcement point of one shard, judged on its tables.
+
+    requests: request, token, idempotency_key, body; mutations: request, pos, key,
+    shard, base, before, after; sessions: token, expires; versions: key, version
+    (before the batch; unknown keys are at 0); projection: one row of digest, expected, watermark,
+    previous, lag, bound; ``derived``: the keys that no client writes. The first
+    request of an idempotency key whose outcome is kept answers later ones; refusals for
+    want of a session or of a base are not kept.
+    """
+    known = sessions.where(F.col("expires") > now).select("token").distinct().withColumn("authenticated", F.lit(True))
+    judged = evaluate(mutations, tree).join(versions.select("key", F.col("version").alias("v")), "key", "left").withColumn("v", F.coalesce("v", F.lit(0)))
+    any_ = lambda c: F.coalesce(F.bool_or(c), F.lit(False))
+    each = judged.groupBy("request").agg(
+        F.count("*").alias("rows"),
+        any_(F.col("shard") != shard).alias("crosses"),
+        any_(F.col("key").startswith(derived)).alias("writes_projection"),
+        any_(F.col("base").isNull()).alias("unbased"),
+        any_(F.col("base") > F.col("v")).alias("ahead"),
+        any_(F.col("base") < F.col("v")).alias("behind"),
+        any_(F.col("verdict") != "allow").alias("denied"),
+    )
+    flags = ("crosses", "writes_projection", "unbased", "ahead", "behind", "denied", "authenticated")
+    rows = requests.join(known, "token", "left").join(each, "request", "left").withColumns({f: F.coalesce(f, F.lit(False)) for f in flags}).withColumn("rows", F.coalesce("rows", F.lit(0)))
+    refused = F.col("unbased") & ~F.col("crosses") & ~F.col("writes_projection") & (F.col("rows") <= 1024)
+    kept = F.when(F.col("authenticated") & ~refused, F.struct("request", "body"))
+    first = F.min(kept).over(Window.partitionBy("idempotency_key"))
+    rows = rows.withColumn("first", first).withColumn("later", F.coalesce(F.col("request") > F.col("first.request"), F.lit(False)))
+    state = F.broadcast(projection)  # one row
+    base = F.when(F.col("unbased"), F.lit(None)).when(F.col("ahead"), 1).when(F.col("behind"), -1).otherwise(0)
+    same = F.col("body") == F.col("first.body")
+    return enforce(
+        rows.crossJoin(state).select(
+            "request", "authenticated", (F.col("later") & same).alias("replayed"), F.col("later").alias("reused"), "rows", F.when(F.col("crosses"), 2).otherwise(1).alias("shards"), "writes_projection", base.alias("base"), F.lit(0).alias("version"),
+            (F.col("digest") == F.col("expected")).alias("checksum_ok"), (F.col("watermark") < F.col("previous")).alias("regressed"), (F.col("lag") > F.col("bound")).alias("over_bound"), F.lit(strict).alias("strict"), (~F.col("denied")).alias("policy_ok"),
+        )
+    )
+
+
 def expire_queued(receipts: DataFrame, now: int) -> DataFrame:
     """Queued writes at their deadline become rejected."""
     return receipts.withColumn("state", F.when((F.col("state") == "Queued") & (F.col("deadline") <= now), "Rejected").otherwise(F.col("state")))
