@@ -11,8 +11,9 @@ from .functions.keys import table_bounds
 from .functions.text import unicode_words
 from .operators import cdc, cost, index, policy, scan, search, staleness, write
 from .shipping import ship
-from .sources import tables
+from .sources import store, tables
 from .sources.commits import CommitTable
+from .sources.hydrate import Hydration, page_crc
 from .sources.segments import SegmentIndex
 from .sources.shared import scratch
 
@@ -112,6 +113,42 @@ def scope_shard_plan(spark, d):
     return plan.select("shard", F.array_join("prefixes", ",").alias("prefixes"))
 
 
+@query(f"WITH {KV} SELECT key, CASE WHEN key[8:]::BIGINT % 6 = 1 THEN 'new' ELSE value END AS value FROM kv WHERE key[8:]::BIGINT % 6 <> 2")
+def hydrated_with_tail(spark, d):
+    def make(folder: str) -> Hydration:
+        out = Hydration(spark, folder)
+        rows = tables.order_rows(spark, d).withColumn("page", F.expr("bigint(substring(key, 8, 20)) div 100"))
+        plan = page_crc(rows)
+        # the first round brings one page of three torn, the second brings all again
+        torn = rows.where("page % 3 <> 0 OR bigint(substring(key, 8, 20)) % 7 <> 0")
+        out.receive(torn, plan, 0)
+        out.receive(rows, plan, 1)
+        out.publish(plan, 5)
+        return out
+
+    n = F.expr("bigint(substring(key, 8, 20))")
+    tail = tables.order_rows(spark, d).where((n % 6 == 1) | (n % 6 == 2) | (n % 6 == 3))
+    # those of 3 come before the snapshot, so they change nothing
+    tail = tail.select("key", F.when(n % 6 == 3, 4).otherwise(6).cast("long").alias("version"), F.when(n % 6 == 2, "delete").otherwise("set").alias("op"), F.lit("new").alias("value"))
+    return once(spark, "hydrated", d, make).read(tail)
+
+
+@query(f"WITH {KV} SELECT key, value FROM kv")
+def stream_round_trip(spark, d):
+    ship(spark)
+    return store.read_stream(store.export_stream(tables.order_rows(spark, d)))
+
+
+CALLS = "cl AS (SELECT CASE event_id % 8 WHEN 0 THEN 'get' WHEN 1 THEN 'has' WHEN 2 THEN 'set' WHEN 3 THEN 'put' WHEN 4 THEN 'delete' WHEN 5 THEN 'scan' WHEN 6 THEN 'commit' ELSE 'rollback' END AS kind, event_id % 13 AS items, event_id % 101 AS bytes, event_type = 'error' AS failed FROM events)"
+
+
+@query(f"WITH {CALLS} SELECT " + ", ".join(f"count(*) FILTER (kind = '{k}') AS {n}" for n, k in (("gets", "get"), ("has", "has"), ("sets", "set"), ("puts", "put"), ("deletes", "delete"), ("scans", "scan"), ("tx_commits", "commit"), ("tx_rollbacks", "rollback"))) + ", sum(items) FILTER (kind = 'scan')::BIGINT AS scan_items, sum(bytes) FILTER (kind IN ('get', 'scan'))::BIGINT AS bytes_read, sum(bytes) FILTER (kind IN ('set', 'put'))::BIGINT AS bytes_written, count(*) FILTER (failed) AS errors FROM cl")
+def store_stats(spark, d):
+    kinds = F.array(*map(F.lit, ("get", "has", "set", "put", "delete", "scan", "commit", "rollback")))
+    e = F.col("event_id")
+    return cost.store_stats(tables.table(spark, d, "events").select(F.get(kinds, (e % 8).cast("int")).alias("kind"), (e % 13).alias("items"), (e % 101).alias("bytes"), (F.col("event_type") == "error").alias("failed")))
+
+
 # ---------------------------------------------------------------- the stored index
 #: Commit 1 holds all documents; commit 2 puts a short text in place of each fifth and deletes each ninth.
 SEG = f"""d1 AS (SELECT doc_id, text, 1 AS version FROM documents), d2 AS (SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 'the ' || source || ' the end' ELSE text END AS text, CASE WHEN doc_id % 5 = 0 THEN 2 ELSE 1 END::BIGINT AS version FROM documents WHERE doc_id % 9 <> 0 OR doc_id % 5 = 0),

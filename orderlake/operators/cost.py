@@ -123,14 +123,29 @@ def conflict_rate(receipts: DataFrame) -> DataFrame:
     return out.withColumn("rate", F.when(F.col("settled") > 0, F.col("conflicts") / F.col("settled")))
 
 
-def percentiles(rows: DataFrame, column: str) -> DataFrame:
-    """p50, p99 and p999, exact."""
-    return rows.agg(*[F.percentile(column, F.lit(q)).alias(name) for name, q in (("p50", 0.5), ("p99", 0.99), ("p999", 0.999))])
+def percentiles(rows: DataFrame, column: str, quantiles: tuple[tuple[str, float], ...] = (("p50", 0.5), ("p99", 0.99), ("p999", 0.999))) -> DataFrame:
+    """Exact quantiles of the non-null numbers, by default p50, p99 and p999; null without any.
+
+    Rows are ranked by ranges, so no task holds all distinct values; a quantile
+    between two rows is their weighted mean.
+    """
+    from ..sources.store import numbered
+
+    known = rows.select(F.col(column).cast("double").alias("x")).where("x IS NOT NULL")
+    n = known.count()
+    ranked = numbered(known, "x")
+    out = []
+    for name, q in quantiles:
+        at = q * max(n - 1, 0)
+        low = int(at)
+        value = lambda i: F.max(F.when(F.col("nth") == min(i, max(n - 1, 0)) + 1, F.col("x")))
+        out.append((value(low) + (value(low + 1) - value(low)) * F.lit(at - low)).alias(name))
+    return ranked.agg(*out)
 
 
 def policy_cost(rows: DataFrame, column: str) -> DataFrame:
     """p99, median, ratio of the steps that policies took; no ratio where the median is 0."""
-    out = rows.agg(F.percentile(column, F.lit(0.99)).alias("p99"), F.percentile(column, F.lit(0.5)).alias("median"))
+    out = percentiles(rows, column, (("p99", 0.99), ("median", 0.5)))
     return out.withColumn("ratio", F.when(F.col("median") > 0, F.col("p99") / F.col("median")))
 
 
@@ -145,6 +160,24 @@ def counters(rows: DataFrame, kinds: list[str]) -> DataFrame:
     return rows.agg(*[F.count_if(F.col("kind") == k).alias(k) for k in kinds])
 
 
+def store_stats(calls: DataFrame) -> DataFrame:
+    """The twelve counters of a store from its calls (kind, items, bytes, failed).
+
+    kind: get, has, set, put, delete, scan, commit or rollback; items: rows that a scan gave;
+    bytes: of values that a read gave or a write took. Every call counts, whether it failed or not.
+    """
+    kind = F.col("kind")
+    counted = {"gets": "get", "has": "has", "sets": "set", "puts": "put", "deletes": "delete", "scans": "scan", "tx_commits": "commit", "tx_rollbacks": "rollback"}
+    total = lambda ok, column: F.coalesce(F.sum(F.when(ok, F.col(column))), F.lit(0)).cast("long")
+    return calls.agg(
+        *[F.count_if(kind == k).alias(name) for name, k in counted.items()],
+        total(kind == "scan", "items").alias("scan_items"),
+        total(kind.isin("get", "scan"), "bytes").alias("bytes_read"),
+        total(kind.isin("set", "put"), "bytes").alias("bytes_written"),
+        F.count_if(F.col("failed")).alias("errors"),
+    )
+
+
 def compaction_pass(shards: DataFrame, budget: int) -> DataFrame:
     """shard, action: Paused, Blocked by a pin, Idle, or Ran while the budget lasts, in order of shard."""
     ready = ~F.col("paused") & ~(F.col("pin") < F.col("target")) & (F.col("files") > 1)

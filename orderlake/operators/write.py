@@ -134,7 +134,8 @@ def schedule(requests: DataFrame, per_shard: int) -> DataFrame:
         .when(~F.col("deps_done"), "DependencyBlocked")
     )
     rows = rows.withColumn("reason", base)
-    turn = F.row_number().over(Window.partitionBy("shard", F.col("reason").isNull()).orderBy("arrival", "request"))
+    # rows that have a reason are dealt one by one, so only ready ones are sorted by shard
+    turn = F.row_number().over(Window.partitionBy("shard", F.when(F.col("reason").isNotNull(), F.col("request"))).orderBy("arrival", "request"))
     reason = F.coalesce("reason", F.when(turn > per_shard, "OutsideBudget"), F.lit("Selected"))
     return rows.select("request", reason.alias("reason"))
 

@@ -122,3 +122,42 @@ def read_export(spark: SparkSession, header: bytes, chunks: DataFrame) -> DataFr
             yield pd.DataFrame(rows, columns=["key", "value"])
 
     return chunks.mapInPandas(run, "key string, value string")
+
+
+def export_stream(rows: DataFrame) -> DataFrame:
+    """chunk, first_key, body: the header as chunk 0, then the records; bodies in order of (chunk, first_key) are one stream."""
+    head = rows.sparkSession.createDataFrame([(0, None, bytearray(export_header()))], "chunk int, first_key string, body binary")
+    return head.unionByName(export(rows).select(F.lit(1).alias("chunk"), "first_key", "body"))
+
+
+def read_stream(chunks: DataFrame) -> DataFrame:
+    """The rows of an exported stream, whose header is looked at first."""
+    heads = chunks.where("chunk = 0").select("body").limit(2).collect()
+    if len(heads) != 1:
+        raise ValueError("a stream has one header")
+    return read_export(chunks.sparkSession, bytes(heads[0]["body"]), chunks.where("chunk > 0"))
+
+
+def load_stream(table, chunks: DataFrame, version: int, page_rows: int | None = None) -> int:
+    """Commits an exported stream to a commit table: all at once, or a version a page of rows; the number of rows.
+
+    All at once, a fault leaves the table as it was; by pages, earlier pages stay.
+    """
+    if page_rows is not None and page_rows < 1:
+        raise ValueError("a page has at least one row")
+    ops = lambda rows: rows.select(F.lit(0).alias("pos"), "key", F.lit("set").alias("op"), "value")
+    rows = read_stream(chunks)
+    if page_rows is None:
+        return table.append(ops(rows), version)["rows"]
+    parts = chunks.where("chunk > 0").select("first_key").orderBy("first_key").collect()  # a row a chunk
+    total = 0
+    for first in parts:
+        # a chunk's rows are one writer's batch: a page never needs rows of two
+        own = read_export(chunks.sparkSession, export_header(), chunks.where((F.col("chunk") > 0) & (F.col("first_key") == first["first_key"])))
+        nth = numbered(own.withColumn("at", F.monotonically_increasing_id()), "at").drop("at")
+        n = nth.count()
+        for low in range(0, n, page_rows):
+            page = nth.where((F.col("nth") > low) & (F.col("nth") <= low + page_rows))
+            total += table.append(ops(page), version)["rows"]
+            version += 1
+    return total

@@ -4,14 +4,17 @@ from __future__ import annotations
 
 import pytest
 from pyspark.errors import PySparkException
+from pyspark.sql import functions as F
 
 from orderlake import catalog3
 from orderlake.engine import View
 from orderlake.functions.text import fold_words
-from orderlake.operators import cdc, scan, search, write
+from orderlake.operators import cdc, cost, scan, search, write
 from orderlake.operators.index import IndexRefusal
 from orderlake.operators.search import SearchRefusal
+from orderlake.sources import store
 from orderlake.sources.commits import CommitError, CommitTable
+from orderlake.sources.hydrate import Hydration, page_crc
 from orderlake.sources.segments import SegmentIndex
 from orderlake.sources.shared import scratch
 
@@ -246,3 +249,46 @@ def test_rollouts_abort_before_they_promote(spark):
     done = spark.createDataFrame([("a", 1), ("a", 2), ("d", 1), ("d", 4), ("d", 11)], "cohort string, at int")
     got = {r.cohort: (r.operations, r.step, r.version) for r in write.rollout_tick(plans, done, 10).collect()}
     assert got == {"a": (2, "Aborted", 1), "b": (0, "Promoted", 2), "c": (0, "Continue", 2), "d": (1, "Continue", 2)}
+
+
+def test_streams_load_at_once_or_by_pages(spark):
+    rows = spark.createDataFrame([(f"k{i:02d}", f"ü{i}") for i in range(23)], "key string, value string")
+    chunks = store.export_stream(rows)
+    for page, commits in ((None, 1), (4, 6)):
+        t = CommitTable(spark, scratch(spark, "loaded"))
+        assert store.load_stream(t, chunks.where("first_key IS NULL").unionByName(chunks.where("first_key IS NOT NULL")), 1, page) == 23
+        assert sorted(map(tuple, t.read().select("key", "value").collect())) == sorted(map(tuple, rows.collect()))
+        assert len(t.manifest()) >= commits
+    torn = chunks.withColumn("body", F.expr("IF(chunk = 1, substring(body, 1, length(body) - 1), body)"))
+    t = CommitTable(spark, scratch(spark, "torn"))
+    with pytest.raises(PySparkException):
+        store.load_stream(t, torn, 1)
+    assert t.version() == 0
+    with pytest.raises(ValueError):
+        store.load_stream(t, chunks.where("chunk = 1"), 1)
+    with pytest.raises(ValueError):
+        store.load_stream(t, chunks, 1, 0)
+
+
+def test_hydration_shows_nothing_before_it_is_whole(spark):
+    rows = spark.createDataFrame([(i // 2, f"k{i}", None if i == 3 else f"v{i}") for i in range(6)], "page long, key string, value string")
+    plan = page_crc(rows)
+    h = Hydration(spark, scratch(spark, "hydration"))
+    assert h.receive(rows.where("key <> 'k1'"), plan, 0) == 1
+    with pytest.raises(CommitError):
+        h.publish(plan, 4)
+    with pytest.raises(CommitError):
+        h.read()
+    # the round that brings the rest also brings pages that are there
+    assert h.receive(rows, plan, 1) == 0
+    h.publish(plan, 4)
+    assert sorted(r.key for r in h.read().collect()) == [f"k{i}" for i in range(6)]
+    diffs = spark.createDataFrame([("k0", 4, "set", "old"), ("k1", 5, "delete", None), ("k9", 5, "set", "x")], "key string, version long, op string, value string")
+    got = {r.key: r.value for r in h.read(diffs).collect()}
+    assert got["k0"] == "v0" and got["k9"] == "x" and "k1" not in got and got["k3"] is None
+
+
+def test_quantiles_between_rows(spark):
+    frame = spark.createDataFrame([(float(i),) for i in range(1, 8)] + [(None,)], "x double")
+    assert tuple(cost.percentiles(frame, "x", (("a", 0.5), ("b", 0.25), ("c", 0.0), ("d", 1.0))).first()) == (4.0, 2.5, 1.0, 7.0)
+    assert tuple(cost.percentiles(frame.where("x IS NULL"), "x").first()) == (None, None, None)
