@@ -14,6 +14,7 @@ from .shipping import ship
 from .sources import store, tables
 from .sources.commits import CommitTable
 from .sources.hydrate import Hydration, page_crc
+from .sources.migrate import Migration
 from .sources.segments import SegmentIndex
 from .sources.shared import scratch
 
@@ -139,6 +140,17 @@ def stream_round_trip(spark, d):
     return store.read_stream(store.export_stream(tables.order_rows(spark, d)))
 
 
+@query(f"WITH {AT2} SELECT 'm/' || key AS key, value FROM at2 WHERE key BETWEEN '{key(10)}' AND '{key(300)}'")
+def migrated_epoch(spark, d):
+    def make(folder: str) -> Migration:
+        out = Migration(spark, f"{folder}/pointer", stored(spark, d).folder, f"{folder}/epoch2", lambda rows: rows.select(F.concat(F.lit("m/"), "key").alias("key"), "value"))
+        out.run()
+        return out
+
+    low, high = f"m/{key(10)}", f"m/{key(300)}"
+    return once(spark, "migrated", d, make).current().read(None, low, high).select("key", "value")
+
+
 CALLS = "cl AS (SELECT CASE event_id % 8 WHEN 0 THEN 'get' WHEN 1 THEN 'has' WHEN 2 THEN 'set' WHEN 3 THEN 'put' WHEN 4 THEN 'delete' WHEN 5 THEN 'scan' WHEN 6 THEN 'commit' ELSE 'rollback' END AS kind, event_id % 13 AS items, event_id % 101 AS bytes, event_type = 'error' AS failed FROM events)"
 
 

@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from .mvcc import entails, latest
 
+#: Prefixes of one scope.
+MOST_PREFIXES = 1 << 14
+
 
 def sequence_report(diffs: DataFrame, first: int = 0, whole: bool = False) -> DataFrame:
     """stream, pos, seq (``whole``: all columns) and status of each diff as it arrives in order of pos.
@@ -106,9 +109,11 @@ def scope_stats(members: DataFrame) -> DataFrame:
 def evict_out_of_scope(pages: DataFrame, prefixes: DataFrame, members: DataFrame) -> DataFrame:
     """Pages (page, lower, upper) that meet no prefix [lower, upper) and hold no member key.
 
-    A range join, with the prefixes of one scope on the broadcast side: a
-    declaration lists them, so they are few.
+    A range join, with the prefixes of one scope on the broadcast side; more of
+    them than a scope may declare are refused.
     """
+    if prefixes.limit(MOST_PREFIXES + 1).count() > MOST_PREFIXES:
+        raise ValueError(f"a scope declares at most {MOST_PREFIXES} prefixes")
     p = F.broadcast(prefixes.select(F.col("lower").alias("pl"), F.col("upper").alias("pu")))
     out = pages.join(p, (F.col("pl") < F.col("upper")) & (F.col("lower") < F.col("pu")), "left_anti")
     held = members.select(F.col("page").alias("mp")).distinct()
@@ -140,8 +145,8 @@ def left_to_transfer(pages: DataFrame, journal: DataFrame) -> DataFrame:
 
 def evict_superseded(pages: DataFrame, applied: DataFrame) -> DataFrame:
     """Pages whose commit is not below the version applied to their shard."""
-    a = applied.select("shard", F.col("version").alias("applied"))  # one row a shard
-    return pages.join(F.broadcast(a), "shard", "left").where("applied is null or commit_version >= applied").drop("applied")
+    a = applied.select("shard", F.col("version").alias("applied"))
+    return pages.join(a, "shard", "left").where("applied is null or commit_version >= applied").drop("applied")
 
 
 def project(declared: dict[str, list[str]], rows: DataFrame) -> DataFrame:

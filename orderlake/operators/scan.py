@@ -164,8 +164,7 @@ def scoped(rows: DataFrame, prefix: str) -> DataFrame:
 def route(rows: DataFrame, shards: DataFrame, key: str = "key") -> DataFrame:
     """Adds the shard of each key's table (the text before the first slash); null where none is assigned."""
     assigned = shards.select(F.col("table_name").alias("__t"), F.col("shard"))
-    # a static assignment of tables, which the catalog bounds
-    return rows.join(F.broadcast(assigned), F.substring_index(F.col(key), "/", 1) == F.col("__t"), "left").drop("__t")
+    return rows.join(assigned, F.substring_index(F.col(key), "/", 1) == F.col("__t"), "left").drop("__t")
 
 
 def shard_plan(prefixes: list[str], shards: DataFrame, max_shards: int) -> DataFrame:

@@ -10,6 +10,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Keys of a page up to this number are broadcast.
+MOST_KEPT = 1 << 16
+
+
 class SearchRefusal(ValueError):
     """A cursor or request that belongs to another search."""
 
@@ -96,7 +100,8 @@ def collapse(streams: DataFrame) -> DataFrame:
 def frontier(streams: DataFrame, limit: int) -> DataFrame:
     """shard, consumed: rows of each shard that a merged page of ``limit`` keys has used, collapsed copies included."""
     kept = top(streams.select("key", "score").distinct(), limit)
-    used = streams.join(F.broadcast(kept), ["key", "score"], "left_semi").groupBy("shard").agg(F.count("*").alias("consumed"))
+    kept = F.broadcast(kept) if limit <= MOST_KEPT else kept
+    used = streams.join(kept, ["key", "score"], "left_semi").groupBy("shard").agg(F.count("*").alias("consumed"))
     return streams.select("shard").distinct().join(used, "shard", "left").select("shard", F.coalesce("consumed", F.lit(0)).cast("long").alias("consumed"))
 
 
@@ -149,7 +154,7 @@ class CostCursor:
 
 def gather(rows: DataFrame, pin: DataFrame) -> DataFrame:
     """Rows of all pinned shards in order of shard and key, with ``status``: a key of two rows is a DuplicateKey."""
-    own = rows.join(F.broadcast(pin.select("shard")), "shard", "left_semi")  # a row a shard
+    own = rows.join(pin.select("shard"), "shard", "left_semi")
     n = F.count("*").over(Window.partitionBy("key"))
     return own.withColumn("status", F.when(n > 1, "DuplicateKey").otherwise("Ok")).orderBy("shard", "key")
 

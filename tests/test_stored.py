@@ -15,6 +15,7 @@ from orderlake.operators.search import SearchRefusal
 from orderlake.sources import store
 from orderlake.sources.commits import CommitError, CommitTable
 from orderlake.sources.hydrate import Hydration, page_crc
+from orderlake.sources.migrate import STEPS, Migration, MigrationError
 from orderlake.sources.segments import SegmentIndex
 from orderlake.sources.shared import scratch
 
@@ -292,3 +293,38 @@ def test_quantiles_between_rows(spark):
     frame = spark.createDataFrame([(float(i),) for i in range(1, 8)] + [(None,)], "x double")
     assert tuple(cost.percentiles(frame, "x", (("a", 0.5), ("b", 0.25), ("c", 0.0), ("d", 1.0))).first()) == (4.0, 2.5, 1.0, 7.0)
     assert tuple(cost.percentiles(frame.where("x IS NULL"), "x").first()) == (None, None, None)
+
+
+def test_migration_goes_on_and_back(spark, table):
+    mine = lambda: Migration(spark, f"{table.folder}/pointer", table.folder, f"{table.folder}/epoch2", lambda rows: rows.withColumn("value", F.upper("value")))
+    assert mine().step() == STEPS[0] and not mine().admits_writes()
+    with pytest.raises(MigrationError):
+        mine().step(unfinished=2)
+    # each step by a driver of its own
+    assert [mine().step() for _ in range(3)] == list(STEPS[1:4])
+    assert mine().current().folder == table.folder
+    assert mine().step() == STEPS[4] and mine().step() is None and mine().admits_writes()
+    got = {r.key: r.value for r in mine().current().read().collect()}
+    assert got["k4"] == "NEW" and "k3" not in got and len(got) == 8
+    mine().rollback()
+    assert mine().current().folder == table.folder and mine().done() == []
+    mine().run()
+    mine().target.append(spark.createDataFrame([(0, "k1", "set", "x")], "pos int, key string, op string, value string"), 9)
+    with pytest.raises(MigrationError):
+        mine().rollback()
+
+
+def test_migration_notices_other_rows(spark, table):
+    m = Migration(spark, f"{table.folder}/pointer", table.folder, f"{table.folder}/epoch2")
+    for _ in range(3):
+        m.step()
+    table.append(spark.createDataFrame([(0, "k1", "delete", None)], "pos int, key string, op string, value string"), 3)
+    with pytest.raises(MigrationError):
+        m.step()
+
+
+def test_scopes_of_too_many_prefixes(spark):
+    pages = spark.createDataFrame([(1, "a", "b")], "page long, lower string, upper string")
+    many = spark.range(cdc.MOST_PREFIXES + 1).selectExpr("string(id) AS lower", "string(id + 1) AS upper")
+    with pytest.raises(ValueError):
+        cdc.evict_out_of_scope(pages, many, spark.createDataFrame([], "page long"))
