@@ -374,6 +374,16 @@ def enforcement_commit(spark, d):
     return write.enforce_requests(requests, mutations, sessions, versions, projection, tree, 0, True, 10)
 
 
+@query("SELECT o_orderkey AS request, CASE WHEN o_custkey % 30 >= 20 OR o_custkey % 30 % 4 <> o_orderkey % 4 THEN 'Conflict' WHEN o_orderkey % 6 IN (3, 5) OR o_orderkey % 4 = 3 THEN 'Rejected:UnknownVersion' WHEN o_orderkey % 6 >= o_orderkey % 4 THEN 'Conflict' WHEN o_orderkey % 6 = 1 THEN 'Rejected:Compile' ELSE 'RolledBack' END AS outcome FROM orders")
+def rule_rollback(spark, d):
+    o = tables.table(spark, d, "orders")
+    k, c = F.col("o_orderkey"), F.col("o_custkey") % 30
+    requests = o.select(k.alias("request"), c.alias("cohort"), (k % 4).alias("base"), (k % 6).alias("target"))
+    assigned = spark.range(20).select(F.col("id").alias("cohort"), (F.col("id") % 4).alias("version"))
+    catalog = spark.createDataFrame([(0, 10, True), (1, 11, False), (2, 12, True), (4, 14, True)], "version long, generation int, compiles boolean")
+    return write.rollbacks(requests, assigned, catalog)
+
+
 # ---------------------------------------------------------------- vectors
 @query("WITH v AS (SELECT n_nationkey + 1 AS n, n_nationkey // 2 AS a, (n_nationkey + 1) // 2 AS b FROM nation WHERE n_nationkey <> 17) SELECT n::BIGINT AS n, CASE WHEN n = 19 THEN 'SequenceGap' WHEN n % 8 = 5 THEN 'BaseMismatch' WHEN n % 6 = 4 THEN 'TargetRegressed' WHEN n > 5 AND (n - 1) % 6 = 4 THEN 'BaseMismatch' WHEN n % 7 = 0 THEN 'DuplicateRecord' ELSE 'Ok' END AS status FROM v")
 def scope_vector_intervals(spark, d):

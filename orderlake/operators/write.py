@@ -333,6 +333,25 @@ def activations(requests: DataFrame, assigned: DataFrame, catalog: DataFrame) ->
     return first.select("request", "idempotency_key", (F.col("nth") > 1).alias("repeated")).join(receipts, "idempotency_key").select("request", "outcome", "repeated")
 
 
+def rollbacks(requests: DataFrame, assigned: DataFrame, catalog: DataFrame) -> DataFrame:
+    """request, outcome of rollbacks (request, cohort, base, target) against assignments (cohort, version) and a catalog (version, generation, compiles).
+
+    A cohort without an assignment or at another version conflicts, as does a target
+    that isn't of an earlier generation; versions that the catalog lacks, and targets that don't compile, are refused.
+    """
+    own = requests.join(assigned.select("cohort", F.col("version").alias("current")), "cohort", "left")
+    own = own.join(catalog.select(F.col("version").alias("target"), F.col("generation").alias("to_generation"), "compiles"), "target", "left")
+    own = own.join(catalog.select(F.col("version").alias("base"), F.col("generation").alias("from_generation")), "base", "left")
+    outcome = (
+        F.when(F.col("current").isNull() | (F.col("current") != F.col("base")), "Conflict")
+        .when(F.col("to_generation").isNull() | F.col("from_generation").isNull(), "Rejected:UnknownVersion")
+        .when(F.col("to_generation") >= F.col("from_generation"), "Conflict")
+        .when(~F.coalesce("compiles", F.lit(False)), "Rejected:Compile")
+        .otherwise("RolledBack")
+    )
+    return own.select("request", outcome.alias("outcome"))
+
+
 #: Pages of a backup whose digests are put together before those of all blocks are.
 BLOCK_OF_PAGES = 4096
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from orderlake import catalog3
 from orderlake.engine import View
 from orderlake.functions.text import fold_words
-from orderlake.operators import cdc, cost, scan, search, write
+from orderlake.operators import cdc, cost, events, policy, scan, search, write
 from orderlake.operators.index import IndexRefusal
 from orderlake.operators.search import SearchRefusal
 from orderlake.sources import store
@@ -328,3 +328,34 @@ def test_scopes_of_too_many_prefixes(spark):
     many = spark.range(cdc.MOST_PREFIXES + 1).selectExpr("string(id) AS lower", "string(id + 1) AS upper")
     with pytest.raises(ValueError):
         cdc.evict_out_of_scope(pages, many, spark.createDataFrame([], "page long"))
+
+
+def test_begin_looks_at_what_is_in_flight_first(spark):
+    deliveries = spark.createDataFrame([("a", 2, "a2", "s"), ("a", 3, "a3", "s"), ("b", 1, "b1", "s"), ("c", 1, "c1", "s"), ("c", 2, "c2", "s"), ("d", 1, "d1", "other")], "key string, sequence long, event_id string, schema string")
+    cursors = spark.createDataFrame([("a", 1), ("c", 0)], "key string, acked long")
+    pending = spark.createDataFrame([("a", "a2", 5), ("b", "b1", 99)], "key string, event_id string, retry_at long")
+    done = spark.createDataFrame([("a", "a2")], "key string, event_id string")
+    dead = spark.createDataFrame([], done.schema)
+    ask = lambda budget: {(r.key, r.sequence): r.outcome for r in events.begin(deliveries, cursors, pending, done, dead, 0, ["s"], budget, 10).collect()}
+    want = {("a", 2): "Ready", ("a", 3): "Blocked", ("b", 1): "RetryNotDue", ("c", 1): "Ready", ("c", 2): "SequenceGap", ("d", 1): "DeadLettered:Poison"}
+    assert ask(3) == want
+    assert ask(2) == want | {("c", 1): "TooSlow", ("d", 1): "TooSlow"}
+
+
+def test_enforcement_waits_or_refuses_stale_facts(spark):
+    requests = spark.createDataFrame([(1, "t", "i", "x"), (2, "t", "i", "x"), (3, "t", "i", "y"), (4, "u", "j", "x"), (5, "t", "j", "x"), (6, "t", "k", "x")], "request int, token string, idempotency_key string, body string")
+    row = "struct<n:long>"
+    mutations = spark.createDataFrame([(1, 0, "a", 0, 0, (1,), (1,)), (5, 0, "a", 0, None, (1,), (1,)), (6, 0, "b", 0, 3, (1,), (9,))], f"request int, pos int, key string, shard int, base int, before {row}, after {row}")
+    sessions = spark.createDataFrame([("t", 9)], "token string, expires int")
+    versions = spark.createDataFrame([("b", 3)], "key string, version int")
+    tree = policy.Compare("lt", policy.Path("after", "n"), policy.Literal(5))
+
+    def outcomes(lag, strict, digest="d"):
+        state = spark.createDataFrame([(digest, "d", 2, 1, lag, 4)], "digest string, expected string, watermark int, previous int, lag int, bound int")
+        return {r.request: r.outcome for r in write.enforce_requests(requests, mutations, sessions, versions, state, tree, 0, strict, 1).collect()}
+
+    first = {2: "Replayed", 3: "Rejected:KeyReused", 4: "Rejected:Unauthenticated", 5: "Rejected:MissingBase"}
+    assert outcomes(1, True) == first | {1: "Committed", 6: "Rejected:Policy"}
+    assert outcomes(5, True) == first | {1: "Rejected:StaleFacts", 6: "Rejected:StaleFacts"}
+    assert outcomes(5, False) == first | {1: "Queued", 6: "Queued"}
+    assert outcomes(1, True, "e")[1] == "Rejected:ProjectionChecksum"
