@@ -145,7 +145,9 @@ def train(rows: DataFrame, max_train: int, longest: int) -> LanguageModel | None
     some = rows.where("lang is not null").select("doc_id", text_tag().alias("tag"), "lang", F.col("text").cast("string").alias("text"))
     some = bounded_sample(some, max_train, "doc_id", "tag").dropDuplicates(["doc_id", "tag", "lang"]).select("lang", "text")
     counts = some.mapInArrow(_word_counts, "lang string, word string, n long")
-    counts = durable(counts.groupBy("lang", "word").agg(F.sum("n").alias("n")), "langid-words")
+    # what a bounded sample holds needs no more files than cores
+    files = rows.sparkSession.sparkContext.defaultParallelism
+    counts = durable(counts.groupBy("lang", "word").agg(F.sum("n").alias("n")).coalesce(files), "langid-words")
     totals = {r["lang"]: r["n"] for r in counts.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
     if not totals:
         return None
@@ -161,7 +163,7 @@ def train(rows: DataFrame, max_train: int, longest: int) -> LanguageModel | None
     grams = each[0]
     for more in each[1:]:
         grams = grams.unionByName(more)
-    grams = durable(grams.groupBy("lang", "gram").agg(F.sum("n").alias("n")), "langid-grams")
+    grams = durable(grams.groupBy("lang", "gram").agg(F.sum("n").alias("n")).coalesce(files), "langid-grams")
     number = {x: i for i, x in enumerate(langs)}
     gram_totals = np.ones((longest + 1, len(langs)))
     for r in grams.groupBy(F.length("gram").alias("k"), "lang").agg(F.sum("n").alias("n")).collect():

@@ -146,3 +146,27 @@ def test_a_rejected_text_takes_no_other_of_its_id(docs, labels):
     mine = lambda f: {(r.doc_id, r.text) for r in f.where("doc_id is null or doc_id = -7").collect()}
     assert {(None, clean), (-7, clean)} <= mine(langid.keep_known(more)) <= mine(more) - {(None, "12 - 34"), (-7, "12 - 34")}
     assert {(None, clean), (-7, clean)} <= mine(toxicity.keep_clean(more, labels)) <= mine(more) - {(None, toxic), (-7, toxic)}
+
+
+def test_language_tables_have_few_files(spark, folder, monkeypatch):
+    files = {}
+    plain = langid.durable
+
+    def seen(df, name):
+        out = plain(df, name)
+        files[name] = len(out.inputFiles())
+        return out
+
+    monkeypatch.setattr(langid, "durable", seen)
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    want = sorted(map(tuple, langid.identify(docs).collect()), key=repr)
+    keep = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "60")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        got = sorted(map(tuple, langid.identify(docs).collect()), key=repr)
+    finally:
+        for k, v in keep.items():
+            spark.conf.set(k, v)
+    assert got == want and set(files) == {"langid-words", "langid-grams"}
+    assert max(files.values()) <= spark.sparkContext.defaultParallelism
