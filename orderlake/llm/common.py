@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import ctypes
 import gc
 import tempfile
 import uuid
@@ -57,6 +58,13 @@ def sweep(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def give_back() -> None:
+    """Returns what this process has freed to the system; its allocators keep it otherwise, beside what other workers need."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # glibc only
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Deals the rows anew where the files of a small table give fewer partitions than there are cores."""
     cores, plan = df.sparkSession.sparkContext.defaultParallelism, df._jdf.queryExecution()

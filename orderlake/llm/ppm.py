@@ -38,7 +38,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, fold, grouped, release, slices, spread, sweep
+from .common import durable, fold, give_back, grouped, release, slices, spread, sweep
 from .textcode import ASCII_LOWER, TOKEN_BYTES, Tokens, buffer_of, tokenize
 
 END = 257
@@ -117,6 +117,7 @@ def _counts(order: int):
                 k = keys[a : a + 100_000]
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), kind, np.int32)), pa.array(k), pa.array(n[a : a + 100_000])], ["kind", "key", "n"])
             counter.parts, counter.held = [], 0
+            give_back()
 
         for batch in batches:
             for part in slices(batch, "text"):
@@ -173,6 +174,18 @@ class PpmModel:
         return np.add.reduceat(self.steps(seq, stretch)[0].astype(np.float64), first[:-1])
 
 
+#: Contexts whose rows are worked out at once.
+SLAB = 2048
+
+
+class _Rows:
+    """What the next longer contexts need of the contexts of one length."""
+
+    def __init__(self, n: int, width: int) -> None:
+        self.count, self.rest = np.zeros((n, width), np.float32), np.zeros((n, width), np.float32)
+        self.total, self.distinct = np.zeros(n), np.zeros(n, np.int64)
+
+
 def build(order: int, levels: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]) -> PpmModel:
     """From (context, symbol, count) of the kept contexts of each length."""
     root = levels.get(0, (np.zeros(0, np.int64),) * 3)
@@ -184,64 +197,57 @@ def build(order: int, levels: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray
         code[END] = width
         width += 1
     unseen = END - len(seen)
-    nexts, logps = [], []
-    ids, above, base = {}, None, 0
-    for k in range(order + 1):
-        ctx, sym, n = levels.get(k, (np.zeros(0, np.int64),) * 3)
-        nodes = np.unique(ctx) if k else np.zeros(1, np.int64)
-        row, col = np.searchsorted(nodes, ctx), code[sym]
-        count = np.zeros((len(nodes), width), np.float32)
-        np.add.at(count, (row, col), n)
-        total = np.zeros(len(nodes))
-        np.add.at(total, row, n)
-        has = count > 0
-        distinct = has.sum(1)
-        if k == 0:
-            rest = np.full((1, width), 1 / max(unseen, 1))
-            suffix = np.zeros(1, np.int64)
-        else:
-            suffix = np.searchsorted(above["nodes"], nodes & ((1 << (BITS * (k - 1))) - 1))
-            lower, lower_has = above["count"][suffix], above["has"][suffix]
-            left = above["total"][suffix] - np.where(has, lower, 0).sum(1)
-            new = above["distinct"][suffix] - distinct
-            size = 2 * np.where(left > 0, left, 1)
-            some = (left > 0)[:, None]
-            rest = np.where(lower_has & some, (2 * lower - 1) / size[:, None], np.where(some, (new / size)[:, None], 1.0) * above["rest"][suffix])
-        escape = distinct / np.maximum(2 * total, 1)
-        if k == 0 and not total.sum():
-            escape[:] = 1
-        if k == 0 and not unseen:
-            prob = count / np.maximum(total, 1)[:, None]
-        else:
-            prob = np.where(has, (2 * count - 1) / np.maximum(2 * total, 1)[:, None], escape[:, None] * rest)
-        with np.errstate(divide="ignore"):
-            logps.append(np.log10(np.maximum(prob, 1e-30)).astype(np.float32))
-        ids[k] = base + np.arange(len(nodes))
-        step = np.zeros((len(nodes), width), np.int32) if k == 0 else nexts[k - 1][suffix].copy()
-        nexts.append(step)
+    none = (np.zeros(0, np.int64),) * 3
+    nodes_of = [np.unique(levels.get(k, none)[0]) if k else np.zeros(1, np.int64) for k in range(order + 1)]
+    begin = np.concatenate([[0], np.cumsum([len(x) for x in nodes_of])])
+    # both tables are made once and filled in parts, so that a worker holds little beside them
+    table, logp = np.zeros((begin[-1], width), np.int32), np.empty((begin[-1], width), np.float32)
+    above = None
+    for k, nodes in enumerate(nodes_of):
+        ctx, sym, n = levels.get(k, none)
+        sort = np.argsort(ctx, kind="stable")
+        ctx, col, n = ctx[sort], code[sym[sort]], n[sort]
         if k:
             # a context of k symbols is the step from its first k - 1 by its last
-            parent = np.searchsorted(above["nodes"], nodes >> BITS)
-            level_below = nexts[k - 1]
-            level_below[parent, code[nodes & ((1 << BITS) - 1)]] = ids[k]
-        above = {"nodes": nodes, "count": count, "has": has, "total": total, "distinct": distinct, "rest": rest.astype(np.float32)}
-        base += len(nodes)
-    # steps of a level are final only once the level above has been linked
-    fixed = [nexts[0]]
-    for k in range(1, order + 1):
-        own = levels.get(k, (np.zeros(0, np.int64),) * 3)[0]
-        nodes = np.unique(own)
-        lower = np.unique(levels[k - 1][0]) if k > 1 and k - 1 in levels else np.zeros(1, np.int64)
-        suffix = np.searchsorted(lower, nodes & ((1 << (BITS * (k - 1))) - 1))
-        step = fixed[k - 1][suffix].copy()
-        longer = nexts[k] >= (ids[k + 1][0] if k < order and len(ids[k + 1]) else base)
-        step[longer] = nexts[k][longer]
-        fixed.append(step)
-    table = np.concatenate(fixed)
+            table[begin[k - 1] + np.searchsorted(nodes_of[k - 1], nodes >> BITS), code[nodes & ((1 << BITS) - 1)]] = begin[k] + np.arange(len(nodes))
+            suffix = np.searchsorted(nodes_of[k - 1], nodes & ((1 << (BITS * (k - 1))) - 1))
+        own = _Rows(len(nodes), width if k < order else 0)
+        for s in range(0, len(nodes), SLAB):
+            e = min(s + SLAB, len(nodes))
+            x, y = np.searchsorted(ctx, nodes[s]), np.searchsorted(ctx, nodes[e - 1], "right")
+            count = np.zeros((e - s, width), np.float32)
+            np.add.at(count, (np.searchsorted(nodes[s:e], ctx[x:y]), col[x:y]), n[x:y])
+            total = np.zeros(e - s)
+            np.add.at(total, np.searchsorted(nodes[s:e], ctx[x:y]), n[x:y])
+            has = count > 0
+            distinct = has.sum(1)
+            if k == 0:
+                rest = np.full((1, width), 1 / max(unseen, 1))
+            else:
+                up = suffix[s:e]
+                lower = above.count[up]
+                left = above.total[up] - np.where(has, lower, 0).sum(1)
+                new = above.distinct[up] - distinct
+                size = 2 * np.where(left > 0, left, 1)
+                some = (left > 0)[:, None]
+                rest = np.where((lower > 0) & some, (2 * lower - 1) / size[:, None], np.where(some, (new / size)[:, None], 1.0) * above.rest[up])
+                table[begin[k] + s : begin[k] + e] = table[begin[k - 1] + up]
+            escape = distinct / np.maximum(2 * total, 1)
+            if k == 0 and not total.sum():
+                escape[:] = 1
+            if k == 0 and not unseen:
+                prob = count / np.maximum(total, 1)[:, None]
+            else:
+                prob = np.where(has, (2 * count - 1) / np.maximum(2 * total, 1)[:, None], escape[:, None] * rest)
+            with np.errstate(divide="ignore"):
+                logp[begin[k] + s : begin[k] + e] = np.log10(np.maximum(prob, 1e-30))
+            if k < order:
+                own.count[s:e], own.total[s:e], own.distinct[s:e], own.rest[s:e] = count, total, distinct, rest
+        above = own
     if code[END] < width:
         table[:, code[END]] = 0
-    depth = np.repeat(np.arange(order + 1, dtype=np.int8), [len(ids[k]) for k in range(order + 1)])
-    return PpmModel(order, code, table, np.concatenate(logps), depth)
+    depth = np.repeat(np.arange(order + 1, dtype=np.int8), np.diff(begin))
+    return PpmModel(order, code, table, logp, depth)
 
 
 def count_corpus(train: DataFrame, order: int) -> DataFrame:
@@ -409,7 +415,9 @@ def built(key: object, order: int, levels: dict) -> PpmModel:
     """The model of a broadcast, built once in each Python worker."""
     if key not in _BUILT:
         _BUILT.clear()
+        give_back()
         _BUILT[key] = build(order, levels)
+        give_back()
     return _BUILT[key]
 
 
@@ -424,6 +432,17 @@ def tally(doc: np.ndarray, key: np.ndarray, n_docs: int) -> tuple[pa.Array, pa.A
     return pa.ListArray.from_arrays(pa.array(at), pa.array(key[cut])), pa.ListArray.from_arrays(pa.array(at), pa.array(times))
 
 
+def distinct_places(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys, and the place of each key among them; ``np.unique`` holds three times as much."""
+    order = np.argsort(keys)
+    keys = keys[order]
+    new = np.ones(len(keys), bool)
+    np.not_equal(keys[1:], keys[:-1], out=new[1:])
+    at = np.empty(len(keys), np.int32)
+    at[order] = np.cumsum(new, dtype=np.int32) - np.int32(1)
+    return keys[new], at
+
+
 def _score(shared, seen: tuple[int, float], whole: bool, chunk: int):
     ends, denominator = seen
     names = ["row", "doc_id", "held_out", "n_tokens", "known", "heavy", "score", "rare", "times", "at"]
@@ -432,26 +451,31 @@ def _score(shared, seen: tuple[int, float], whole: bool, chunk: int):
         key, order, levels, keys, logs = shared.value
         model = built(key, order, levels)
         row = TaskContext.get().partitionId() << 40
-        held: list[tuple[list, np.ndarray, np.ndarray]] = []
+        held: list[tuple[list, np.ndarray | None, np.ndarray]] = []
         wait = 0
 
         def flush() -> Iterator[pa.RecordBatch]:
             if not held:
                 return
-            asked, at = np.unique(np.concatenate([g for _, g, _ in held]), return_inverse=True)
-            at, own = at.astype(np.int32), held[0][0][0][0].as_py()
-            for columns, gram, offsets in held:
+            grams = np.concatenate([g for _, g, _ in held])
+            # offsets end with the count, so the grams themselves are not held twice
+            held[:] = [(columns, None, offsets) for columns, _, offsets in held]
+            asked, at = distinct_places(grams)
+            own = held[0][0][0][0].as_py()
+            del grams
+            for columns, _, offsets in held:
                 n_docs = len(columns[0])
-                lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(at[: len(gram)]))
-                at = at[len(gram) :]
+                lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(at[: offsets[-1]]))
+                at = at[offsets[-1] :]
                 # the chunk's first row carries what the chunk asks for
                 ask = pa.ListArray.from_arrays(pa.array(np.where(np.arange(n_docs + 1) > 0, len(asked), 0).astype(np.int32)), pa.array(asked))
                 asked = asked[:0]
                 yield pa.RecordBatch.from_arrays([*columns, lists, pa.array(np.full(n_docs, own)), ask], [*names, "chunk", "asked"])
             held.clear()
+            give_back()
 
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", 1 << 18):
                 seq, first, tokens = symbols(part.column(2))
                 logp, depth = model.steps(seq)
                 doc = np.repeat(np.arange(part.num_rows), np.diff(first))

@@ -119,3 +119,26 @@ def test_empty_table_and_adaptive(spark):
     got = {r.doc_id: r.score for r in ppm.adaptive_score(spark.createDataFrame([(1, "ab" * 40), (2, "ab"), (3, None)], schema), 3).collect()}
     assert got[3] == pytest.approx(-math.log10(257))
     assert got[1] / 81 > got[2] / 3  # a repeating text costs less by symbol
+
+
+def test_tables_are_built_with_little_beside_them():
+    import tracemalloc
+
+    rng = np.random.RandomState(3)
+    seq = rng.randint(1, 60, 100_000)
+    grams, n = np.unique(ppm.grams(seq, np.array([0, len(seq)]), 4), return_counts=True)
+    levels = {}
+    for k in range(5):
+        own = ppm.level(grams, n, k, None)
+        levels[k] = own.pairs >> ppm.BITS, (own.pairs & ppm._mask(1)).astype(np.int16), own.n.astype(np.float32)
+    tracemalloc.start()
+    model = ppm.build(4, levels)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(model.depth) > 50_000 and peak < 2.5 * (model.next.nbytes + model.logp.nbytes)
+
+
+def test_distinct_places():
+    for keys in (np.zeros(0, np.int64), np.array([7, -1, 7, 2**62, -1, 0])):
+        asked, at = ppm.distinct_places(keys)
+        assert asked.tolist() == sorted(set(keys.tolist())) and asked[at].tolist() == keys.tolist()
