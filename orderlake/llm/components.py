@@ -20,17 +20,21 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return out.where("a <> b").distinct()
 
 
-def connected(edges: DataFrame) -> DataFrame:
+def connected(edges: DataFrame, once: bool = False) -> DataFrame:
     """(node, label) of every node of the undirected ``edges`` (a, b): label is the component's smallest node.
 
     Steps go on until no link changes, which takes them a number that grows with
-    the logarithm of the largest component.
+    the logarithm of the largest component. ``once``: the large star of a step is
+    written before the small one reads it, which else works it out for each use;
+    that pays where links are many beside the nodes.
     """
     edges = durable(edges.where("a <> b").distinct(), "edges")
     before = None
     while True:
-        old, edges = edges, durable(_star(_star(edges, True), False), "edges")
-        release(old)
+        old, large = edges, _star(edges, True)
+        large = durable(large, "large-star") if once else large
+        edges = durable(_star(large, False), "edges")
+        release(old, *([large] if once else []))
         now = edges.agg(F.count("*"), F.sum(F.hash("a", "b").cast("long")), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == before:
             break

@@ -239,3 +239,25 @@ def test_turned_images_agree():
 
 def test_no_images(spark):
     assert images.image_classes(spark.createDataFrame([], IMAGE)).count() == 0
+
+
+def test_links_of_a_large_group_are_few(spark, monkeypatch):
+    monkeypatch.setattr(images, "SMALL", 2)
+    monkeypatch.setattr(images, "BLOCK", 6)
+    rng = np.random.RandomState(15)
+    m = images.mosaic(rng.normal(0, 0.15, 64).astype(np.float32))
+    rows = [drawn(i, m + rng.normal(0, 0.4, m.shape)) for i in range(60)]
+    rows += [drawn(100 + i, images.mosaic(rng.normal(0, 0.15, 64).astype(np.float32))) for i in range(5)]
+    written, plain = {}, images.durable
+
+    def durable(table, name):
+        out = plain(table, name)
+        if name.startswith("image-links"):
+            written[name] = out.count()
+        return out
+
+    monkeypatch.setattr(images, "durable", durable)
+    got = {r.image_id: r.class_id for r in images.image_classes(spark.createDataFrame(rows, IMAGE), whole=False).collect()}
+    assert got == {i: 0 if i < 100 else i for i, *_ in rows}
+    # units of two blocks find nothing that those of one have left apart
+    assert 60 < sum(written.values()) < 1_100
